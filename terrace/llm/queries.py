@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from terrace.llm import exact_dedup, mixing, quality_rules
+from terrace.llm import byte_bpe, exact_dedup, mixing, quality_rules, token_counts
 
 QUERIES = {
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op6_quality_rules": quality_rules.op6_quality_rules,
+    "op7_byte_bpe": byte_bpe.op7_byte_bpe,
     "op8_mixing": mixing.op8_mixing,
+    "op10_token_counts": token_counts.op10_token_counts,
 }
 ORACLE_SQL = {
     "op5_exact_dedup": exact_dedup.SQL,
