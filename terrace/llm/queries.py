@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from terrace.llm import byte_bpe, exact_dedup, mixing, quality_rules, token_counts
+from terrace.llm import byte_bpe, exact_dedup, mixing, ngram_join, quality_rules, token_counts
 
 QUERIES = {
+    "op1_ngram_jaccard": ngram_join.op1_ngram_jaccard,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op6_quality_rules": quality_rules.op6_quality_rules,
     "op7_byte_bpe": byte_bpe.op7_byte_bpe,
