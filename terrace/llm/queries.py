@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from terrace.llm import byte_bpe, exact_dedup, mixing, ngram_join, quality_rules, token_counts
+from terrace.llm import byte_bpe, exact_dedup, mixing, ngram_join, quality_rules, suffix_dedup, token_counts
 
 QUERIES = {
     "op1_ngram_jaccard": ngram_join.op1_ngram_jaccard,
@@ -10,6 +10,7 @@ QUERIES = {
     "op6_quality_rules": quality_rules.op6_quality_rules,
     "op7_byte_bpe": byte_bpe.op7_byte_bpe,
     "op8_mixing": mixing.op8_mixing,
+    "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
     "op10_token_counts": token_counts.op10_token_counts,
 }
 ORACLE_SQL = {
