@@ -12,20 +12,22 @@ SPACES = " \t\n\x0b\x0c\r"
 #: Words, as Java and Python read the class alike.
 WORD = r"[^\x20\x09-\x0D]+"
 WORDS = re.compile(WORD)
-_LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
-_UPPER = [chr(c) for c in range(65, 91)]
 
 
 def ascii_lower(text: str) -> str:
     """A-Z to a-z, all else as it is."""
-    return text.lower() if text.isascii() else text.translate(_LOWER)
+    return text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
+
+
+def byte_words(text: str) -> list[bytes]:
+    """The words of a text in UTF-8: bytes.split() cuts at SPACES exactly."""
+    return text.encode("utf-8", "surrogatepass").split()
 
 
 def words(text: str) -> list[str]:
     """Maximal runs of characters outside SPACES."""
-    if text.isascii() and "\x1c" not in text and "\x1d" not in text and "\x1e" not in text and "\x1f" not in text:
-        return text.split()
-    return WORDS.findall(text)
+    joined = b" ".join(byte_words(text)).decode("utf-8", "surrogatepass")
+    return joined.split(" ") if joined else []
 
 
 def text_of(df: DataFrame, name: str = "text") -> Column:

@@ -13,11 +13,14 @@ Sets that share a prefix shingle are compared inside size bands (a link needs
 of the sets are intersected exactly.
 
 Groups are never expanded to all pairs.  Round one checks each member against
-the first of its (shingle, band), a star.  The components of these links are
-contracted, and round two compares only members of one shingle's group that
+the first of its (shingle, band), a star; the shingles of a group take their
+firsts by one of eight random orders, so that near copies which one first
+misses meet another.  The components of these links are
+contracted, and further rounds compare only members of one shingle's group that
 are still in different components, in tiles of TILE rows; a tile pair within
-one component is skipped.  What is left is exact: every pair that shares a
-prefix shingle has been checked or is connected already.
+one component is skipped, and a tile gives spanning forests of its components, not all pairs.
+The rounds end when no untried pair passes the bound: then every pair that
+shares a prefix shingle has been ruled out or is connected.
 
 Defined cases: a null, empty or wordless text has no shingles, links with
 nothing and is its own component; a text of fewer than five words is one
@@ -68,19 +71,31 @@ def bitmap(s: np.ndarray) -> bytes:
 
 
 def _folded(a: np.ndarray, size: int) -> np.ndarray:
-    return a if len(a) == size else np.bitwise_or.reduce(a.reshape(-1, size))
+    """Rows of bitmaps brought to ``size`` bytes."""
+    return a if a.shape[-1] == size else np.bitwise_or.reduce(a.reshape(*a.shape[:-1], -1, size), axis=-2)
 
 
-def may_link(n: int, bits: np.ndarray, ns: np.ndarray, many: list[np.ndarray]) -> np.ndarray:
-    """For one set against many: whether the bound by bit counts allows a link."""
-    out = np.zeros(len(ns), bool)
-    fit = (4 * np.minimum(n, ns) >= 3 * np.maximum(n, ns)).nonzero()[0]
-    for i in fit.tolist():
-        size = min(len(bits), len(many[i]))
-        a, b = _folded(bits, size), _folded(many[i], size)
-        most = min(n - int(np.bitwise_count(a & ~b).sum()), int(ns[i]) - int(np.bitwise_count(b & ~a).sum()))
-        out[i] = linked(n, int(ns[i]), most)
-    return out
+class Signatures:
+    """Sets (sizes and bitmaps) of one tile, stacked by width of bitmap."""
+
+    def __init__(self, ns: np.ndarray, bits: list[np.ndarray]) -> None:
+        self.ns, self.bits = ns, bits
+        widths = np.array([len(b) for b in bits])
+        self.stacks = [(at, np.stack([bits[i] for i in at.tolist()])) for at in (np.flatnonzero(widths == w) for w in np.unique(widths))]
+
+    def shares(self, i: int) -> np.ndarray:
+        """For set i with every set: the bound of the similarity by bit counts, 0 where it or the sizes rule a link out."""
+        n, own = int(self.ns[i]), self.bits[i]
+        out = np.zeros(len(self.ns))
+        for at, stack in self.stacks:
+            ns = self.ns[at]
+            fit = 4 * np.minimum(n, ns) >= 3 * np.maximum(n, ns)
+            if fit.any():
+                size = min(len(own), stack.shape[1])
+                a, b, ns = _folded(own, size), _folded(stack[fit], size), ns[fit]
+                most = np.minimum(n - np.bitwise_count(a & ~b).sum(axis=1, dtype=np.int64), ns - np.bitwise_count(b & ~a).sum(axis=1, dtype=np.int64))
+                out[at[fit]] = np.where(100 * most >= 75 * (n + ns - most), most / np.maximum(n + ns - most, 1), 0.0)
+        return out
 
 
 def _sets(docs: DataFrame) -> DataFrame:
@@ -191,7 +206,8 @@ def _stars(prefixes: DataFrame) -> DataFrame:
                     names=["a", "b", "key"],
                 )
 
-    ordered = prefixes.select("key", "band", "place").repartition("key").sortWithinPartitions("key", "band", "place")
+    order = F.xxhash64("place", F.pmod("key", F.lit(8)))
+    ordered = prefixes.select("key", "band", "place", order.alias("order")).repartition("key").sortWithinPartitions("key", "band", "order", "place")
     return ordered.mapInArrow(run, "a long, b long, key long")
 
 
@@ -204,7 +220,7 @@ def _by_bits(pairs: DataFrame, heads: DataFrame) -> DataFrame:
         for batch in batches:
             na, nb = batch.column(4).to_numpy(), batch.column(5).to_numpy()
             ok = [
-                may_link(x, np.frombuffer(p.as_py(), np.uint8), np.array([y]), [np.frombuffer(q.as_py(), np.uint8)])[0]
+                Signatures(np.array([x, y]), [np.frombuffer(p.as_py(), np.uint8), np.frombuffer(q.as_py(), np.uint8)]).shares(0)[1] > 0
                 for x, y, p, q in zip(na.tolist(), nb.tolist(), batch.column(6), batch.column(7))
             ]
             yield pa.RecordBatch.from_arrays(batch.columns[:4], names=["a", "b", "ca", "cb"]).filter(pa.array(ok, pa.bool_()))
@@ -212,23 +228,28 @@ def _by_bits(pairs: DataFrame, heads: DataFrame) -> DataFrame:
     return full.select("a", "b", "ca", "cb", "na", "nb", "bitsa", "bitsb").mapInArrow(run, "a long, b long, ca binary, cb binary")
 
 
-def _exact(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The linked ones among pairs (a, b, ca, cb), by intersecting the sorted sets."""
-    same = pairs.where("ca = cb").select("a", "b")
-    pairs = pairs.where("ca <> cb")
-    wanted = written(pairs.select(F.col("ca").alias("cls")).union(pairs.select("cb")).distinct())
+def _items(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """cls, items (the sorted set) of the wanted classes (cls)."""
 
     def run(batches):
         for batch in batches:
-            cls, arrays = [], []
+            cls, arrays, seen = [], [], set()
             for text in batch.column(0):
                 s = shingle_set(text.as_py())
-                cls.append(xxhash.xxh3_128_digest(s.tobytes()))
-                arrays.append(s.tobytes())
+                key = xxhash.xxh3_128_digest(s.tobytes())
+                if key not in seen:
+                    seen.add(key)
+                    cls.append(key)
+                    arrays.append(s.tobytes())
             yield pa.record_batch([pa.array(cls, pa.binary()), pa.array(arrays, pa.binary())], names=["cls", "items"])
 
     sets = docs.select(text_of(docs)).mapInArrow(run, "cls binary, items binary")
-    sets = written(bounded_join(sets, wanted, "cls", "left_semi", 64).dropDuplicates(["cls"]))
+    # Copies hold the same items: any of a class serves, so only classes are grouped.
+    return bounded_join(sets, wanted, "cls", "left_semi", 64).dropDuplicates(["cls"])
+
+
+def _exact(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The linked ones among pairs (a, b, ca, cb), by intersecting the sorted sets."""
     full = pairs.join(sets.withColumnsRenamed({"cls": "ca", "items": "ia"}), "ca").join(sets.withColumnsRenamed({"cls": "cb", "items": "ib"}), "cb")
 
     def check(batches):
@@ -240,12 +261,14 @@ def _exact(pairs: DataFrame, docs: DataFrame) -> DataFrame:
                 ok.append(linked(len(s), len(t), both))
             yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return full.select("a", "b", "ia", "ib").mapInArrow(check, "a long, b long").union(same)
+    return full.select("a", "b", "ia", "ib").mapInArrow(check, "a long, b long")
 
 
-def _tiles(rows: DataFrame, heads: DataFrame, tile: int) -> DataFrame:
+def _tiles(rows: DataFrame, heads: DataFrame, tried: DataFrame, tile: int, forests: int) -> DataFrame:
     """Candidate pairs (a, b) of different components among rows (key, a,
-    comp), compared by bitmaps inside tiles of one key."""
+    comp), compared by bitmaps inside tiles of one key.  Of the pairs that the
+    bound allows and that have not been tried, a tile gives spanning forests
+    over its components, likeliest pairs first: a forest has fewer pairs than the tile has rows."""
     order = Window.partitionBy("key").orderBy("comp", "a")
     rows = written(rows.withColumn("tile", F.floor((F.row_number().over(order) - 1) / tile).cast("int")))
     stats = rows.groupBy("key", "tile").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
@@ -253,32 +276,57 @@ def _tiles(rows: DataFrame, heads: DataFrame, tile: int) -> DataFrame:
     pairs = left.join(right, "key").where("tile <= tile2 AND NOT (lo = hi AND lo2 = hi2 AND lo = lo2)").select("key", "tile", "tile2")
     one = rows.join(pairs, ["key", "tile"]).withColumn("side", F.lit(0))
     two = rows.withColumnRenamed("tile", "tile2").join(pairs.where("tile <> tile2"), ["key", "tile2"]).withColumn("side", F.lit(1))
-    both = one.unionByName(two).join(heads.select(F.col("place").alias("a"), "n", "bits"), "a")
-    both = both.select("key", "tile", "tile2", "side", "a", "comp", "n", "bits").repartition("key", "tile", "tile2").sortWithinPartitions("key", "tile", "tile2", "side", "a")
+    past = tried.groupBy("a").agg(F.collect_list("b").alias("past"))  # what one set has failed to link with
+    both = one.unionByName(two).join(heads.select(F.col("place").alias("a"), "n", "bits"), "a").join(past, "a", "left")
+    both = both.select("key", "tile", "tile2", "side", "a", "comp", "n", "bits", "past").repartition("key", "tile", "tile2").sortWithinPartitions("key", "tile", "tile2", "side", "a")
 
     def run(batches):
-        seen: set = set()
-
-        def compare(run_rows):
+        done: set = set()  # pairs that another key of this task has given
+
+        def compare(tile_rows):
+            if not tile_rows:
+                return []
+            _, _, _, side, place, comp, n, bits, past = zip(*tile_rows)
+            side, place, comp = np.array(side), np.array(place), np.array(comp)
+            failed = {(a, b) for a, x in zip(place.tolist(), past) for b in x or ()}
+            sets = Signatures(np.array(n), [np.frombuffer(b, np.uint8) for b in bits])
+            lone = not side.any()
+            found = []
+            for i in np.flatnonzero(side == 0).tolist():
+                others = comp != comp[i]
+                if lone:
+                    others[: i + 1] = False
+                else:
+                    others &= side == 1
+                if others.any():
+                    share = np.where(others, sets.shares(i), 0.0)
+                    found += [(-share[j], i, j) for j in np.flatnonzero(share > 0).tolist()]
+            edges = [(i, j, min(place[i], place[j]), max(place[i], place[j])) for _, i, j in sorted(found)]
+            edges = [x for x in edges if x[2:] not in failed]
             out = []
-            lone = all(r[3] == 0 for r in run_rows)
-            ns = np.array([r[6] for r in run_rows])
-            bits = [np.frombuffer(r[7], np.uint8) for r in run_rows]
-            comps = [r[5] for r in run_rows]
-            for i, r in enumerate(run_rows):
-                if r[3]:
+            for _ in range(forests):
+                parent = {c: c for c in comp.tolist()}
+
+                def root(c):
+                    while parent[c] != c:
+                        parent[c] = c = parent[parent[c]]
+                    return c
+
+                rest = []
+                for x in edges:
+                    p, q = root(comp[x[0]]), root(comp[x[1]])
+                    if p != q:
+                        parent[p] = q
+                        out.append(x[2:])
+                    else:
+                        rest.append(x)
+                edges = rest
+                if not edges:
                     break
-                others = [
-                    j
-                    for j in range(i + 1, len(run_rows))
-                    if comps[j] != comps[i] and (lone or run_rows[j][3]) and (min(r[4], run_rows[j][4]), max(r[4], run_rows[j][4])) not in seen
-                ]
-                if others:
-                    if len(seen) > 2_000_000:
-                        seen.clear()
-                    seen.update((min(r[4], run_rows[j][4]), max(r[4], run_rows[j][4])) for j in others)
-                    ok = may_link(r[6], bits[i], ns[others], [bits[j] for j in others])
-                    out += [(r[4], run_rows[j][4]) for j, x in zip(others, ok) if x]
+            out = [x for x in out if x not in done]
+            if len(done) > 1_000_000:
+                done.clear()
+            done.update(out)
             return out
 
         current, held = None, []
@@ -289,12 +337,11 @@ def _tiles(rows: DataFrame, heads: DataFrame, tile: int) -> DataFrame:
                     found += compare(held)
                     current, held = row[:3], []
                 held.append(row)
-            yield pa.record_batch([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], names=["a", "b"])
+            yield pa.record_batch([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
         found = compare(held)
-        yield pa.record_batch([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], names=["a", "b"])
+        yield pa.record_batch([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
-    found = both.mapInArrow(run, "a long, b long")
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return both.mapInArrow(run, "a long, b long").distinct()
 
 
 def joined(docs: DataFrame, tile: int = TILE, hot_count: int = HOT_COUNT, hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -312,17 +359,28 @@ def joined(docs: DataFrame, tile: int = TILE, hot_count: int = HOT_COUNT, hot_ro
     pairs = stars.where("b IS NOT NULL").select("a", "b").distinct()
     pairs = _renamed(_renamed(pairs, "a", nodes), "b", nodes).where("a <> b")
     pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    links = written(_exact(written(_by_bits(pairs, heads)), docs).union(merged.select("place", "node")))
-    comp = written(components(links))
-    groups = _renamed(stars.where("key IS NOT NULL").select("a", "key"), "a", nodes).distinct()
-    groups = groups.join(comp, groups["a"] == comp["node"], "left").select("key", "a", F.coalesce("component", "a").alias("comp"))
-    groups = written(groups)
-    open_keys = groups.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    rest = written(_tiles(groups.join(open_keys, "key", "left_semi"), heads, tile).join(pairs, ["a", "b"], "left_anti"))
-    more = written(_exact(written(_by_bits(rest, heads)), docs))
-    if not more.isEmpty():
-        comp = written(components(links.union(more)))
-    dropped(stars, groups, rest)
+    groups = written(_renamed(stars.where("key IS NOT NULL").select("a", "key"), "a", nodes).distinct())
+    passed = written(_by_bits(pairs, heads))
+    # The sets that any round may need: those of the stars and of the shared keys.
+    used = groups.select("a").union(passed.select("a")).union(passed.select("b")).distinct()
+    items = written(_items(docs, written(heads.select(F.col("place").alias("a"), "cls").join(used, "a", "left_semi").select("cls").distinct())))
+    good = written(_exact(passed, items))
+    links = written(good.union(merged.select("place", "node")))
+    tried = written(pairs.join(good, ["a", "b"], "left_anti"))
+    forests = 1
+    while True:
+        comp = written(components(links))
+        now = groups.join(comp, groups["a"] == comp["node"], "left").select("key", "a", F.coalesce("component", "a").alias("comp"))
+        open_keys = now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
+        # A key's rows that have been compared with all others of other components stay open, but give no candidate any more.
+        more = written(_by_bits(_tiles(now.join(open_keys, "key", "left_semi"), heads, tried, tile, forests), heads))
+        if more.isEmpty():
+            break
+        forests *= 8  # near misses are ruled out in few rounds
+        good = written(_exact(more, items))
+        links = written(links.union(good))
+        tried = written(tried.union(more.select("a", "b").join(good, ["a", "b"], "left_anti")))
+    dropped(stars, groups, items)
     # Least id of the component of each class, then of each row.
     of_class = classes.join(comp, "node", "left").select("cls", F.coalesce("component", "node").alias("comp"))
     ids = sets.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("least"))

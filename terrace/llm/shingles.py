@@ -5,25 +5,7 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-from terrace.llm.common import ascii_lower, words
-
 WIDTH = 5
-_HOLD = 1_000_000
-
-
-class _Hashes(dict):
-    """64-bit hash of a word, remembered."""
-
-    def __missing__(self, word: str) -> int:
-        if len(self) >= _HOLD:
-            self.clear()
-        out = self[word] = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
-        return out
-
-
-_hashes = _Hashes()
-
-
 def mixed(x: np.ndarray) -> np.ndarray:
     """Finalizer that spreads every input bit (uint64)."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -35,14 +17,19 @@ def mixed(x: np.ndarray) -> np.ndarray:
 _FACTORS = mixed(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
 
 
+def byte_hashes(tokens: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, tokens), np.uint64, len(tokens))
+
+
 def word_hashes(tokens: list[str]) -> np.ndarray:
-    return np.fromiter(map(_hashes.__getitem__, tokens), np.uint64, len(tokens))
+    """64-bit hash of each token."""
+    return byte_hashes([t.encode("utf-8", "surrogatepass") for t in tokens])
 
 
 def shingle_set(text: str | None, width: int = WIDTH) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the shingles of a whole text: of
     ``width`` words each, or of all words if there are fewer; none without words."""
-    h = word_hashes(words(ascii_lower(text))) if text else np.empty(0, np.uint64)
+    h = byte_hashes(text.encode("utf-8", "surrogatepass").lower().split()) if text else np.empty(0, np.uint64)
     n = len(h)
     if not n:
         return h
@@ -52,4 +39,5 @@ def shingle_set(text: str | None, width: int = WIDTH) -> np.ndarray:
     total = np.zeros(n - width + 1, np.uint64)
     for i in range(width):
         total += h[i : n - width + 1 + i] * _FACTORS[i]
-    return np.unique(mixed(total))
+    total = np.sort(mixed(total))
+    return total[np.concatenate(([True], total[1:] != total[:-1]))]
