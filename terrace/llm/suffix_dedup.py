@@ -41,7 +41,7 @@ from terrace.llm.shingles import mixed
 from terrace.plans.scratch import bounded_join, dropped, written
 
 LENGTH = 200
-K = 32
+K = 64
 GROUP = 2048
 #: Bytes of segments whose suffix array is built at once.
 BLOCK = 2_000_000
