@@ -18,11 +18,13 @@ TOP = 5
 def cells(df: DataFrame, text_source: bool = False) -> DataFrame:
     """(position, name, row, kind, shown, number) of the cells that are not empty."""
     kinds = dict(df.dtypes)
-    made = [
-        F.struct(F.lit(i).alias("position"), F.lit(c).alias("name"), (parse_cell(df[f"`{c}`"].cast("string")) if text_source else typed_cell(df[f"`{c}`"], kinds[c])).alias("cell"))
-        for i, c in enumerate(df.columns)
-    ]
+    if text_source:  # parsed after the unpivot, so the long expression stands once
+        made = [F.struct(F.lit(i).alias("position"), F.lit(c).alias("name"), df[f"`{c}`"].cast("string").alias("raw")) for i, c in enumerate(df.columns)]
+    else:
+        made = [F.struct(F.lit(i).alias("position"), F.lit(c).alias("name"), typed_cell(df[f"`{c}`"], kinds[c]).alias("cell")) for i, c in enumerate(df.columns)]
     out = df.select(F.monotonically_increasing_id().alias("row"), F.explode(F.array(*made)).alias("x"))
+    if text_source:
+        out = out.where("x.raw IS NOT NULL").select("row", F.struct("x.position", "x.name", parse_cell(F.col("x.raw")).alias("cell")).alias("x"))
     return out.where("x.cell IS NOT NULL").select("x.position", "x.name", "row", "x.cell.kind", "x.cell.shown", "x.cell.number")
 
 
@@ -37,7 +39,6 @@ def profile(df: DataFrame, text_source: bool = False) -> DataFrame:
     stats = by_value.groupBy("position").agg(
         F.sum("n").alias("non_null"),
         F.count_distinct("shown").alias("found"),
-        F.max("n").alias("most"),
         *[F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)).alias(f"n_{k}") for k in kinds],
         F.min("number").alias("lo"),
         F.max("number").alias("hi"),
@@ -56,6 +57,7 @@ def profile(df: DataFrame, text_source: bool = False) -> DataFrame:
     seen = ranked.withColumn("r", F.row_number().over(early)).where(F.col("r") <= EXAMPLES).groupBy("position").agg(F.sort_array(F.collect_list(F.struct("r", "shown"))).alias("seen"))
     keys = ranked.where("keyish").withColumn("r", F.row_number().over(early)).where(F.col("r") <= KEY_SAMPLE).groupBy("position").agg(F.sort_array(F.collect_list(F.struct("r", "shown"))).alias("keys"))
     names = df.sparkSession.createDataFrame(list(enumerate(df.columns)), "position int, name string")
+    top = top.withColumn("most", F.col("top")[0]["n"])
     out = names.join(stats, "position", "left").join(top, "position", "left").join(seen, "position", "left").join(keys, "position", "left")
     total = F.coalesce("non_null", F.lit(0))
     best = F.greatest(*[F.col(f"n_{k}") for k in kinds])
