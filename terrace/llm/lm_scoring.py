@@ -33,8 +33,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrace.llm.common import ascii_lower, text_of, words
-from terrace.llm.shingles import mixed, word_hashes
+from terrace.llm.common import text_of
+from terrace.llm.shingles import byte_hashes, mixed
 from terrace.plans.scratch import dropped, written
 
 BASE = 1.5
@@ -48,14 +48,15 @@ HEAD = 200_000
 HEAD_CHARS = 32
 HOLD = 400_000
 #: Tokens that are hashed and probed at once.
-BLOCK = 1_000_000
+BLOCK = 500_000
 #: The end of a text as a token; no word is empty.
-END = ""
+END = b""
 _ONE, _TWO = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 
 
-def tokens(text: str) -> list[str]:
-    return [*words(ascii_lower(text)), END] if text else [END]
+def tokens(text: str) -> list[bytes]:
+    """The tokens in UTF-8, A-Z lower-cased."""
+    return [*text.encode("utf-8", "surrogatepass").lower().split(), END]
 
 
 def bigrams(h: np.ndarray) -> np.ndarray:
@@ -96,7 +97,7 @@ class Model:
     n: int
     v: int
     vocabulary: DataFrame  # token, c
-    head: object  # broadcast {token: c}
+    head: object  # broadcast {token: log10 of its base probability}
 
 
 def _counted(batches):
@@ -112,14 +113,14 @@ def _counted(batches):
 
     def unigrams():
         k = list(held)
-        h = word_hashes(k).view(np.int64)
-        return pa.record_batch([pa.array(k, pa.string()), pa.array(h), pa.array(list(held.values()), pa.int64())], names=names)
+        h = byte_hashes(k).view(np.int64)
+        return pa.record_batch([pa.array(k, pa.binary()).cast(pa.string()), pa.array(h), pa.array(list(held.values()), pa.int64())], names=names)
 
     for batch in batches:
         for text in batch.column(0):
             t = tokens(text.as_py())
             held.update(t)
-            parts.append(bigrams(word_hashes(t)))
+            parts.append(bigrams(byte_hashes(t)))
             size += len(t)
             if size >= 4 * BLOCK:
                 yield grams()
@@ -178,7 +179,7 @@ def trained(docs: DataFrame, bits: int = BITS, head: int = HEAD) -> Model:
     for s, part in zip(parts.column(0).to_pylist(), parts.column(1)):
         filter_[s * inside : (s + 1) * inside] = np.frombuffer(part.as_py(), np.uint8)
     top = vocabulary.where(F.length("token") <= HEAD_CHARS).orderBy(F.desc("c"), "token").limit(head).toArrow()
-    known = dict(zip(top.column(0).to_pylist(), top.column(1).to_pylist()))
+    known = {t.encode(): math.log10((c + 0.5) / (n + 0.5 * (v + 1))) for t, c in zip(top.column(0).to_pylist(), top.column(1).to_pylist())}
     dropped(counts)
     shared = spark.sparkContext.broadcast(filter_)
     cuts = tuple(cuts.tolist())
@@ -216,7 +217,7 @@ def _tuned(docs: DataFrame, shared, cuts: tuple, n: int, v: int) -> tuple:
     def run(batches):
         filter_ = shared.value
         for batch in batches:
-            parts = [word_hashes(tokens(t.as_py())) for t in batch.column(0)]
+            parts = [byte_hashes(tokens(t.as_py())) for t in batch.column(0)]
             if not parts:
                 continue
             first = np.concatenate(([0], np.cumsum([len(x) for x in parts])))
@@ -272,19 +273,19 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
                 hashes, size, begin = [], 0, at
                 while at < batch.num_rows and size < BLOCK:
                     t = tokens(batch.column(0)[at].as_py())
-                    hashes.append(word_hashes(t))
+                    hashes.append(byte_hashes(t))
                     size += len(t)
                     here = task << 33 | row
                     got, score = 0, 0.0
                     for token, n in Counter(t).items():
-                        c = known.get(token)
-                        if c is None:
+                        log_p = known.get(token)
+                        if log_p is None:
                             tail_place.append(here)
                             tail_token.append(token)
                             tail_n.append(n)
                         else:
                             got += n
-                            score += n * math.log10((c + 0.5) / total)
+                            score += n * log_p
                     for column, x in zip((place, n_tokens, n_known, base), (here, len(t), got, score)):
                         column.append(x)
                     at += 1
@@ -302,7 +303,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
                         pa.array([*n_known, *[None] * none], pa.int64()),
                         pa.array([*base, *[None] * none], pa.float64()),
                         pa.array([*score.tolist(), *[None] * none], pa.float64()),
-                        pa.array([*[None] * own, *tail_token], pa.string()),
+                        pa.array([*[None] * own, *tail_token], pa.binary()).cast(pa.string()),
                     ],
                     names=["place", "rest", "n", "known", "base", "score", "token"],
                 )

@@ -61,7 +61,7 @@ def test_filter_has_no_false_negative(spark):
     model = lm_scoring.trained(docs, bits=1 << 16)
     count = Counter(t for r in docs.collect() for t in lm_scoring.tokens(r.text))
     keys = list(count)
-    got = lm_scoring.levels(lm_scoring.word_hashes(keys), model.filter_.value)
+    got = lm_scoring.levels(lm_scoring.byte_hashes(keys), model.filter_.value)
     want = [1 + int(math.log(count[k] / model.cuts[0]) / math.log(lm_scoring.BASE)) for k in keys]
     assert all(a >= b for a, b in zip(got.tolist(), want))
     assert np.mean(got == want) > 0.7
