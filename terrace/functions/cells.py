@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+from datetime import datetime
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from terrace.functions.text import strip
 
@@ -77,6 +80,31 @@ def parse_cell(raw: Column) -> Column:
     )
 
 
+def _parsed(v: str) -> tuple:
+    if v.lower() in ("true", "false"):
+        return "boolean", v.capitalize(), None
+    if re.match(_INT, v):
+        return "integer", str(int(v)), float(int(v)) if len(v) < 300 else float("inf")
+    loose = v.replace(",", "") if "," in v and "." in v else v
+    if re.match(_FLOAT, loose) or re.match(_WORDS, v):
+        x = float(loose)
+        return ("integer", str(int(x)), x) if x.is_integer() and abs(x) < 2**53 else ("float", "%.6g" % x, x)
+    if re.match(r"\d{4}[-/]", v) and 8 <= len(v) <= 32:
+        try:
+            t = datetime.fromisoformat(v.replace("/", "-"))
+        except ValueError:
+            return "text", v, None
+        return "datetime", t.strftime("%Y-%m-%d %H:%M:%S" if (t.hour, t.minute, t.second) != (0, 0, 0) else "%Y-%m-%d"), None
+    return "text", v, None
+
+
+@F.pandas_udf(StructType([StructField("kind", StringType()), StructField("shown", StringType()), StructField("number", DoubleType())]))
+def parse_values(raw: pd.Series) -> pd.DataFrame:
+    """``parse_cell`` over Arrow batches, for the distinct values of a table."""
+    rows = [_parsed(v) for v in raw]
+    return pd.DataFrame({name: pd.Series([r[i] for r in rows], dtype=kind) for i, (name, kind) in enumerate((("kind", object), ("shown", object), ("number", float)))})
+
+
 def typed_cell(column: Column, kind: str) -> Column:
     """struct(kind, shown, number) of a cell that has its type already (Spark's name of it); null stays null."""
     if kind == "string":

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from terrace.functions.cells import format6, number_cell, parse_cell, shown, typed_cell
+from terrace.functions.cells import clean_cell, format6, number_cell, parse_values, shown, typed_cell
 
 DISTINCT_CAP = 50_000
 EXAMPLES = 8
@@ -15,17 +15,18 @@ CATEGORIES = 50
 TOP = 5
 
 
-def cells(df: DataFrame, text_source: bool = False) -> DataFrame:
-    """(position, name, row, kind, shown, number) of the cells that are not empty."""
+def values(df: DataFrame, text_source: bool = False) -> DataFrame:
+    """(position, kind, shown, number, n, first) of the distinct cells that
+    are not empty.  Text is parsed and floats are formatted once per distinct value."""
     kinds = dict(df.dtypes)
-    if text_source:  # parsed after the unpivot, so the long expression stands once
-        made = [F.struct(F.lit(i).alias("position"), F.lit(c).alias("name"), df[f"`{c}`"].cast("string").alias("raw")) for i, c in enumerate(df.columns)]
-    else:
-        made = [F.struct(F.lit(i).alias("position"), F.lit(c).alias("name"), typed_cell(df[f"`{c}`"], kinds[c]).alias("cell")) for i, c in enumerate(df.columns)]
-    out = df.select(F.monotonically_increasing_id().alias("row"), F.explode(F.array(*made)).alias("x"))
+    cell = lambda c: clean_cell(df[f"`{c}`"].cast("string")) if text_source else typed_cell(df[f"`{c}`"], kinds[c])
+    made = [F.struct(F.lit(i).alias("position"), cell(c).alias("cell")) for i, c in enumerate(df.columns)]
+    out = df.select(F.monotonically_increasing_id().alias("row"), F.explode(F.array(*made)).alias("x")).where("x.cell IS NOT NULL")
     if text_source:
-        out = out.where("x.raw IS NOT NULL").select("row", F.struct("x.position", "x.name", parse_cell(F.col("x.raw")).alias("cell")).alias("x"))
-    return out.where("x.cell IS NOT NULL").select("x.position", "x.name", "row", "x.cell.kind", "x.cell.shown", "x.cell.number")
+        out = out.groupBy("x.position", "x.cell").agg(F.count("*").alias("n"), F.min("row").alias("first")).withColumn("cell", parse_values("cell"))
+        return out.select("position", "cell.kind", "cell.shown", "cell.number", "n", "first")
+    out = out.groupBy("x.position", "x.cell.kind", "x.cell.shown", "x.cell.number").agg(F.count("*").alias("n"), F.min("row").alias("first"))
+    return out.withColumn("shown", F.coalesce("shown", format6("number")))
 
 
 def profile(df: DataFrame, text_source: bool = False) -> DataFrame:
@@ -33,8 +34,7 @@ def profile(df: DataFrame, text_source: bool = False) -> DataFrame:
     reported capped beyond; frequencies are exact at any size.  Ties among top
     values go by value, examples and key samples by first occurrence."""
     n_rows = df.dropna("all").count()
-    by_value = cells(df, text_source).groupBy("position", "kind", "shown", "number").agg(F.count("*").alias("n"), F.min("row").alias("first"))
-    by_value = by_value.select("*", (F.col("number") * F.col("n")).alias("total")).withColumn("shown", F.coalesce("shown", format6("number")))
+    by_value = values(df, text_source).withColumn("total", F.col("number") * F.col("n"))
     kinds = ("boolean", "integer", "float", "datetime", "time", "duration", "text")
     stats = by_value.groupBy("position").agg(
         F.sum("n").alias("non_null"),
