@@ -21,6 +21,7 @@ columns are not read, and of ids none but a join key.
 from __future__ import annotations
 
 import math
+import re
 from bisect import bisect_right
 from collections import Counter
 from dataclasses import dataclass
@@ -33,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrace.llm.common import WORDS, text_of
+from terrace.llm.common import text_of, words
 from terrace.plans.scratch import bounded_join, written
 
 #: Labelled texts that are fitted on, at most.
@@ -62,15 +63,27 @@ _FOLD = str.maketrans(HOMOGLYPHS | {chr(0xFF21 + i): chr(97 + i) for i in range(
 _EDGES = ".,;:?\"'()[]{}*#%&|<>-_~`"
 
 
-def folded(word: str) -> str:
+_MARKS = _EDGES + "!$@"
+_ODD = re.compile("[" + "".join(chr(c) for c in _FOLD if c > 127) + "]")
+
+
+def folded(word: str, odd: bool = True) -> str:
     """A word as it is matched.  Marks at its edges go before substitutions,
-    so that trailing "!!" or "$$$" are no letters; a number stays a number."""
-    word = word.lower().strip(_EDGES + "!$@")
-    return word if word.isdigit() else word.translate(_FOLD)
+    so that trailing "!!" or "$$$" are no letters; a number stays a number.
+    ``odd``: whether the text has characters beyond ASCII that imitate letters."""
+    word = word.lower().strip(_MARKS)
+    if word.isdigit() or word.isalpha() and (not odd or word.isascii()):
+        return word
+    return word.translate(_FOLD)
 
 
 def folded_words(text: str | None) -> list[str]:
-    return [w for w in map(folded, WORDS.findall(text or "")) if w]
+    if not text:
+        return []
+    odd = _ODD.search(text) is not None
+    # Most words are plain letters and need no folding.
+    found = [w if w.isascii() and w.isalpha() else folded(w, odd) for w in words(text.lower())]
+    return [w for w in found if w]
 
 
 @dataclass(frozen=True)
