@@ -208,6 +208,11 @@ def _edge_matches(segments: DataFrame, length: int, keep_first: bool, group: int
     return found.union(big.select("h", "c", "a", F.col("a").alias("b")))
 
 
+def _row_bytes(rows: DataFrame, column: str, item: int) -> int:
+    """Mean bytes of the rows of a written table whose array ``column`` has items of ``item`` bytes."""
+    return 64 + int(item * (rows.agg(F.avg(F.size(column))).head()[0] or 0))
+
+
 def marked(docs: DataFrame, length: int = LENGTH, k: int = K, keep_first: bool = False, group: int = GROUP, block: int = BLOCK) -> DataFrame:
     """doc (128-bit digest of a text) and spans, the byte ranges [start, end) of it that repeat; texts without any are left out.
 
@@ -223,7 +228,7 @@ def marked(docs: DataFrame, length: int = LENGTH, k: int = K, keep_first: bool =
     cuts = written(reps.select("h", "c", (F.col("kinds") > group).alias("big"), "x.doc", "x.lo", "x.hi").groupBy("doc").agg(F.collect_list(F.struct("h", "c", "big", "lo", "hi")).alias("cuts")))
     texts = docs.select(text_of(docs).cast("binary").alias("data"))
     texts = texts.withColumn("doc", F.unhex(F.md5("data")))
-    pieces = bounded_join(texts, cuts, "doc", "inner", 400)
+    pieces = bounded_join(texts, cuts, "doc", "inner", _row_bytes(cuts, "cuts", 48))
     pieces = pieces.select("doc", "data", F.explode("cuts").alias("x")).select(
         "x.h", "x.c", "x.big", "doc", "x.lo", F.expr(f"substring(data, CAST(x.lo + 1 AS INT), CAST(x.hi - x.lo + {length} AS INT))").alias("bytes")
     ).dropDuplicates(["h", "c"])
@@ -247,7 +252,7 @@ def removed(docs: DataFrame, **how) -> DataFrame:
     spans = marked(docs, **how)
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).cast("binary").alias("data"))
     texts = texts.withColumn("doc", F.unhex(F.md5("data")))
-    wide = bounded_join(texts, spans, "doc", "left", 400)
+    wide = bounded_join(texts, spans, "doc", "left", _row_bytes(spans, "spans", 32))
 
     def run(batches):
         for batch in batches:
