@@ -51,6 +51,8 @@ HOT_ROWS = 1_000_000
 #: Share of the hash space whose shingles come first in the order.
 REGION = np.uint64(int(0.4 * 2**64))
 TILE = 512
+#: Spanning forests of untried pairs that a tile gives in the first round; in each further one so many times more.
+FORESTS = 16
 
 
 def linked(a: int, b: int, both: int) -> bool:
@@ -367,19 +369,19 @@ def joined(docs: DataFrame, tile: int = TILE, hot_count: int = HOT_COUNT, hot_ro
     good = written(_exact(passed, items))
     links = written(good.union(merged.select("place", "node")))
     tried = written(pairs.join(good, ["a", "b"], "left_anti"))
-    forests = 1
+    comp = written(components(links))
+    forests = FORESTS
     while True:
-        comp = written(components(links))
         now = groups.join(comp, groups["a"] == comp["node"], "left").select("key", "a", F.coalesce("component", "a").alias("comp"))
         open_keys = now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
         # A key's rows that have been compared with all others of other components stay open, but give no candidate any more.
         more = written(_by_bits(_tiles(now.join(open_keys, "key", "left_semi"), heads, tried, tile, forests), heads))
         if more.isEmpty():
             break
-        forests *= 8  # near misses are ruled out in few rounds
         good = written(_exact(more, items))
-        links = written(links.union(good))
         tried = written(tried.union(more.select("a", "b").join(good, ["a", "b"], "left_anti")))
+        comp = _contracted(comp, good)
+        forests *= FORESTS  # near misses are ruled out in few rounds
     dropped(stars, groups, items)
     # Least id of the component of each class, then of each row.
     of_class = classes.join(comp, "node", "left").select("cls", F.coalesce("component", "node").alias("comp"))
@@ -390,6 +392,15 @@ def joined(docs: DataFrame, tile: int = TILE, hot_count: int = HOT_COUNT, hot_ro
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+def _contracted(comp: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, component) after more links (a, b): only the components that they join are labelled anew."""
+    ends = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
+    every = written(comp.unionByName(ends.join(comp, "node", "left_anti").withColumn("component", F.col("node"))))
+    to = lambda c: every.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
+    joined_ = components(links.join(to("a"), "a").join(to("b"), "b").select("ca", "cb"))
+    return written(every.join(joined_.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left").select("node", F.coalesce("to", "component").alias("component")))
+
+
 def _renamed(rows: DataFrame, column: str, nodes: DataFrame) -> DataFrame:
     """Places in ``column`` replaced by the node of their class."""
     to = nodes.withColumnsRenamed({"place": column, "node": "__node"})
