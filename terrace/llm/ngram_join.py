@@ -85,13 +85,13 @@ class Signatures:
         widths = np.array([len(b) for b in bits])
         self.stacks = [(at, np.stack([bits[i] for i in at.tolist()])) for at in (np.flatnonzero(widths == w) for w in np.unique(widths))]
 
-    def shares(self, i: int) -> np.ndarray:
-        """For set i with every set: the bound of the similarity by bit counts, 0 where it or the sizes rule a link out."""
+    def shares(self, i: int, among: np.ndarray) -> np.ndarray:
+        """For set i with the sets of a mask: the bound of the similarity by bit counts, 0 where it or the sizes rule a link out."""
         n, own = int(self.ns[i]), self.bits[i]
         out = np.zeros(len(self.ns))
         for at, stack in self.stacks:
             ns = self.ns[at]
-            fit = 4 * np.minimum(n, ns) >= 3 * np.maximum(n, ns)
+            fit = among[at] & (4 * np.minimum(n, ns) >= 3 * np.maximum(n, ns))
             if fit.any():
                 size = min(len(own), stack.shape[1])
                 a, b, ns = _folded(own, size), _folded(stack[fit], size), ns[fit]
@@ -222,7 +222,7 @@ def _by_bits(pairs: DataFrame, heads: DataFrame) -> DataFrame:
         for batch in batches:
             na, nb = batch.column(4).to_numpy(), batch.column(5).to_numpy()
             ok = [
-                Signatures(np.array([x, y]), [np.frombuffer(p.as_py(), np.uint8), np.frombuffer(q.as_py(), np.uint8)]).shares(0)[1] > 0
+                Signatures(np.array([x, y]), [np.frombuffer(p.as_py(), np.uint8), np.frombuffer(q.as_py(), np.uint8)]).shares(0, np.array([False, True]))[1] > 0
                 for x, y, p, q in zip(na.tolist(), nb.tolist(), batch.column(6), batch.column(7))
             ]
             yield pa.RecordBatch.from_arrays(batch.columns[:4], names=["a", "b", "ca", "cb"]).filter(pa.array(ok, pa.bool_()))
@@ -293,15 +293,19 @@ def _tiles(rows: DataFrame, heads: DataFrame, tried: DataFrame, tile: int, fores
             failed = {(a, b) for a, x in zip(place.tolist(), past) for b in x or ()}
             sets = Signatures(np.array(n), [np.frombuffer(b, np.uint8) for b in bits])
             lone = not side.any()
+            # A pair of two components has a member outside the tile's largest one.
+            code = np.unique(comp, return_inverse=True)[1]
+            largest = code == np.argmax(np.bincount(code))
+            index = np.arange(len(comp))
             found = []
-            for i in np.flatnonzero(side == 0).tolist():
+            for i in np.flatnonzero(~largest).tolist():
                 others = comp != comp[i]
                 if lone:
-                    others[: i + 1] = False
+                    others &= largest | (index > i)
                 else:
-                    others &= side == 1
+                    others &= (side != side[i]) & (largest | (side[i] == 0))
                 if others.any():
-                    share = np.where(others, sets.shares(i), 0.0)
+                    share = sets.shares(i, others)
                     found += [(-share[j], i, j) for j in np.flatnonzero(share > 0).tolist()]
             edges = [(i, j, min(place[i], place[j]), max(place[i], place[j])) for _, i, j in sorted(found)]
             edges = [x for x in edges if x[2:] not in failed]
