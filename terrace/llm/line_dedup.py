@@ -10,9 +10,9 @@ templates that occur in MIN_DOCS different texts or more are dropped from every
 
 Only slim rows (text digest, line number, leaf, line digest) are kept for all
 lines; line texts move only for leaves that MIN_DOCS texts share, once per
-distinct line.  A leaf of more than LEAF_LINES distinct lines is split by
-DEEPER leading tokens, and one still larger by the whole line, so that no
-leaf is gathered unbounded.
+distinct line.  A leaf has one set of templates at every size: its lines
+stream through one task in order, LEAF_LINES at once, and only the templates
+are held.
 
 Defined cases: a null text has no lines; blank lines and lines under
 MIN_TOKENS tokens are never dropped; repeated lines of a text count once and
@@ -38,8 +38,8 @@ from terrace.plans.scratch import bounded_join, dropped, written
 MIN_DOCS = 4
 MIN_TOKENS = 4
 DEPTH = 3
-DEEPER = 8
 SIMILARITY = 0.6
+#: Lines of a leaf that are held at once; results do not depend on it.
 LEAF_LINES = 1000
 WILD = "<*>"
 _VARIABLE = re.compile(r"\d|://|^www\.|.@.+\..")
@@ -60,23 +60,23 @@ def _digest(tokens: list[str]) -> bytes:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """doc (text digest), line, leaf, deeper, digest; one per line that can be dropped."""
+    """doc (text digest), line, leaf, digest; one per line that can be dropped."""
 
     def run(batches):
         for batch in batches:
-            out = ([], [], [], [], [])
+            out = ([], [], [], [])
             for text in batch.column(0):
                 text = text.as_py()
                 key = hashlib.md5(text.encode("utf-8", "surrogatepass")).digest()
                 for i, line in enumerate(text.split("\n")):
                     t = masked(line)
                     if len(t) >= MIN_TOKENS:
-                        for column, x in zip(out, (key, i, _hash(t[:DEPTH], len(t)), _hash(t[:DEEPER], len(t)), _digest(t))):
+                        for column, x in zip(out, (key, i, _hash(t[:DEPTH], len(t)), _digest(t))):
                             column.append(x)
-            types = (pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
-            yield pa.record_batch([pa.array(x, t) for x, t in zip(out, types)], names=["doc", "line", "leaf", "deeper", "digest"])
+            types = (pa.binary(), pa.int32(), pa.int64(), pa.binary())
+            yield pa.record_batch([pa.array(x, t) for x, t in zip(out, types)], names=["doc", "line", "leaf", "digest"])
 
-    return docs.select(text_of(docs)).mapInArrow(run, "doc binary, line int, leaf long, deeper long, digest binary")
+    return docs.select(text_of(docs)).mapInArrow(run, "doc binary, line int, leaf long, digest binary")
 
 
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -97,67 +97,72 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return bounded_join(docs.select(text_of(docs)).mapInArrow(run, "digest binary, tokens string"), wanted, "digest", "left_semi", 64).dropDuplicates(["digest"])
 
 
-def templates(lines: list[list[str]], similarity: float = SIMILARITY) -> list[int]:
-    """Template of each line of one leaf (all of one token count), in order."""
-    known: list[list[str]] = []
-    codes: dict[str, int] = {WILD: 0}
-    table = np.empty((0, len(lines[0]) if lines else 0), np.int32)
-    out = []
-    for t in lines:
+class Leaf:
+    """The templates of one leaf, which its lines (all of one token count) meet in order."""
+
+    def __init__(self, size: int, similarity: float):
+        self.codes: dict[str, int] = {WILD: 0}
+        self.table = np.empty((size, 16), np.int32)  # a column per template
+        self.n, self.size, self.similarity = 0, size, similarity
+
+    def template(self, t: list[str]) -> int:
+        codes = self.codes
         row = np.array([codes.setdefault(x, len(codes)) for x in t], np.int32)
-        if len(known):
-            same = ((table[: len(known)] == row) | (table[: len(known)] == 0)).mean(axis=1)
+        if self.n:
+            known = self.table[:, : self.n]
+            same = ((known == row[:, None]) | (known == 0)).sum(axis=0, dtype=np.int32)
             best = int(np.argmax(same))
-            if same[best] >= similarity:
-                merged = np.where(table[best] == row, row, 0)
-                if (merged != 0).mean() >= similarity:  # a template never generalises beyond this
-                    table[best] = merged
-                    out.append(best)
-                    continue
-        if len(known) == len(table):
-            table = np.concatenate((table, np.empty((max(16, len(table)), len(row)), np.int32)))
-        table[len(known)] = row
-        known.append(t)
-        out.append(len(known) - 1)
-    return out
+            if same[best] / self.size >= self.similarity:
+                merged = np.where(known[:, best] == row, row, 0)
+                if (merged != 0).mean() >= self.similarity:  # a template never generalises beyond this
+                    known[:, best] = merged
+                    return best
+        if self.n == self.table.shape[1]:
+            self.table = np.concatenate((self.table, np.empty_like(self.table)), axis=1)
+        self.table[:, self.n] = row
+        self.n += 1
+        return self.n - 1
+
+
+def templates(lines: list[list[str]], similarity: float = SIMILARITY) -> list[int]:
+    """Template of each line of one leaf (all of one token count), in order."""
+    leaf = Leaf(len(lines[0]) if lines else 0, similarity)
+    return [leaf.template(t) for t in lines]
 
 
 def recurring(docs: DataFrame, min_docs: int = MIN_DOCS, leaf_lines: int = LEAF_LINES) -> DataFrame:
     """doc (text digest) and lines, the sorted numbers of its lines that recur."""
     rows = written(_lines(docs).distinct())
     shared = rows.select("leaf", "doc").distinct().groupBy("leaf").count().where(F.col("count") >= min_docs).select("leaf")
-    kinds = written(rows.join(shared, "leaf", "left_semi").groupBy("leaf", "deeper", "digest").agg(F.count("*").alias("n")))
-    wide = kinds.groupBy("leaf").agg(F.count("*").alias("k")).where(F.col("k") > leaf_lines).select("leaf")
-    split = kinds.join(wide.withColumn("wide", F.lit(True)), "leaf", "left")
-    split = split.withColumn("node", F.when(F.col("wide"), F.col("deeper")).otherwise(F.col("leaf")))
-    large = split.groupBy("node").agg(F.count("*").alias("k")).where(F.col("k") > leaf_lines).select("node").withColumn("large", F.lit(True))
-    split = split.join(large, "node", "left").select("digest", "n", F.when(F.col("large"), F.xxhash64("digest")).otherwise(F.col("node")).alias("node"))
+    kinds = written(rows.join(shared, "leaf", "left_semi").groupBy("leaf", "digest").agg(F.count("*").alias("n")))
     texts = _texts(docs, written(kinds.select("digest").distinct()))
-    ordered = split.join(texts, "digest").select("node", "n", "tokens", "digest").repartition("node").sortWithinPartitions("node", F.desc("n"), "tokens")
+    ordered = kinds.join(texts, "digest").select("leaf", "n", "tokens", "digest").repartition("leaf").sortWithinPartitions("leaf", F.desc("n"), "tokens")
 
     def run(batches):
-        current, held = None, []
+        current, leaves = None, {}
+        out = ([], [])
 
-        def solve():
-            # A node splits by token count too, as two counts may share a hash only by chance.
-            made = templates([x[0].split(" ") for x in held]) if len({x[0].count(" ") for x in held}) == 1 else list(range(len(held)))
-            first = {}
-            for (_, digest), t in zip(held, made):
-                first.setdefault(t, digest)
-            return [(digest, first[t]) for (_, digest), t in zip(held, made)]
+        def batch_of(out):
+            return pa.record_batch([pa.array(x, pa.binary()) for x in out], names=["digest", "template"])
 
         for batch in batches:
-            out = []
-            for node, tokens, digest in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                if node != current and held:
-                    out += solve()
-                    held = []
-                current = node
-                held.append((tokens, digest))
-            yield pa.record_batch([pa.array([x[i] for x in out], pa.binary()) for i in (0, 1)], names=["digest", "template"])
-        if held:
-            out = solve()
-            yield pa.record_batch([pa.array([x[i] for x in out], pa.binary()) for i in (0, 1)], names=["digest", "template"])
+            for key, tokens, digest in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                if key != current:
+                    current, leaves = key, {}
+                t = tokens.split(" ")
+                own = len(t), *t[:DEPTH]  # two leaves may share a hash by chance
+                if own not in leaves:
+                    leaves[own] = Leaf(len(t), SIMILARITY), []
+                leaf, firsts = leaves[own]
+                i = leaf.template(t)
+                if i == len(firsts):
+                    firsts.append(digest)
+                out[0].append(digest)
+                out[1].append(firsts[i])
+                if len(out[0]) >= leaf_lines:
+                    yield batch_of(out)
+                    out = ([], [])
+        yield batch_of(out)
 
     found = written(ordered.mapInArrow(run, "digest binary, template binary"))
     used = rows.join(found, "digest").select("template", "doc").distinct().groupBy("template").count().where(F.col("count") >= min_docs)

@@ -69,6 +69,19 @@ def test_split_leaves_keep_exact_repeats(spark):
     assert all("Licensed" not in t for t in got.values())
 
 
+def test_large_leaves_keep_their_templates(spark):
+    """1,500 fillings of two templates: one of short lines, one whose third token on vary."""
+    rng = random.Random(5)
+    name = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    rows = [(i, f"Page generated for {name()} on {name()} site\nthe first three of {name()} stay {name()} in line\nown {name()} {name()} {name()}") for i in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute(rows)
+    assert sum(r[3] for r in want) >= 3000
+    assert sorted(map(tuple, L.deduplicated(docs).collect()), key=repr) == want
+    small = rows[:200]
+    assert sorted(map(tuple, L.deduplicated(spark.createDataFrame(small, docs.schema), leaf_lines=7).collect()), key=repr) == brute(small)
+
+
 @pytest.mark.parametrize("sf", ["sf0.001"])
 def test_whole_table(spark, sf):
     docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
