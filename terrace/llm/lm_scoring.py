@@ -9,7 +9,7 @@ so the broadcast has a proven bound; ``cuts``, the least counts that are held
 from the counts of counts of the whole corpus.  The probability interpolates the
 quantised bigram estimate with an add-half unigram estimate; a text's last
 token is its end, which is also the history of its first word.  The
-interpolation weight of each history level is the best of GRID on TUNE_DOCS
+interpolation weight of each history level is the best of GRID on all
 training texts, with each token's own occurrence left out of the counts.
 
 The base score uses exact counts.  The HEAD most frequent tokens are summed
@@ -41,8 +41,6 @@ BASE = 1.5
 BITS = 1 << 28
 SHARDS = 256
 PROBES = 6
-#: Training texts that the interpolation weights are fitted on, at most; taken in hash order of the text.
-TUNE_DOCS = 2000
 GRID = (0.0, 0.01, 0.03, 0.06, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9)
 HEAD = 200_000
 HEAD_CHARS = 32
@@ -209,36 +207,61 @@ def _share(two: np.ndarray, before: np.ndarray) -> np.ndarray:
     return np.where(before > 0, np.minimum(two, before) / np.maximum(before, 1.0), 0.0)
 
 
+def _blocks(batch):
+    """The token hashes of each text, in blocks of about BLOCK tokens."""
+    held, size = [], 0
+    for text in batch.column(0):
+        held.append(byte_hashes(tokens(text.as_py())))
+        size += len(held[-1])
+        if size >= BLOCK:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def _grid_sums(c, before, two, level, many, n: int, v: int):
+    """Rows (level, i, total): the log10 probabilities of pairs that occur ``many`` times, by history level and weight of GRID."""
+    p = (np.maximum(c - 1, 0) + 0.5) / (n + 0.5 * (v + 1))
+    share = _share(np.maximum(two - 1, 0), np.maximum(before - 1, 0))
+    some, size = share > 0, int(level.max()) + 1
+    plain = np.bincount(level[~some], many[~some] * np.log10(p[~some]), size)
+    alone = np.bincount(level[~some], many[~some], size)
+    p, share, many, own = p[some], share[some], many[some], level[some]
+    out = ([], [], [])
+    for i, w in enumerate(GRID):
+        total = plain + alone * math.log10(1 - w) + np.bincount(own, many * np.log10(w * share + (1 - w) * p), size)
+        seen = np.unique(level)
+        for column, x in zip(out, (seen, np.full(len(seen), i), total[seen])):
+            column.append(x)
+    return pa.record_batch([pa.array(np.concatenate(x)) for x in out], names=["level", "i", "total"])
+
+
+def _best(found: DataFrame) -> tuple:
+    best = found.groupBy("level", "i").agg(F.sum("total").alias("total")).groupBy("level").agg(F.max_by("i", F.struct("total", (-F.col("i")).alias("less"))).alias("i")).collect()  # a row per level
+    out = [0.0] * (1 + max(r.level for r in best))
+    for r in best:
+        out[r.level] = GRID[r.i]
+    return tuple(out)
+
+
 def _tuned(docs: DataFrame, shared, cuts: tuple, n: int, v: int) -> tuple:
-    """The best weight of GRID for each history level, each token left out of its own counts."""
+    """The best weight of GRID for each history level over all texts, each token left out of its own counts."""
     if not n:
         return (0.0,)
 
     def run(batches):
         filter_ = shared.value
         for batch in batches:
-            parts = [byte_hashes(tokens(t.as_py())) for t in batch.column(0)]
-            if not parts:
-                continue
-            first = np.concatenate(([0], np.cumsum([len(x) for x in parts])))
-            c, before, two, level = _looked_up(np.concatenate(parts), first[:-1], first[1:] - 1, filter_, cuts)
-            p = (np.maximum(c - 1, 0) + 0.5) / (n + 0.5 * (v + 1))
-            share = _share(np.maximum(two - 1, 0), np.maximum(before - 1, 0))
-            out = ([], [], [])
-            for i, w in enumerate(GRID):
-                total = np.bincount(level, np.log10(w * share + (1 - w) * p))
-                for column, x in zip(out, (np.arange(len(total)), np.full(len(total), i), total)):
-                    column.append(x)
-            yield pa.record_batch([pa.array(np.concatenate(x)) for x in out], names=["level", "i", "total"])
-
-    text = text_of(docs)
-    sample = docs.select(text.alias("text")).orderBy(F.xxhash64("text"), "text").limit(TUNE_DOCS)
-    found = sample.mapInArrow(run, "level long, i long, total double").groupBy("level", "i").agg(F.sum("total").alias("total"))
-    best = found.groupBy("level").agg(F.max_by("i", F.struct("total", (-F.col("i")).alias("less"))).alias("i")).collect()  # a row per level
-    out = [0.0] * (1 + max(r.level for r in best))
-    for r in best:
-        out[r.level] = GRID[r.i]
-    return tuple(out)
+            for parts in _blocks(batch):
+                pairs, at, many = np.unique(np.concatenate([bigrams(x) for x in parts]), return_index=True, return_counts=True)
+                h, before = np.concatenate(parts)[at], np.concatenate([np.concatenate((x[-1:], x[:-1])) for x in parts])[at]
+                u, back = np.unique(np.concatenate((h, before)), return_inverse=True)
+                level = levels(u, filter_)[back]
+                c, level = level[: len(h)], level[len(h) :]
+                yield _grid_sums(_estimate(c, cuts[0]), _estimate(level, cuts[0]), _estimate(levels(pairs, filter_), cuts[1]), level, many, n, v)
+
+    return _best(docs.select(text_of(docs).alias("text")).mapInArrow(run, "level long, i long, total double"))
 
 
 def log_probabilities(h: np.ndarray, first: np.ndarray, ends: np.ndarray, model: Model, filter_: np.ndarray) -> np.ndarray:

@@ -1,6 +1,7 @@
 """LM scoring: exact base score by brute force, the filter against true counts, held-out gain."""
 
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -65,3 +66,34 @@ def test_filter_has_no_false_negative(spark):
     want = [1 + int(math.log(count[k] / model.cuts[0]) / math.log(lm_scoring.BASE)) for k in keys]
     assert all(a >= b for a, b in zip(got.tolist(), want))
     assert np.mean(got == want) > 0.7
+
+
+def test_weights_are_fitted_on_all_training_texts(spark):
+    """2,100 copies of one text, first in hash order, among 300 other texts: weights as by brute force over all."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(4)
+    pool = [f"copy {i} of the same text" for i in range(300)]
+    first = spark.createDataFrame([(x,) for x in pool], "text string").orderBy(F.xxhash64("text")).head().text
+    rows = [first] * 2100 + [" ".join(f"v{min(int(rng.expovariate(0.1)), 60)}" for _ in range(60)) for _ in range(300)]
+    model = lm_scoring.trained(spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "doc_id long, text string"), bits=1 << 20)
+    one, two, seen = Counter(), Counter(), []
+    for t in rows:
+        t = lm_scoring.tokens(t)
+        pairs = list(zip([t[-1], *t[:-1]], t))
+        one.update(t)
+        two.update(pairs)
+        seen += pairs
+    level = lambda c, cut: 0 if c < cut else 1 + int(math.floor(math.log(c / cut) / math.log(lm_scoring.BASE)))
+    about = lambda c, cut: float(lm_scoring._estimate(np.array([level(c, cut)]), cut)[0])
+    n, v = sum(one.values()), len(one)
+    sums = {}
+    for (a, b), m in Counter(seen).items():
+        before = max(about(one[a], model.cuts[0]) - 1, 0)
+        share = min(max(about(two[a, b], model.cuts[1]) - 1, 0), before) / before if before else 0.0
+        p = (max(about(one[b], model.cuts[0]) - 1, 0) + 0.5) / (n + 0.5 * (v + 1))
+        row = sums.setdefault(level(one[a], model.cuts[0]), [0.0] * len(lm_scoring.GRID))
+        for i, w in enumerate(lm_scoring.GRID):
+            row[i] += m * math.log10(w * share + (1 - w) * p)
+    want = [lm_scoring.GRID[int(np.argmax(sums[k]))] if k in sums else 0.0 for k in range(max(sums) + 1)]
+    assert list(model.weights) == want
