@@ -3,10 +3,12 @@
 Unigram and bigram counts of the training texts are summed over all of them.
 A count c is quantised to level q = 1 + floor(log_BASE(c / cut)), and the
 filter holds the items (n-gram, 1) ... (n-gram, q); a lookup probes levels upwards
-until one is absent.  The filter has a fixed number of BITS in SHARDS parts,
-so the broadcast has a proven bound; ``cuts``, the least counts that are held
-(from 1 for unigrams, 2 for bigrams), are the smallest whose items fill half the bits, found
-from the counts of counts of the whole corpus.  The probability interpolates the
+until one is absent.  Every n-gram is held, from a count of 1, at every size: the
+items are known from the counts of counts of the whole corpus, and the filter
+has BITS, or as many times two as its items need to fill half of it.  A filter
+of BITS is broadcast, in SHARDS parts.  A larger one stays a table of shards of
+the same size, and is probed through a shuffle: blocks of texts send the
+distinct hashes they need to the shards and get their levels back.  The probability interpolates the
 quantised bigram estimate with an add-half unigram estimate; a text's last
 token is its end, which is also the history of its first word.  The
 interpolation weight of each history level is the best of GRID on all
@@ -24,6 +26,7 @@ read.
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
 from dataclasses import dataclass
 
@@ -62,15 +65,20 @@ def bigrams(h: np.ndarray) -> np.ndarray:
     return mixed(np.concatenate((h[-1:], h[:-1])) * _ONE + h * _TWO)
 
 
-def _positions(h: np.ndarray, level: int, probe: int, bits: int) -> np.ndarray:
-    """Bit of an item for one probe: the shard by the high bits, then double hashing inside it."""
-    inside = np.uint64(bits // SHARDS)
+def _shard(h: np.ndarray, shards: int) -> np.ndarray:
+    """The shard by the high bits; ``shards`` is a power of two."""
+    return h >> np.uint64(65 - shards.bit_length()) if shards > 1 else np.zeros(len(h), np.uint64)
+
+
+def _positions(h: np.ndarray, level: int, probe: int, bits: int, shards: int = SHARDS) -> np.ndarray:
+    """Bit of an item for one probe: the shard, then double hashing inside it."""
+    inside = np.uint64(bits // shards)
     step = np.uint64((level * 0x9E3779B97F4A7C15) % 2**64)
     a, b = mixed(h ^ step), mixed(h + step) | np.uint64(1)
-    return (h >> np.uint64(56)) * inside + (a + np.uint64(probe) * b) % inside
+    return _shard(h, shards) * inside + (a + np.uint64(probe) * b) % inside
 
 
-def levels(h: np.ndarray, filter_: np.ndarray) -> np.ndarray:
+def levels(h: np.ndarray, filter_: np.ndarray, shards: int = SHARDS) -> np.ndarray:
     """Quantised level of each n-gram: probes go up until a level is absent."""
     bits = len(filter_) * 8
     out = np.zeros(len(h), np.int64)
@@ -79,7 +87,7 @@ def levels(h: np.ndarray, filter_: np.ndarray) -> np.ndarray:
     while len(alive):
         level += 1
         for probe in range(PROBES):
-            at = _positions(h[alive], level, probe, bits)
+            at = _positions(h[alive], level, probe, bits, shards)
             alive = alive[filter_[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1 == 1]
             if not len(alive):
                 break
@@ -89,7 +97,9 @@ def levels(h: np.ndarray, filter_: np.ndarray) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Model:
-    filter_: object  # broadcast uint8 array
+    filter_: object  # broadcast uint8 array, or none if the filter is a table
+    parts: DataFrame | None  # shard, part of a filter that is not broadcast
+    shards: int
     cuts: tuple  # least count of unigrams and of bigrams
     weights: tuple  # by level of the history
     n: int
@@ -137,21 +147,17 @@ def trained(docs: DataFrame, bits: int = BITS, head: int = HEAD) -> Model:
     spark = docs.sparkSession
     raw = docs.select(text_of(docs)).mapInArrow(_counted, "token string, hash long, n long")
     # One pass: unigrams keep their token, bigrams have none.
-    counts = written(raw.groupBy("token", "hash").agg(F.sum("n").alias("c")).where("c > 1 OR token IS NOT NULL"))
+    counts = written(raw.groupBy("token", "hash").agg(F.sum("n").alias("c")))
     vocabulary = written(counts.where("token IS NOT NULL").select("token", "c"))
     n, v = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).head()
-    order = F.when(F.col("token").isNull(), 1).otherwise(0).alias("order")
-    hist = counts.groupBy(order, "c").count().toArrow()  # a row per distinct count
-    kind, c, many = (hist.column(i).to_numpy() for i in range(3))
-    cuts = np.array([1, 2])
-
-    def load():
-        own = cuts[kind]
-        return (many * np.where(c >= own, 1 + np.floor(np.log(np.maximum(c / own, 1)) / math.log(BASE)), 0)).sum() * PROBES
-
-    while len(c) and load() > bits * math.log(2):
-        cuts = np.array([cuts[0] + (cuts[1] >= 64), cuts[1] + 1 + cuts[1] // 5])
-    held = counts.withColumn("shard", F.shiftrightunsigned("hash", 56)).withColumn("c", F.col("c") / F.when(F.col("token").isNull(), float(cuts[1])).otherwise(float(cuts[0]))).where("c >= 1")
+    hist = counts.groupBy("c").count().toArrow()  # a row per distinct count
+    c, many = (hist.column(i).to_numpy() for i in range(2))
+    cuts = (1, 1)
+    items = float((many * (1 + np.floor(np.log(c) / math.log(BASE)))).sum())
+    shards = SHARDS
+    while items * PROBES > bits * math.log(2) * (shards // SHARDS):
+        shards *= 2
+    held = counts.withColumn("shard", F.shiftrightunsigned("hash", 65 - shards.bit_length()))
     inside = bits // SHARDS // 8
 
     def build(batches):
@@ -167,22 +173,133 @@ def trained(docs: DataFrame, bits: int = BITS, head: int = HEAD) -> Model:
                 own, top = h[shard == s].view(np.uint64), level[shard == s]
                 for j in range(1, int(top.max()) + 1):
                     for probe in range(PROBES):
-                        at = _positions(own[top >= j], j, probe, bits) - np.uint64(s * inside * 8)
+                        at = _positions(own[top >= j], j, probe, inside * 8, 1)
                         np.bitwise_or.at(part, (at >> np.uint64(3)).astype(np.int64), np.left_shift(np.uint8(1), (at & np.uint64(7)).astype(np.uint8)))
         if part is not None:
             yield pa.record_batch([pa.array([current], pa.int64()), pa.array([part.tobytes()], pa.binary())], names=["shard", "part"])
 
-    parts = held.select(F.col("shard").cast("long"), "hash", "c").repartition("shard").sortWithinPartitions("shard").mapInArrow(build, "shard long, part binary").toArrow()
-    filter_ = np.zeros(bits // 8, np.uint8)  # BITS in all, whatever the input
-    for s, part in zip(parts.column(0).to_pylist(), parts.column(1)):
-        filter_[s * inside : (s + 1) * inside] = np.frombuffer(part.as_py(), np.uint8)
+    parts = held.select(F.col("shard").cast("long"), "hash", "c").repartition("shard").sortWithinPartitions("shard").mapInArrow(build, "shard long, part binary")
+    shared = None
+    if shards == SHARDS:
+        filter_ = np.zeros(bits // 8, np.uint8)  # ``bits`` in all, whatever the input
+        found = parts.toArrow()
+        for s, part in zip(found.column(0).to_pylist(), found.column(1)):
+            filter_[s * inside : (s + 1) * inside] = np.frombuffer(part.as_py(), np.uint8)
+        shared, parts = spark.sparkContext.broadcast(filter_), None
+    else:
+        parts = written(parts)
     top = vocabulary.where(F.length("token") <= HEAD_CHARS).orderBy(F.desc("c"), "token").limit(head).toArrow()
     known = {t.encode(): math.log10((c + 0.5) / (n + 0.5 * (v + 1))) for t, c in zip(top.column(0).to_pylist(), top.column(1).to_pylist())}
     dropped(counts)
-    shared = spark.sparkContext.broadcast(filter_)
-    cuts = tuple(cuts.tolist())
-    weights = _tuned(docs, shared, cuts, n, v)
-    return Model(shared, cuts, weights, n, v, vocabulary, spark.sparkContext.broadcast(known))
+    weights = _tuned(docs, shared, cuts, n, v) if parts is None else _tuned_by_shards(docs, parts, shards, cuts, n, v)
+    return Model(shared, parts, shards, cuts, weights, n, v, vocabulary, spark.sparkContext.broadcast(known))
+
+
+def _packed(parts: list[np.ndarray]) -> bytes:
+    """A block of texts: its distinct hashes, the texts' lengths and the place of each token among the hashes."""
+    u, codes = np.unique(np.concatenate(parts), return_inverse=True)
+    sizes = np.array([len(u), len(parts)], np.int64)
+    return sizes.tobytes() + u.tobytes() + np.array([len(x) for x in parts], np.int64).tobytes() + zlib.compress(codes.astype(np.int32).tobytes(), 1)
+
+
+def _unpacked(data: bytes, shards: int):
+    """Of a block: number of distinct tokens, the texts' first places, tokens, their
+    histories and pairs as places among the distinct ones, hashes of tokens and pairs and their order by shard."""
+    n, texts = np.frombuffer(data, np.int64, 2).tolist()
+    u = np.frombuffer(data, np.uint64, n, 16)
+    first = np.concatenate(([0], np.cumsum(np.frombuffer(data, np.int64, texts, 16 + 8 * n))))
+    codes = np.frombuffer(zlib.decompress(data[16 + 8 * (n + texts) :]), np.int32).astype(np.int64)
+    before = np.concatenate((codes[:1], codes[:-1]))
+    before[first[:-1]] = codes[first[1:] - 1]
+    pairs, pair = np.unique(before * n + codes, return_inverse=True)
+    h = np.concatenate((u, mixed(u[pairs // n] * _ONE + u[pairs % n] * _TWO)))
+    return n, first[:-1], codes, before, pair, h, np.argsort(_shard(h, shards), kind="stable")
+
+
+def _by_shards(blocks: DataFrame, parts: DataFrame, shards: int, solve, schema: str) -> DataFrame:
+    """``solve(block, (n, first, codes, before, pair), levels)`` of each of the written ``blocks`` (block, data), with
+    the levels of its tokens and pairs.  Each block sends its hashes to the shards; nothing larger than a block or a shard is held."""
+
+    def ask(batches):
+        for batch in batches:
+            for block, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+                *_, h, order = _unpacked(data.as_py(), shards)
+                h = h[order]
+                shard = _shard(h, shards)
+                cut = [0, *(np.flatnonzero(shard[1:] != shard[:-1]) + 1).tolist(), len(h)]
+                own = shard[cut[:-1]].astype(np.int64)
+                yield pa.record_batch([pa.array(own), pa.array([block] * len(own), pa.int64()), pa.array([h[a:b].tobytes() for a, b in zip(cut, cut[1:])], pa.binary())], names=["shard", "block", "data"])
+
+    def probe(batches):
+        current, part = None, None
+        for batch in batches:
+            shard, block, data = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2)
+            cut = [0, *(np.flatnonzero(shard[1:] != shard[:-1]) + 1).tolist(), len(shard)]
+            for a, b in zip(cut, cut[1:]):
+                if a == b:
+                    continue
+                if shard[a] != current:
+                    current, part = shard[a], None
+                if block[a] < 0:
+                    part = np.frombuffer(data[a].as_py(), np.uint8)
+                    a += 1
+                if a == b:
+                    continue
+                asked = [np.frombuffer(data[i].as_py(), np.uint64) for i in range(a, b)]
+                ends = np.cumsum([len(x) for x in asked])
+                u, back = np.unique(np.concatenate(asked), return_inverse=True)
+                # A shard without items has no part.
+                found = (np.zeros(len(u), np.uint8) if part is None else levels(u, part, 1).astype(np.uint8))[back]
+                yield pa.record_batch([pa.array(shard[a:b]), pa.array(block[a:b]), pa.array([x.tobytes() for x in np.split(found, ends[:-1])], pa.binary())], names=["shard", "block", "data"])
+
+    def gather(batches):
+        block, data, got = None, None, []
+
+        def solved():
+            *rest, h, order = _unpacked(data, shards)
+            level = np.empty(len(h), np.int64)
+            level[order] = np.frombuffer(b"".join(got), np.uint8)
+            return solve(block, rest, level)
+
+        for batch in batches:
+            for b, piece in zip(batch.column(1).to_pylist(), batch.column(2)):
+                if b != block:
+                    if block is not None:
+                        yield solved()
+                    block, data, got = b, piece.as_py(), []
+                else:
+                    got.append(piece.as_py())
+        if block is not None:
+            yield solved()
+
+    kind = "shard long, block long, data binary"
+    asked = blocks.select("block", "data").mapInArrow(ask, kind)
+    filter_ = parts.select("shard", F.lit(-1).cast("long").alias("block"), F.col("part").alias("data"))
+    found = asked.unionByName(filter_).repartition("shard").sortWithinPartitions("shard", "block").mapInArrow(probe, kind)
+    own = blocks.select(F.lit(-1).cast("long").alias("shard"), "block", "data")
+    return found.unionByName(own).repartition("block").sortWithinPartitions("block", "shard").mapInArrow(gather, schema)
+
+
+def _tuned_by_shards(docs: DataFrame, parts: DataFrame, shards: int, cuts: tuple, n: int, v: int) -> tuple:
+    """``_tuned`` with a filter that is not broadcast."""
+
+    def pack(batches):
+        task, row = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            for own in _blocks(batch):
+                yield pa.record_batch([pa.array([task << 33 | row], pa.int64()), pa.array([_packed(own)], pa.binary())], names=["block", "data"])
+                row += len(own)
+
+    def solve(block, rest, level):
+        size, _, codes, before, pair = rest
+        _, at, many = np.unique(pair, return_index=True, return_counts=True)
+        own, history = level[codes[at]], level[before[at]]
+        return _grid_sums(_estimate(own, cuts[0]), _estimate(history, cuts[0]), _estimate(level[size:], cuts[1]), history, many, n, v)
+
+    blocks = written(docs.select(text_of(docs).alias("text")).mapInArrow(pack, "block long, data binary"))
+    out = _best(_by_shards(blocks, parts, shards, solve, "level long, i long, total double"))
+    dropped(blocks)
+    return out
 
 
 def _estimate(level: np.ndarray, cut: int) -> np.ndarray:
@@ -267,7 +384,10 @@ def _tuned(docs: DataFrame, shared, cuts: tuple, n: int, v: int) -> tuple:
 def log_probabilities(h: np.ndarray, first: np.ndarray, ends: np.ndarray, model: Model, filter_: np.ndarray) -> np.ndarray:
     """log10 p of each token; ``h`` are the texts' tokens end to end, ``first``
     and ``ends`` the places of each text's first and last token."""
-    c, before, two, level = _looked_up(h, first, ends, filter_, model.cuts)
+    return _log_p(*_looked_up(h, first, ends, filter_, model.cuts), model)
+
+
+def _log_p(c: np.ndarray, before: np.ndarray, two: np.ndarray, level: np.ndarray, model: Model) -> np.ndarray:
     p = (c + 0.5) / (model.n + 0.5 * (model.v + 1))
     weights = np.array(model.weights)
     w = np.where(before > 0, weights[np.minimum(level, len(weights) - 1)], 0.0)
@@ -283,10 +403,11 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     rows = docs.select(text_of(docs).alias("text"), F.struct(*[spare[f"`{c}`"] for c in other]).alias("rest"))
     rest_type = rows.schema["rest"].dataType.simpleString()
     filters, heads = model.filter_, model.head
-    small = Model(None, model.cuts, model.weights, model.n, model.v, None, None)
+    small = Model(None, None, model.shards, model.cuts, model.weights, model.n, model.v, None, None)
+    sharded = model.parts is not None
 
     def run(batches):
-        filter_, known = filters.value, heads.value
+        filter_, known = None if sharded else filters.value, heads.value
         task, row = TaskContext.get().partitionId(), 0
         for batch in batches:
             at = 0
@@ -314,9 +435,12 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
                     at += 1
                     row += 1
                 first = np.concatenate(([0], np.cumsum(n_tokens)))
-                log_p = log_probabilities(np.concatenate(hashes), first[:-1], first[1:] - 1, small, filter_) if total else np.zeros(size)
-                score = np.add.reduceat(log_p, first[:-1])
                 none, own = len(tail_place), len(place)
+                if sharded:
+                    score = [None] * own
+                else:
+                    log_p = log_probabilities(np.concatenate(hashes), first[:-1], first[1:] - 1, small, filter_) if total else np.zeros(size)
+                    score = np.add.reduceat(log_p, first[:-1]).tolist()
                 rest = batch.column(1).slice(begin, own)
                 yield pa.record_batch(
                     [
@@ -325,17 +449,29 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
                         pa.array([*n_tokens, *tail_n], pa.int64()),
                         pa.array([*n_known, *[None] * none], pa.int64()),
                         pa.array([*base, *[None] * none], pa.float64()),
-                        pa.array([*score.tolist(), *[None] * none], pa.float64()),
+                        pa.array([*score, *[None] * none], pa.float64()),
                         pa.array([*[None] * own, *tail_token], pa.binary()).cast(pa.string()),
+                        pa.array([_packed(hashes) if sharded and i == 0 else None for i in range(own + none)], pa.binary()),
                     ],
-                    names=["place", "rest", "n", "known", "base", "score", "token"],
+                    names=["place", "rest", "n", "known", "base", "score", "token", "block"],
                 )
 
-    parts = written(rows.mapInArrow(run, f"place long, rest {rest_type}, n long, known long, base double, score double, token string"))
+    parts = written(rows.mapInArrow(run, f"place long, rest {rest_type}, n long, known long, base double, score double, token string, block binary"))
     tail = parts.where(F.col("token").isNotNull()).select("token", "place", "n").join(model.vocabulary, "token", "left")
     each = F.when(F.col("c").isNull(), F.lit(floor)).otherwise(F.log10((F.col("c") + 0.5) / F.lit(float(total or 1))))
     tail = tail.groupBy("place").agg(F.sum(F.col("n") * each).alias("more"), F.coalesce(F.sum(F.when(F.col("c").isNotNull(), F.col("n"))), F.lit(0)).alias("also"))
-    out = parts.where(F.col("token").isNull()).join(tail, "place", "left")
+    out = parts.where(F.col("token").isNull()).drop("block").join(tail, "place", "left")
+    if sharded:
+
+        def solve(block, rest, level):
+            size, first, codes, before, pair = rest
+            own, history = level[codes], level[before]
+            cuts = small.cuts
+            log_p = _log_p(_estimate(own, cuts[0]), _estimate(history, cuts[0]), _estimate(level[size:], cuts[1])[pair], history, small)
+            return pa.record_batch([pa.array(block + np.arange(len(first))), pa.array(np.add.reduceat(log_p, first))], names=["place", "score"])
+
+        blocks = parts.where(F.col("block").isNotNull()).select(F.col("place").alias("block"), F.col("block").alias("data"))
+        out = out.drop("score").join(_by_shards(blocks, model.parts, model.shards, solve, "place long, score double"), "place")
     return out.select(
         *[F.col(f"rest.`{c}`").alias(c) for c in other],
         F.col("n").alias("n_tokens"),

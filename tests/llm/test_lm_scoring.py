@@ -97,3 +97,37 @@ def test_weights_are_fitted_on_all_training_texts(spark):
             row[i] += m * math.log10(w * share + (1 - w) * p)
     want = [lm_scoring.GRID[int(np.argmax(sums[k]))] if k in sums else 0.0 for k in range(max(sums) + 1)]
     assert list(model.weights) == want
+
+
+def test_the_filter_grows_with_the_input(spark):
+    """A bound of 2^16 bits, far below the items: nothing is cut, and the levels found through
+    shards are those of the filter in one piece."""
+    rng = random.Random(8)
+    rows = [(i, None if i == 7 else " ".join(f"v{int(rng.expovariate(0.003))}" for _ in range(rng.randrange(80)))) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    large, small = lm_scoring.trained(docs, bits=1 << 24), lm_scoring.trained(docs, bits=1 << 16)
+    assert small.cuts == large.cuts == (1, 1)
+    assert small.parts is not None and small.filter_ is None and small.shards > lm_scoring.SHARDS
+    once = Counter(p for _, t in rows for p in lm_scoring.bigrams(lm_scoring.byte_hashes(lm_scoring.tokens(t or ""))).tolist())
+    once = np.array([h for h, c in once.items() if c == 1], np.uint64)
+    assert len(once) > 1000 and (lm_scoring.levels(once, large.filter_.value) >= 1).all()
+    # The same filter in one piece.
+    filter_ = np.zeros(small.shards * 32, np.uint8)
+    for r in small.parts.collect():
+        filter_[r.shard * 32 : (r.shard + 1) * 32] = np.frombuffer(r.part, np.uint8)
+    assert (lm_scoring.levels(once, filter_, small.shards) >= 1).all()
+    sums, want = {}, {}
+    for pick in (True, False):
+        for d, t in rows:
+            h = lm_scoring.byte_hashes(lm_scoring.tokens(t or ""))
+            before = np.concatenate((h[-1:], h[:-1]))
+            own, history, two = (lm_scoring.levels(k, filter_, small.shards) for k in (h, before, lm_scoring.bigrams(h)))
+            found = lm_scoring._estimate(own, 1), lm_scoring._estimate(history, 1), lm_scoring._estimate(two, 1), history
+            if pick:
+                for level, i, total in zip(*(c.to_pylist() for c in lm_scoring._grid_sums(*found, np.ones(len(h)), small.n, small.v).columns)):
+                    sums.setdefault(level, [0.0] * len(lm_scoring.GRID))[i] += total
+            else:
+                want[d] = lm_scoring._log_p(*found, small).sum()
+    assert list(small.weights) == [lm_scoring.GRID[int(np.argmax(np.round(sums[k], 9)))] if k in sums else 0.0 for k in range(max(sums) + 1)]
+    got = lm_scoring.scored(docs, small).collect()
+    assert len(got) == len(rows) and all(r.score == pytest.approx(want[r.doc_id], rel=1e-9) for r in got)
