@@ -31,6 +31,8 @@ other columns are neither read nor changed.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -101,16 +103,18 @@ class Signatures:
 
 
 def _sets(docs: DataFrame) -> DataFrame:
-    """place (row number), doc_id, n, cls (128 bits of the set); for the first
+    """place (row number), doc_id, n, cls (128 bits of the set), md5 (of the text); for the first
     of a class in a task also low, the first hashes of the set: those of REGION, or more if
     the prefix needs them, and bits."""
 
     def run(batches):
         task, row, seen = TaskContext.get().partitionId(), 0, set()
         for batch in batches:
-            out = ([], [], [], [], [], [])
+            out = ([], [], [], [], [], [], [])
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                s = shingle_set(text.as_py())
+                text = text.as_py()
+                s = shingle_set(text)
+                md5 = hashlib.md5(text.encode("utf-8", "surrogatepass")).digest()
                 cls = xxhash.xxh3_128_digest(s.tobytes())
                 low = bits = None
                 if len(s) and cls not in seen:
@@ -119,13 +123,13 @@ def _sets(docs: DataFrame) -> DataFrame:
                     p = len(s) - need(len(s)) + 1
                     low = s[: max(p, int(np.searchsorted(s, REGION)))].view(np.int64)
                     bits = bitmap(s)
-                for a, v in zip(out, (task << 33 | row, doc_id, len(s), cls, low, bits)):
+                for a, v in zip(out, (task << 33 | row, doc_id, len(s), cls, md5, low, bits)):
                     a.append(v)
                 row += 1
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.binary())
-            yield pa.record_batch([pa.array(a, t) for a, t in zip(out, types)], names=["place", "doc_id", "n", "cls", "low", "bits"])
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.binary())
+            yield pa.record_batch([pa.array(a, t) for a, t in zip(out, types)], names=["place", "doc_id", "n", "cls", "md5", "low", "bits"])
 
-    return docs.select(docs["doc_id"].cast("long"), text_of(docs)).mapInArrow(run, "place long, doc_id long, n long, cls binary, low array<long>, bits binary")
+    return docs.select(docs["doc_id"].cast("long"), text_of(docs)).mapInArrow(run, "place long, doc_id long, n long, cls binary, md5 binary, low array<long>, bits binary")
 
 
 def _prefixes(heads: DataFrame, hot: np.ndarray) -> DataFrame:
@@ -352,6 +356,11 @@ def _tiles(rows: DataFrame, heads: DataFrame, tried: DataFrame, tile: int, fores
 
 def joined(docs: DataFrame, tile: int = TILE, hot_count: int = HOT_COUNT, hot_rows: int = HOT_ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id, one row per input row."""
+    return _labelled(docs, tile, hot_count, hot_rows).drop("md5")
+
+
+def _labelled(docs: DataFrame, tile: int = TILE, hot_count: int = HOT_COUNT, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """``joined`` with the md5 of each row's text."""
     sets = written(_sets(docs))
     heads = sets.where("low IS NOT NULL")
     hot = heads.select(F.explode("low").alias("key")).where(F.col("key").between(0, int(REGION)))  # REGION < 2**63: not negative
@@ -392,8 +401,8 @@ def joined(docs: DataFrame, tile: int = TILE, hot_count: int = HOT_COUNT, hot_ro
     ids = sets.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("least"))
     least = ids.join(of_class, "cls")
     least = least.join(least.groupBy("comp").agg(F.min("least").alias("component_id")), "comp").select("cls", "component_id")
-    out = sets.select("doc_id", "n", "cls").join(least.withColumnRenamed("cls", "k"), (F.col("n") > 0) & (F.col("cls") == F.col("k")), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    out = sets.select("doc_id", "n", "cls", "md5").join(least.withColumnRenamed("cls", "k"), (F.col("n") > 0) & (F.col("cls") == F.col("k")), "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "md5")
 
 
 def _contracted(comp: DataFrame, links: DataFrame) -> DataFrame:
@@ -413,10 +422,12 @@ def _renamed(rows: DataFrame, column: str, nodes: DataFrame) -> DataFrame:
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose id is the least of its component; wordless
-    and unlinked rows all stay, of rows that repeat an id and a text one stays."""
-    gone = joined(docs).where("n_shingles > 0 AND NOT doc_id <=> component_id").select(F.col("doc_id").alias("__gone")).distinct()
+    and unlinked rows all stay, of rows that repeat an id and a text one stays.
+    A row goes by its id and text, as other rows of its id may be unlinked."""
+    gone = _labelled(docs).where("n_shingles > 0 AND NOT doc_id <=> component_id").select(F.col("doc_id").alias("__gone"), F.col("md5").alias("__md5")).distinct()
     gone = written(gone)
-    kept = bounded_join(docs, gone, docs["doc_id"].eqNullSafe(gone["__gone"]), "left_anti", 48)
+    own = F.unhex(F.md5(text_of(docs).cast("binary")))
+    kept = bounded_join(docs, gone, docs["doc_id"].eqNullSafe(gone["__gone"]) & (own == gone["__md5"]), "left_anti", 80)
     again = written(kept.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__again")))
     if again.isEmpty():
         return kept

@@ -72,6 +72,14 @@ def test_one_of_each(spark):
     assert ngram_join.one_of_each(docs.limit(0)).count() == 0
 
 
+def test_one_of_each_keeps_other_rows_of_an_id(spark):
+    """Rows with a null id, and one id on two texts: only the linked row goes."""
+    base = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, base), (None, base + " more"), (None, "quite another text of its own"), (None, None), (None, " "), (5, base + " again"), (5, "a clean text with the same id"), (6, "not linked at all to the others")]
+    got = ngram_join.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted((r for i, r in enumerate(rows) if i not in (1, 5)), key=repr)
+
+
 def test_whole_table(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.collect()]
