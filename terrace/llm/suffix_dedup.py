@@ -95,8 +95,8 @@ def anchors(data: bytes, length: int = LENGTH, k: int = K):
 def matches(segments: list[tuple[int, bytes]], length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For segments (group, bytes) laid end to end: the start of each, and
     for each position whether the suffix of the same group there has an earlier and a later match of
-    ``length``.  Suffix array by prefix doubling up to the length, then
-    previous and next smaller (larger) positions among suffixes with that common prefix."""
+    ``length``.  Suffixes are ranked by prefix doubling up to the length and sorted by rank and
+    position; there is no LPF array: neighbours of equal rank tell whether LPF reaches the length, which is all that is asked."""
     sizes = np.array([len(b) for _, b in segments])
     starts = np.concatenate(([0], np.cumsum(sizes)))
     n = int(starts[-1])
@@ -217,7 +217,7 @@ def marked(docs: DataFrame, length: int = LENGTH, k: int = K, keep_first: bool =
     """doc (128-bit digest of a text) and spans, the byte ranges [start, end) of it that repeat; texts without any are left out.
 
     With ``keep_first`` the first occurrence of each string, by digest of its
-    text and position, stays; rows that repeat a whole text still share one digest and so all keep it."""
+    text and position, stays; rows that repeat a whole text share its spans here, ``removed`` tells them apart."""
     rows = written(_anchor_rows(docs, length, k))
     counts = written(rows.groupBy("h", "c").agg(F.count("*").alias("n")))
     by_anchor = counts.groupBy("h").agg(F.sum("n").alias("total"), F.count("*").alias("kinds")).where("total > 1")
@@ -252,13 +252,25 @@ def removed(docs: DataFrame, **how) -> DataFrame:
     spans = marked(docs, **how)
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).cast("binary").alias("data"))
     texts = texts.withColumn("doc", F.unhex(F.md5("data")))
+    length, copy = how.get("length", LENGTH), F.lit(False)
+    if how.get("keep_first"):
+        # Of the rows of one text the least id keeps its first occurrences; in the others every window has occurred before.
+        texts = written(texts.withColumn("row", F.monotonically_increasing_id()))
+        rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+        groups = texts.where(F.length("data") >= length).groupBy("doc").agg(F.min(rank)["row"].alias("first"), F.count("*").alias("n")).where("n > 1")
+        groups = written(groups.select("doc", "first"))
+        texts = bounded_join(texts, groups, "doc", "left", 80)
+        copy = F.coalesce(F.col("row") != F.col("first"), F.lit(False))
+    texts = texts.select("doc_id", "data", "doc", copy.alias("copy"))
     wide = bounded_join(texts, spans, "doc", "left", _row_bytes(spans, "spans", 32))
 
     def run(batches):
         for batch in batches:
             kept, size, gone, runs = [], [], [], []
-            for data, spans in zip(batch.column(1), batch.column(2)):
+            for data, spans, copy in zip(batch.column(1), batch.column(2), batch.column(3).to_pylist()):
                 data, spans = data.as_py(), spans.as_py()
+                if copy:
+                    spans = [{"start": 0, "stop": len(data)}]
                 parts, at, n = [], 0, 0
                 stop = -1
                 for s in spans or ():
@@ -274,7 +286,7 @@ def removed(docs: DataFrame, **how) -> DataFrame:
                 runs.append(n)
             yield pa.record_batch([batch.column(0), pa.array(kept, pa.binary()), *(pa.array(x, pa.int64()) for x in (size, gone, runs))], names=["doc_id", "kept", "n_bytes", "n_removed", "n_spans"])
 
-    return wide.select("doc_id", "data", "spans").mapInArrow(run, "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long")
+    return wide.select("doc_id", "data", "spans", "copy").mapInArrow(run, "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long")
 
 
 def op9_suffix_dedup(spark, sf_dir: str) -> DataFrame:

@@ -70,6 +70,21 @@ def test_keep_first(spark):
     assert sum(base.encode()[300:600] in k for k in kept) == 1
 
 
+def test_keep_first_of_equal_texts(spark):
+    """Copies of a whole text, with equal and null ids: one row keeps it, and a passage of it in another text goes or stays once."""
+    rng = random.Random(3)
+    whole, other = ("".join(rng.choice("abcdefgh ") for _ in range(700)) for _ in range(2))
+    rows = [(None, whole), (4, whole), (4, whole), (9, whole), (None, other), (None, other), (1, "short"), (2, "short"), (3, "x" + whole[:500])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = suffix_dedup.removed(docs, keep_first=True).collect()
+    kept = [bytes(r.kept) for r in found]
+    assert len(kept) == len(rows) and kept.count(b"short") == 2
+    assert kept.count(other.encode()) == 1
+    assert sum(whole[100:400].encode() in k for k in kept) == 1
+    assert sum(whole[450:].encode() in k for k in kept) <= 1 and sum(whole[500:].encode() in k for k in kept) == 1
+    assert sum(r.n_removed == 700 and r.n_spans == 1 for r in found) == 4
+
+
 def test_whole_table(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.collect()]
