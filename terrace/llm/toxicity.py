@@ -181,7 +181,7 @@ def trained(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> Lexic
     # Stems of real words explain many texts each: by toxic texts beyond what chance gives.
     gain = F.col("t") * F.col("w")
     top = sums.where((F.col("t") >= MIN_TOXIC) & (F.col("w") >= MIN_WEIGHT)).orderBy(F.desc(gain), F.length("f"), "f").limit(MOST_ENTRIES).toPandas()
-    entries = _chosen(top, toxic)
+    entries = _chosen(top)
     known = [f for f, _ in entries]
     shield = _exceptions(sums, known) if known else []
     entries += [e for e in prior if e[0] not in set(known)]
@@ -189,13 +189,12 @@ def trained(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> Lexic
     return _calibrated(sample, lexicon)
 
 
-def _chosen(top: pd.DataFrame, toxic: int) -> list[tuple[str, float]]:
+def _chosen(top: pd.DataFrame) -> list[tuple[str, float]]:
     """Entries by gain; one that only extends or begins a chosen one adds nothing."""
     out: list[tuple[str, float]] = []
     taken: list[str] = []
-    least = max(MIN_TOXIC, 0.004 * toxic)
-    for f, t, w in zip(top.f, top.t, top.w):
-        if t < least or any(f.startswith(x) or x.startswith(f) for x in taken):
+    for f, w in zip(top.f, top.w):
+        if any(f.startswith(x) or x.startswith(f) for x in taken):
             continue
         taken.append(f)
         out.append((f, float(w)))
@@ -204,10 +203,11 @@ def _chosen(top: pd.DataFrame, toxic: int) -> list[tuple[str, float]]:
 
 def _exceptions(sums: DataFrame, known: list[str]) -> list[tuple[str, float]]:
     """Longer beginnings and words under an entry that clean texts hold and toxic ones do not."""
-    under = F.lit(False)
-    for f in known[:200]:
-        under = under | (F.col("f").startswith(f) & (F.length("f") > len(f)))
-    found = sums.where(under & (F.col("w") < 0)).orderBy(F.desc("c"), "f").limit(MOST_ENTRIES).toPandas()
+    lengths = sorted({len(f) for f in known})
+    starts = F.array_compact(F.array(*[F.when(F.length("f") > n, F.substring("f", 1, n)) for n in lengths]))
+    entries = F.broadcast(sums.sparkSession.createDataFrame([(f,) for f in known], "start string"))  # MOST_ENTRIES rows at most
+    under = sums.where("w < 0").select("f", "c", F.explode(starts).alias("start")).join(entries, "start").select("f", "c").distinct()
+    found = under.orderBy(F.desc("c"), "f").toPandas()  # of the words of TRAIN_DOCS texts at most
     return [(f, -1.0) for f in found.f]
 
 

@@ -44,6 +44,21 @@ def test_prior_and_odd_rows(spark):
     assert T.scored(docs.limit(0), lexicon).count() == 0
 
 
+def test_every_entry_has_its_exceptions(spark):
+    known = [f" q{i:03d}" for i in range(300)]
+    sums = spark.createDataFrame([(f"{f}ly ", 30, 0, -3.0) for f in known] + [(f, 0, 30, 3.0) for f in known] + [(" other ", 30, 0, -3.0)], "f string, c long, t long, w double")
+    assert sorted(T._exceptions(sums, known)) == [(f"{f}ly ", -1.0) for f in known]
+
+
+def test_rare_terms_stay_with_many_labels(spark):
+    """A term in 5 toxic texts is an entry beside 20 and beside 1,600 others."""
+    rows = lambda n: [(i, "calm words of a day" if i % 2 else "some grotward here" + (" zyxgrub" if i < 10 else "")) for i in range(2 * n)]
+    for n in (25, 1605):
+        docs = spark.createDataFrame(rows(n), "doc_id long, text string")
+        lexicon = T.trained(docs, docs.select("doc_id", (1 - F.col("doc_id") % 2).alias("toxic")))
+        assert any(e.startswith(" zyx") and w > 0 for e, w in lexicon.entries)
+
+
 def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.1"
     found = T.op4_toxicity(spark, sf).where("held_out").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id")
