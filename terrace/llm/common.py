@@ -36,3 +36,17 @@ def text_of(df: DataFrame, name: str = "text") -> Column:
 
 def word_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(WORD)).cast("long")
+
+
+def most_frequent(counts: DataFrame, column: str, most: int) -> DataFrame:
+    """The rows of the written table ``counts`` whose ``column`` reaches the
+    least value that at most ``most`` rows reach.  The value comes from the
+    histogram of the column (a row per distinct count), so no task sorts all rows."""
+    hist = sorted(((r[0], r[1]) for r in counts.groupBy(column).agg(F.count("*").alias("rows")).collect()), reverse=True)
+    least, total = None, 0
+    for value, rows in hist:
+        total += rows
+        if total > most:
+            break
+        least = value
+    return counts.where(F.col(column) >= least) if least is not None else counts.limit(0)

@@ -8,19 +8,25 @@ puts shingles that many sets hold last, so that a passage shared by a third
 of all documents makes no huge group; any order is exact.
 
 Sets that share a prefix shingle are compared inside size bands (a link needs
-3/4 of the size), first by bitmaps: |A & B| <= min(|A| - |a \\ b|,
-|B| - |b \\ a|) over the bits, which discards pairs before the sorted arrays
-of the sets are intersected exactly.
-
-Groups are never expanded to all pairs.  Round one checks each member against
-the first of its (shingle, band), a star; the shingles of a group take their
-firsts by one of eight random orders, so that near copies which one first
-misses meet another.  The components of these links are
-contracted, and further rounds compare only members of one shingle's group that
-are still in different components, in tiles of TILE rows; a tile pair within
-one component is skipped, and a tile gives spanning forests of its components, not all pairs.
-The rounds end when no untried pair passes the bound: then every pair that
-shares a prefix shingle has been ruled out or is connected.
+3/4 of the size, so it spans neighbouring bands at most), first by bitmaps:
+|A & B| <= min(|A| - |a \\ b|, |B| - |b \\ a|) over the bits, which discards
+pairs before the sorted arrays of the sets are intersected exactly.
+
+Groups are never expanded to all pairs:
+
+1. Stars.  Each member is checked against the first of its (shingle, band);
+   the shingles of a group take their firsts by one of eight random orders, so
+   that near copies which one first misses meet another.  The components of
+   these links are contracted.
+2. Tiles.  A shingle's group that still spans components is cut into tiles of
+   TILE rows of one band.  Tile pairs of one component, or whose sizes cannot
+   link, are skipped.  A tile pair gives spanning forests of the pairs that its
+   bitmaps allow, at most FORESTS of them, and these are intersected.
+3. Exact tiles.  A tile pair that had more candidates than its forests (a
+   family of near misses) gets the sets themselves, intersects them in place
+   and gives links only; a pair is met in its least common shingle alone.
+
+Every pair that shares a prefix shingle is then connected or ruled out.
 
 Defined cases: a null, empty or wordless text has no shingles, links with
 nothing and is its own component; a text of fewer than five words is one
@@ -32,6 +38,7 @@ other columns are neither read nor changed.
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -41,10 +48,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from terrace.llm.common import text_of
+from terrace.llm.common import most_frequent, text_of
 from terrace.llm.shingles import shingle_set
 from terrace.operators.components import components
-from terrace.plans.scratch import bounded_join, dropped, written
+from terrace.plans.scratch import bounded_join, dropped, small_batches, written
 
 #: Sets hold a shingle this often: it moves to the end of the order.
 HOT_COUNT = 16
@@ -53,8 +60,14 @@ HOT_ROWS = 1_000_000
 #: Share of the hash space whose shingles come first in the order.
 REGION = np.uint64(int(0.4 * 2**64))
 TILE = 512
-#: Spanning forests of untried pairs that a tile gives in the first round; in each further one so many times more.
+#: Spanning forests of candidates that a tile pair gives before it is solved by exact sets.
 FORESTS = 16
+#: Members of a star that one task intersects with its first.
+STAR = 64
+#: Tiles up to this many rows are compared pair by pair, larger ones row by row.
+SMALL = 24
+#: A place is the band of a set's size, then the task and row that read it.
+BAND_SHIFT, TASK_SHIFT = 54, 30
 
 
 def linked(a: int, b: int, both: int) -> bool:
@@ -66,6 +79,11 @@ def need(n):
     return (3 * n + 3) // 4
 
 
+def band(n: int) -> int:
+    """Linked sets are of the same or of neighbouring bands."""
+    return int(math.log(n) / math.log(4 / 3)) if n else 0
+
+
 def bitmap(s: np.ndarray) -> bytes:
     """Bits of the hashes, two to four a shingle, a power of two of them."""
     bits = 1 << max(6, int(2 * len(s) - 1).bit_length())
@@ -74,6 +92,21 @@ def bitmap(s: np.ndarray) -> bytes:
     return np.packbits(out, bitorder="little").tobytes()
 
 
+def bound(n: int, a: int, width: int, m: int, b: int, other: int) -> float:
+    """The similarity that the bitmaps (as numbers of ``width`` and ``other``
+    bits) of sets of n and m allow at most, 0 if that or the sizes rule a link out."""
+    if 4 * min(n, m) < 3 * max(n, m):
+        return 0.0
+    while width > other:
+        width >>= 1
+        a = a >> width | a & (1 << width) - 1
+    while other > width:
+        other >>= 1
+        b = b >> other | b & (1 << other) - 1
+    most = min(n - (a & ~b).bit_count(), m - (b & ~a).bit_count())
+    return most / max(n + m - most, 1) if 100 * most >= 75 * (n + m - most) else 0.0
+
+
 def _folded(a: np.ndarray, size: int) -> np.ndarray:
     """Rows of bitmaps brought to ``size`` bytes."""
     return a if a.shape[-1] == size else np.bitwise_or.reduce(a.reshape(*a.shape[:-1], -1, size), axis=-2)
@@ -102,8 +135,27 @@ class Signatures:
         return out
 
 
+class Forest:
+    """Union-find over a few labels."""
+
+    def __init__(self) -> None:
+        self.parent: dict[int, int] = {}
+
+    def root(self, c: int) -> int:
+        p = self.parent
+        while (up := p.setdefault(c, c)) != c:
+            p[c] = c = p.setdefault(up, up)
+        return c
+
+    def joins(self, a: int, b: int) -> bool:
+        """Whether a and b were apart; they are not any more."""
+        a, b = self.root(a), self.root(b)
+        self.parent[a] = b
+        return a != b
+
+
 def _sets(docs: DataFrame) -> DataFrame:
-    """place (row number), doc_id, n, cls (128 bits of the set), md5 (of the text); for the first
+    """place, doc_id, n, cls (128 bits of the set), md5 (of the text); for the first
     of a class in a task also low, the first hashes of the set: those of REGION, or more if
     the prefix needs them, and bits."""
 
@@ -123,7 +175,7 @@ def _sets(docs: DataFrame) -> DataFrame:
                     p = len(s) - need(len(s)) + 1
                     low = s[: max(p, int(np.searchsorted(s, REGION)))].view(np.int64)
                     bits = bitmap(s)
-                for a, v in zip(out, (task << 33 | row, doc_id, len(s), cls, md5, low, bits)):
+                for a, v in zip(out, (band(len(s)) << BAND_SHIFT | task << TASK_SHIFT | row, doc_id, len(s), cls, md5, low, bits)):
                     a.append(v)
                 row += 1
             types = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.binary())
@@ -133,15 +185,14 @@ def _sets(docs: DataFrame) -> DataFrame:
 
 
 def _prefixes(heads: DataFrame, hot: np.ndarray) -> DataFrame:
-    """(key, band, place, n) for the prefix shingles of each set."""
+    """(key, place) for the prefix shingles of each set."""
     shared = heads.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches):
         late = shared.value
         for batch in batches:
-            keys, places, sizes = [], [], []
-            ns, where = batch.column(1).to_numpy(), batch.column(0).to_numpy()
-            for n, place, low in zip(ns.tolist(), where.tolist(), batch.column(2)):
+            keys, places = [], []
+            for n, place, low in zip(batch.column(1).to_pylist(), batch.column(0).to_pylist(), batch.column(2)):
                 low = low.values.to_numpy()
                 p = n - need(n) + 1
                 inside = low.view(np.uint64) < REGION
@@ -151,13 +202,10 @@ def _prefixes(heads: DataFrame, hot: np.ndarray) -> DataFrame:
                 first = low[np.argsort(tier, kind="stable")[:p]]
                 keys.append(first)
                 places.append(np.full(len(first), place))
-                sizes.append(np.full(len(first), n))
             if keys:
-                n = np.concatenate(sizes)
-                band = np.floor(np.log(n) / np.log(4 / 3)).astype(np.int32)
-                yield pa.record_batch([pa.array(np.concatenate(keys)), pa.array(band), pa.array(np.concatenate(places)), pa.array(n)], names=["key", "band", "place", "n"])
+                yield pa.record_batch([pa.array(np.concatenate(keys)), pa.array(np.concatenate(places))], names=["key", "place"])
 
-    return heads.select("place", "n", "low").mapInArrow(run, "key long, band int, place long, n long")
+    return heads.select("place", "n", "low").mapInArrow(run, "key long, place long")
 
 
 def _stars(prefixes: DataFrame) -> DataFrame:
@@ -171,7 +219,7 @@ def _stars(prefixes: DataFrame) -> DataFrame:
         count = 0
         for batch in batches:
             a_out, b_out, key_a, key_k = [], [], [], []
-            ks, bs, ps = (batch.column(i).to_numpy() for i in range(3))
+            ks, ps = (batch.column(i).to_numpy() for i in range(2))
             n = len(ks)
             start = np.concatenate(([True], ks[1:] != ks[:-1])) if n else np.zeros(0, bool)
             if n and ks[0] == key:
@@ -181,7 +229,8 @@ def _stars(prefixes: DataFrame) -> DataFrame:
             alone[:-1] &= start[1:]
             if n:
                 alone[-1] = False
-            for k, b, p in zip(ks[~alone].tolist(), bs[~alone].tolist(), ps[~alone].tolist()):
+            for k, p in zip(ks[~alone].tolist(), ps[~alone].tolist()):
+                b = p >> BAND_SHIFT
                 if k != key:
                     key, band, first, count, held = k, b, p, 1, [p]
                     continue
@@ -212,205 +261,307 @@ def _stars(prefixes: DataFrame) -> DataFrame:
                     names=["a", "b", "key"],
                 )
 
+    # The random order is made behind the shuffle, which moves two numbers a row.
     order = F.xxhash64("place", F.pmod("key", F.lit(8)))
-    ordered = prefixes.select("key", "band", "place", order.alias("order")).repartition("key").sortWithinPartitions("key", "band", "order", "place")
-    return ordered.mapInArrow(run, "a long, b long, key long")
+    ordered = prefixes.repartition("key").sortWithinPartitions("key", F.shiftright("place", BAND_SHIFT), order, "place")
+    return ordered.select("key", "place").mapInArrow(run, "a long, b long, key long")
 
 
-def _by_bits(pairs: DataFrame, heads: DataFrame) -> DataFrame:
-    """The pairs (a, b) that the bound by bit counts lets pass, with their classes."""
-    side = lambda x: heads.select(F.col("place").alias(x), F.col("n").alias(f"n{x}"), F.col("cls").alias(f"c{x}"), F.col("bits").alias(f"bits{x}"))
+def _by_bits(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
+    """The pairs (a, b) that the bound by bit counts lets pass."""
+    side = lambda x: signatures.select(F.col("place").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits{x}"))
     full = pairs.join(side("a"), "a").join(side("b"), "b").where("4 * least(na, nb) >= 3 * greatest(na, nb)")
 
     def run(batches):
         for batch in batches:
-            na, nb = batch.column(4).to_numpy(), batch.column(5).to_numpy()
-            ok = [
-                Signatures(np.array([x, y]), [np.frombuffer(p.as_py(), np.uint8), np.frombuffer(q.as_py(), np.uint8)]).shares(0, np.array([False, True]))[1] > 0
-                for x, y, p, q in zip(na.tolist(), nb.tolist(), batch.column(6), batch.column(7))
-            ]
-            yield pa.RecordBatch.from_arrays(batch.columns[:4], names=["a", "b", "ca", "cb"]).filter(pa.array(ok, pa.bool_()))
+            ok = []
+            for n, m, p, q in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist(), batch.column(5).to_pylist()):
+                ok.append(bound(n, int.from_bytes(p, "little"), 8 * len(p), m, int.from_bytes(q, "little"), 8 * len(q)) > 0)
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return full.select("a", "b", "ca", "cb", "na", "nb", "bitsa", "bitsb").mapInArrow(run, "a long, b long, ca binary, cb binary")
+    return full.select("a", "b", "na", "nb", "bitsa", "bitsb").mapInArrow(run, "a long, b long")
 
 
-def _items(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """cls, items (the sorted set) of the wanted classes (cls)."""
+def _items(docs: DataFrame, signatures: DataFrame, wanted: DataFrame) -> DataFrame:
+    """place, items (the sorted set) of the wanted nodes (column place), read
+    again from the texts; copies of a text may give a node more than once."""
+    keys = written(signatures.select("place", "md5").join(wanted, "place", "left_semi").select("place", F.col("md5").alias("key")))
+    texts = docs.select(text_of(docs).alias("text"))
+    texts = bounded_join(texts.withColumn("key", F.unhex(F.md5(F.col("text").cast("binary")))), keys, "key", "inner", 64)
 
     def run(batches):
+        seen = set()
         for batch in batches:
-            cls, arrays, seen = [], [], set()
-            for text in batch.column(0):
-                s = shingle_set(text.as_py())
-                key = xxhash.xxh3_128_digest(s.tobytes())
-                if key not in seen:
-                    seen.add(key)
-                    cls.append(key)
-                    arrays.append(s.tobytes())
-            yield pa.record_batch([pa.array(cls, pa.binary()), pa.array(arrays, pa.binary())], names=["cls", "items"])
-
-    sets = docs.select(text_of(docs)).mapInArrow(run, "cls binary, items binary")
-    # Copies hold the same items: any of a class serves, so only classes are grouped.
-    return bounded_join(sets, wanted, "cls", "left_semi", 64).dropDuplicates(["cls"])
-
-
-def _exact(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The linked ones among pairs (a, b, ca, cb), by intersecting the sorted sets."""
-    full = pairs.join(sets.withColumnsRenamed({"cls": "ca", "items": "ia"}), "ca").join(sets.withColumnsRenamed({"cls": "cb", "items": "ib"}), "cb")
+            places, arrays = [], []
+            for place, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if place not in seen:
+                    if len(seen) < 1_000_000:
+                        seen.add(place)
+                    places.append(place)
+                    arrays.append(shingle_set(text.as_py()).tobytes())
+            yield pa.record_batch([pa.array(places, pa.int64()), pa.array(arrays, pa.binary())], names=["place", "items"])
+
+    out = written(texts.select("place", "text").mapInArrow(run, "place long, items binary"))
+    dropped(keys)
+    return out
+
+
+def _exact(docs: DataFrame, pairs: DataFrame, signatures: DataFrame) -> DataFrame:
+    """The linked ones among the written pairs (a, b), by intersecting the
+    sorted sets.  A first's set moves once for every STAR of its members."""
+    items = _items(docs, signatures, pairs.select(F.col("a").alias("place")).union(pairs.select("b")).distinct())
+    sizes = pairs.groupBy("a").agg(F.floor(F.count("*") / STAR + 1).alias("parts"))
+    dealt = written(pairs.join(sizes, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part")))
+    members = bounded_join(items.withColumnRenamed("place", "b"), dealt, "b", "inner", 48).select("a", "part", "b", "items")
+    firsts = written(dealt.select("a", "part").distinct())
+    centres = bounded_join(items.withColumnRenamed("place", "a"), firsts, "a", "inner", 40).select("a", "part", F.lit(None).cast("long").alias("b"), "items")
+    ordered = centres.unionByName(members).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
 
     def check(batches):
+        first, s, last = None, None, None
         for batch in batches:
-            ok = []
-            for p, q in zip(batch.column(2), batch.column(3)):
-                s, t = np.frombuffer(p.as_py(), np.uint64), np.frombuffer(q.as_py(), np.uint64)
-                both = int((t[np.minimum(np.searchsorted(t, s), len(t) - 1)] == s).sum())
-                ok.append(linked(len(s), len(t), both))
-            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-    return full.select("a", "b", "ia", "ib").mapInArrow(check, "a long, b long")
-
-
-def _tiles(rows: DataFrame, heads: DataFrame, tried: DataFrame, tile: int, forests: int) -> DataFrame:
-    """Candidate pairs (a, b) of different components among rows (key, a,
-    comp), compared by bitmaps inside tiles of one key.  Of the pairs that the
-    bound allows and that have not been tried, a tile gives spanning forests
-    over its components, likeliest pairs first: a forest has fewer pairs than the tile has rows."""
-    order = Window.partitionBy("key").orderBy("comp", "a")
-    rows = written(rows.withColumn("tile", F.floor((F.row_number().over(order) - 1) / tile).cast("int")))
-    stats = rows.groupBy("key", "tile").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    left, right = stats, stats.select("key", F.col("tile").alias("tile2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
-    pairs = left.join(right, "key").where("tile <= tile2 AND NOT (lo = hi AND lo2 = hi2 AND lo = lo2)").select("key", "tile", "tile2")
-    one = rows.join(pairs, ["key", "tile"]).withColumn("side", F.lit(0))
-    two = rows.withColumnRenamed("tile", "tile2").join(pairs.where("tile <> tile2"), ["key", "tile2"]).withColumn("side", F.lit(1))
-    past = tried.groupBy("a").agg(F.collect_list("b").alias("past"))  # what one set has failed to link with
-    both = one.unionByName(two).join(heads.select(F.col("place").alias("a"), "n", "bits"), "a").join(past, "a", "left")
-    both = both.select("key", "tile", "tile2", "side", "a", "comp", "n", "bits", "past").repartition("key", "tile", "tile2").sortWithinPartitions("key", "tile", "tile2", "side", "a")
+            out = ([], [])
+            for a, part, b, data in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3)):
+                if b is None:
+                    if first != (a, part):
+                        first, s = (a, part), np.frombuffer(data.as_py(), np.uint64)
+                        last = None
+                elif b != last:
+                    last, t = b, np.frombuffer(data.as_py(), np.uint64)
+                    both = int((t[np.minimum(np.searchsorted(t, s), len(t) - 1)] == s).sum())
+                    if linked(len(s), len(t), both):
+                        out[0].append(a)
+                        out[1].append(b)
+            yield pa.record_batch([pa.array(x, pa.int64()) for x in out], names=["a", "b"])
+
+    found = written(ordered.mapInArrow(check, "a long, b long"))
+    dropped(items, dealt, firsts)
+    return found
+
+
+def _tile_rows(groups: DataFrame, comp: DataFrame, signatures: DataFrame, tile: int) -> DataFrame:
+    """key, t (the tile: 0, or band and number), a, comp, n of the keys that span components."""
+    rows = groups.join(comp.withColumnRenamed("node", "a"), "a", "left").withColumn("comp", F.coalesce("component", "a")).drop("component")
+    rows = rows.join(signatures.select(F.col("place").alias("a"), "n"), "a")
+    spans = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("many")).where("lo <> hi").select("key", "many")
+    rows = written(rows.join(spans, "key"))
+    few = rows.where(F.col("many") <= tile).withColumn("t", F.lit(0).cast("long"))
+    own = F.shiftright("a", BAND_SHIFT)
+    order = Window.partitionBy("key", own).orderBy("comp", "n", "a")
+    many = rows.where(F.col("many") > tile).withColumn("t", F.shiftleft(own + 1, 32) + F.floor((F.row_number().over(order) - 1) / tile))
+    out = written(few.unionByName(many).select("key", "t", "a", "comp", "n"))
+    dropped(rows)
+    return out
+
+
+def _tile_pairs(rows: DataFrame) -> DataFrame:
+    """(key, t, t2): tiles to compare, of one band or of neighbouring ones."""
+    stats = rows.groupBy("key", "t").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("n").alias("least"), F.max("n").alias("most"), F.count("*").alias("many"))
+    single = stats.where("t = 0").select("key", "t", F.col("t").alias("t2"))
+    large = written(stats.where("t > 0"))
+    other = large.select("key", *[F.col(c).alias(f"{c}2") for c in ("t", "lo", "hi", "least", "most", "many")])
+    other = other.withColumn("band", F.explode(F.array(F.shiftright("t2", 32), F.shiftright("t2", 32) - 1)))
+    # Sizes ascend with the bands, not inside one.
+    fits = "t <= t2 AND (t < t2 OR many > 1) AND NOT (lo = hi AND lo2 = hi2 AND lo = lo2) AND 4 * most >= 3 * least2 AND 4 * most2 >= 3 * least"
+    return single.unionByName(large.withColumn("band", F.shiftright("t", 32)).join(other, ["key", "band"]).where(fits).select("key", "t", "t2"))
+
+
+def _sided(rows: DataFrame, pairs: DataFrame, more: DataFrame, columns: list[str]) -> DataFrame:
+    """The rows of each tile pair, the first tile's before the second's, with ``more`` (a, ...) of each member."""
+    one = rows.join(pairs, ["key", "t"]).withColumn("side", F.lit(0))
+    two = rows.withColumnRenamed("t", "t2").join(pairs.where("t <> t2"), ["key", "t2"]).withColumn("side", F.lit(1))
+    both = one.unionByName(two).join(more, "a")
+    return both.select("key", "t", "t2", "side", "a", "comp", "n", *columns).repartition("key", "t", "t2").sortWithinPartitions("key", "t", "t2", "side", "a")
+
+
+def _candidates(both: DataFrame, forests: int) -> DataFrame:
+    """Pairs (a, b) of different components that the bitmaps of a tile pair
+    allow, likeliest first: spanning forests over its components, each with
+    fewer pairs than the tiles have rows.  A row (key, t, t2) without a pair
+    names a tile pair that has more candidates."""
+    names = ["a", "b", "key", "t", "t2"]
+
+    def by_pairs(rows):
+        sets = [(side, a, comp, n, int.from_bytes(b, "little"), 8 * len(b)) for _, _, _, side, a, comp, n, b in rows]
+        lone = not sets[-1][0]
+        for i, (side, _, comp, n, bits, width) in enumerate(sets):
+            for j in range(i):
+                side2, _, comp2, m, bits2, width2 = sets[j]
+                if comp != comp2 and (lone or side != side2) and (share := bound(n, bits, width, m, bits2, width2)):
+                    yield -share, j, i
+
+    def by_rows(rows):
+        _, _, _, side, _, comp, n, bits = zip(*rows)
+        side, comp = np.array(side), np.array(comp)
+        sets = Signatures(np.array(n), [np.frombuffer(b, np.uint8) for b in bits])
+        lone = not side.any()
+        # A pair of two components has a member outside the tiles' largest one.
+        code = np.unique(comp, return_inverse=True)[1]
+        largest = code == np.argmax(np.bincount(code))
+        index = np.arange(len(comp))
+        for i in np.flatnonzero(~largest).tolist():
+            others = comp != comp[i]
+            if lone:
+                others &= largest | (index > i)
+            else:
+                others &= (side != side[i]) & (largest | (side[i] == 0))
+            if others.any():
+                share = sets.shares(i, others)
+                for j in np.flatnonzero(share > 0).tolist():
+                    yield -share[j], i, j
 
     def run(batches):
         done: set = set()  # pairs that another key of this task has given
 
-        def compare(tile_rows):
-            if not tile_rows:
+        def solve(rows):
+            if len(rows) < 2:
                 return []
-            _, _, _, side, place, comp, n, bits, past = zip(*tile_rows)
-            side, place, comp = np.array(side), np.array(place), np.array(comp)
-            failed = {(a, b) for a, x in zip(place.tolist(), past) for b in x or ()}
-            sets = Signatures(np.array(n), [np.frombuffer(b, np.uint8) for b in bits])
-            lone = not side.any()
-            # A pair of two components has a member outside the tile's largest one.
-            code = np.unique(comp, return_inverse=True)[1]
-            largest = code == np.argmax(np.bincount(code))
-            index = np.arange(len(comp))
-            found = []
-            for i in np.flatnonzero(~largest).tolist():
-                others = comp != comp[i]
-                if lone:
-                    others &= largest | (index > i)
-                else:
-                    others &= (side != side[i]) & (largest | (side[i] == 0))
-                if others.any():
-                    share = sets.shares(i, others)
-                    found += [(-share[j], i, j) for j in np.flatnonzero(share > 0).tolist()]
-            edges = [(i, j, min(place[i], place[j]), max(place[i], place[j])) for _, i, j in sorted(found)]
-            edges = [x for x in edges if x[2:] not in failed]
+            place, comp = [r[4] for r in rows], [r[5] for r in rows]
+            edges = [(comp[i], comp[j], min(place[i], place[j]), max(place[i], place[j])) for _, i, j in sorted((by_pairs if len(rows) <= SMALL else by_rows)(rows))]
             out = []
             for _ in range(forests):
-                parent = {c: c for c in comp.tolist()}
-
-                def root(c):
-                    while parent[c] != c:
-                        parent[c] = c = parent[parent[c]]
-                    return c
-
-                rest = []
+                if not edges:
+                    break
+                tree, rest = Forest(), []
                 for x in edges:
-                    p, q = root(comp[x[0]]), root(comp[x[1]])
-                    if p != q:
-                        parent[p] = q
+                    if tree.joins(x[0], x[1]):
                         out.append(x[2:])
                     else:
                         rest.append(x)
                 edges = rest
-                if not edges:
-                    break
-            out = [x for x in out if x not in done]
+            out = [(*x, None, None, None) for x in out if x not in done]
             if len(done) > 1_000_000:
                 done.clear()
-            done.update(out)
-            return out
+            done.update(x[:2] for x in out)
+            return [*out, (None, None, *rows[0][:3])] if edges else out
 
-        current, held = None, []
+        current, held, found = None, [], []
         for batch in batches:
-            found = []
             for row in zip(*(c.to_pylist() for c in batch.columns)):
                 if row[:3] != current:
-                    found += compare(held)
+                    found += solve(held)
                     current, held = row[:3], []
                 held.append(row)
-            yield pa.record_batch([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
-        found = compare(held)
-        yield pa.record_batch([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
+            if found:
+                yield pa.record_batch([pa.array(x, pa.int64()) for x in zip(*found)], names=names)
+                found = []
+        if found := solve(held):
+            yield pa.record_batch([pa.array(x, pa.int64()) for x in zip(*found)], names=names)
+
+    return both.mapInArrow(run, ", ".join(f"{x} long" for x in names))
 
-    return both.mapInArrow(run, "a long, b long").distinct()
 
+def _exact_tiles(both: DataFrame) -> DataFrame:
+    """Links (a, b) that join components, by the sets of a tile pair (items) and
+    the keys of each member; a pair that shares a lesser key is met there.  The
+    first tile's sets are held, those of the second stream by."""
 
-def joined(docs: DataFrame, tile: int = TILE, hot_count: int = HOT_COUNT, hot_rows: int = HOT_ROWS) -> DataFrame:
+    def run(batches):
+        current, tree = None, Forest()
+        held: list[tuple] = []  # a, comp, set, keys under the current one
+        links: tuple[list, list] = ([], [])
+
+        def meets(key, a, comp, s, keys, others):
+            n = len(s)
+            own = set(keys[: np.searchsorted(keys, key)].tolist())
+            near = [x for x in others if 4 * min(n, len(x[2])) >= 3 * max(n, len(x[2])) and tree.root(x[1]) != tree.root(comp) and own.isdisjoint(x[3])]
+            if not near:
+                return
+            ends = np.cumsum([len(x[2]) for x in near])
+            items = np.concatenate([x[2] for x in near])
+            hit = s[np.minimum(np.searchsorted(s, items), n - 1)] == items
+            both = np.add.reduceat(hit, ends - [len(x[2]) for x in near], dtype=np.int64)
+            for x, k in zip(near, both.tolist()):
+                if linked(n, len(x[2]), k) and tree.joins(comp, x[1]):
+                    links[0].append(x[0])
+                    links[1].append(a)
+
+        for batch in batches:
+            for key, t, t2, side, a, comp, _, data, keys in zip(*(batch.column(i).to_pylist() for i in range(7)), batch.column(7), batch.column(8)):
+                if (key, t, t2) != current:
+                    current, tree, held = (key, t, t2), Forest(), []
+                s, keys = np.frombuffer(data.as_py(), np.uint64), keys.values.to_numpy()
+                if side or t == t2:
+                    meets(key, a, comp, s, keys, held)
+                if not side:
+                    held.append((a, comp, s, keys[: np.searchsorted(keys, key)].tolist()))
+            yield pa.record_batch([pa.array(x, pa.int64()) for x in links], names=["a", "b"])
+            links[0].clear()
+            links[1].clear()
+
+    return both.mapInArrow(run, "a long, b long")
+
+
+def joined(docs: DataFrame, tile: int = TILE, hot_count: int = HOT_COUNT, hot_rows: int = HOT_ROWS, forests: int = FORESTS) -> DataFrame:
     """doc_id, n_shingles, component_id, one row per input row."""
-    return _labelled(docs, tile, hot_count, hot_rows).drop("md5")
+    return _labelled(docs, tile, hot_count, hot_rows, forests).drop("md5")
 
 
-def _labelled(docs: DataFrame, tile: int = TILE, hot_count: int = HOT_COUNT, hot_rows: int = HOT_ROWS) -> DataFrame:
+def _labelled(docs: DataFrame, tile: int = TILE, hot_count: int = HOT_COUNT, hot_rows: int = HOT_ROWS, forests: int = FORESTS) -> DataFrame:
     """``joined`` with the md5 of each row's text."""
+    small_batches(docs.sparkSession)
     sets = written(_sets(docs))
     heads = sets.where("low IS NOT NULL")
     hot = heads.select(F.explode("low").alias("key")).where(F.col("key").between(0, int(REGION)))  # REGION < 2**63: not negative
-    hot = hot.groupBy("key").count().where(F.col("count") >= hot_count).orderBy(F.desc("count"), "key").limit(hot_rows).select("key").toArrow()
-    late = np.sort(hot.column(0).to_numpy()) if hot.num_rows else np.empty(0, np.int64)
+    hot = written(hot.groupBy("key").count().where(F.col("count") >= hot_count))
+    late = most_frequent(hot, "count", hot_rows).select("key").toArrow()
+    late = np.sort(late.column(0).to_numpy()) if late.num_rows else np.empty(0, np.int64)
     stars = written(_stars(_prefixes(heads, late)))
     # Heads of one class are one node: the least place.
     classes = written(heads.groupBy("cls").agg(F.min("place").alias("node")))
     nodes = written(heads.select("place", "cls").join(classes, "cls").select("place", "node"))
-    merged = nodes.where("place <> node")
+    signatures = written(heads.select("place", "n", "md5", "bits").join(nodes.where("place = node").select("place"), "place"))
+    rows = written(sets.select("doc_id", "n", "cls", "md5"))
+    dropped(sets, hot)
+    merged = nodes.where("place <> node").select(F.col("place").alias("a"), F.col("node").alias("b"))
     pairs = stars.where("b IS NOT NULL").select("a", "b").distinct()
     pairs = _renamed(_renamed(pairs, "a", nodes), "b", nodes).where("a <> b")
     pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     groups = written(_renamed(stars.where("key IS NOT NULL").select("a", "key"), "a", nodes).distinct())
-    passed = written(_by_bits(pairs, heads))
-    # The sets that any round may need: those of the stars and of the shared keys.
-    used = groups.select("a").union(passed.select("a")).union(passed.select("b")).distinct()
-    items = written(_items(docs, written(heads.select(F.col("place").alias("a"), "cls").join(used, "a", "left_semi").select("cls").distinct())))
-    good = written(_exact(passed, items))
-    links = written(good.union(merged.select("place", "node")))
-    tried = written(pairs.join(good, ["a", "b"], "left_anti"))
+    dropped(stars)
+    passed = written(_by_bits(pairs, signatures))
+    good = _exact(docs, passed, signatures)
+    links = good.union(merged)
     comp = written(components(links))
-    forests = FORESTS
-    while True:
-        now = groups.join(comp, groups["a"] == comp["node"], "left").select("key", "a", F.coalesce("component", "a").alias("comp"))
-        open_keys = now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-        # A key's rows that have been compared with all others of other components stay open, but give no candidate any more.
-        more = written(_by_bits(_tiles(now.join(open_keys, "key", "left_semi"), heads, tried, tile, forests), heads))
-        if more.isEmpty():
-            break
-        good = written(_exact(more, items))
-        tried = written(tried.union(more.select("a", "b").join(good, ["a", "b"], "left_anti")))
-        comp = _contracted(comp, good)
-        forests *= FORESTS  # near misses are ruled out in few rounds
-    dropped(stars, groups, items)
+    tiles = _tile_rows(groups, comp, signatures, tile)
+    bits = signatures.select(F.col("place").alias("a"), "bits")
+    found = written(_candidates(_sided(tiles, written(_tile_pairs(tiles)), bits, ["bits"]), forests))
+    more = written(found.where("a IS NOT NULL").select("a", "b").distinct().join(passed, ["a", "b"], "left_anti"))
+    rest = written(found.where("a IS NULL").select("key", "t", "t2"))
+    dropped(found, pairs, passed)
+    added = []
+    if not more.isEmpty():
+        added.append(_exact(docs, more, signatures))
+    if not rest.isEmpty():
+        if added:
+            comp = _contracted(comp, added.pop())
+            tiles = written(tiles.select("key", "t", "a", "n").join(comp.withColumnRenamed("node", "a"), "a", "left").withColumn("comp", F.coalesce("component", "a")))
+        inside = rest.select("key", "t").union(rest.select("key", "t2")).distinct()
+        those = written(tiles.join(inside, ["key", "t"], "left_semi").select("key", "t", "a", "comp", "n"))
+        members = those.select(F.col("a").alias("place")).distinct()
+        items = _items(docs, signatures, members).dropDuplicates(["place"]).withColumnRenamed("place", "a")
+        keys = groups.join(those.select("a").distinct(), "a", "left_semi").groupBy("a").agg(F.sort_array(F.collect_list("key")).alias("keys"))  # no more than a set's prefix
+        added.append(written(_exact_tiles(_sided(those, rest, items.join(keys, "a"), ["items", "keys"]))))
+    for x in added:
+        comp = _contracted(comp, x)
+    dropped(groups, signatures)
     # Least id of the component of each class, then of each row.
     of_class = classes.join(comp, "node", "left").select("cls", F.coalesce("component", "node").alias("comp"))
-    ids = sets.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("least"))
+    ids = rows.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("least"))
     least = ids.join(of_class, "cls")
     least = least.join(least.groupBy("comp").agg(F.min("least").alias("component_id")), "comp").select("cls", "component_id")
-    out = sets.select("doc_id", "n", "cls", "md5").join(least.withColumnRenamed("cls", "k"), (F.col("n") > 0) & (F.col("cls") == F.col("k")), "left")
+    out = rows.join(least.withColumnRenamed("cls", "k"), (F.col("n") > 0) & (F.col("cls") == F.col("k")), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "md5")
 
 
 def _contracted(comp: DataFrame, links: DataFrame) -> DataFrame:
     """(node, component) after more links (a, b): only the components that they join are labelled anew."""
+    if links.isEmpty():
+        return comp
     ends = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
     every = written(comp.unionByName(ends.join(comp, "node", "left_anti").withColumn("component", F.col("node"))))
     to = lambda c: every.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
-    joined_ = components(links.join(to("a"), "a").join(to("b"), "b").select("ca", "cb"))
+    joined_ = written(components(links.join(to("a"), "a").join(to("b"), "b").select("ca", "cb")))
     return written(every.join(joined_.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left").select("node", F.coalesce("to", "component").alias("component")))
 
 

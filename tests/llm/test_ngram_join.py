@@ -54,16 +54,44 @@ def corpus(rng):
     return [(7 * i % 10_007, t) for i, t in enumerate(texts)]
 
 
-@pytest.mark.parametrize("seed,tile,hot", [(1, 512, 16), (2, 4, 3), (3, 7, 1000)])
-def test_all_pairs(spark, seed, tile, hot):
+@pytest.mark.parametrize("seed,tile,hot,forests", [(1, 512, 16, 16), (2, 4, 3, 1), (3, 7, 1000, 1), (5, 30, 16, 1)])
+def test_all_pairs(spark, seed, tile, hot, forests):
     rows = corpus(random.Random(seed))
     if seed == 2:
         rows += [rows[5], rows[6], (None, rows[7][1]), (None, None)]
     docs = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, component_id string, key int").repartition(5)
-    got = sorted(map(tuple, ngram_join.joined(docs, tile, hot).collect()), key=repr)
+    got = sorted(map(tuple, ngram_join.joined(docs, tile, hot, forests=forests).collect()), key=repr)
     assert got == brute(rows)
 
 
+@pytest.mark.parametrize("tile,forests", [(512, 16), (40, 1)])
+def test_family_of_near_misses(spark, tile, forests):
+    """400 texts of one base, each with words of its own: every pair is just
+    under the threshold but for three links.  What the tiles give stays far below all pairs."""
+    rng = random.Random(8)
+    base = [f"b{i}" for i in range(400)]
+    rows = []
+    for d in range(400):
+        w = list(base)
+        for at in rng.sample(range(8), 1):
+            w[50 * at + 5 : 50 * at + 16] = [f"d{d}.{i}" for i in range(11)]
+        w[rng.randrange(380) :][:12] = [f"e{d}.{i}" for i in range(12)]
+        i = rng.randrange(380)
+        w[i : i + 22] = [f"f{d}.{k}" for k in range(22)]
+        rows.append((d, " ".join(w)))
+    rows += [(1000 + i, rows[i][1] + " end") for i in (3, 77, 200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert sorted(map(tuple, ngram_join.joined(docs, tile, forests=forests).collect()), key=repr) == brute(rows)
+
+
+def test_very_long_text(spark):
+    rng = random.Random(2)
+    words = [f"v{rng.randrange(50_000)}" for _ in range(200_000)]
+    other = [w if rng.random() > 0.03 else "x" for w in words]
+    rows = [(5, " ".join(words)), (2, " ".join(other)), (9, " ".join(words[:120_000])), (1, "short")]
+    assert sorted(map(tuple, ngram_join.joined(spark.createDataFrame(rows, "doc_id long, text string")).collect())) == brute(rows)
+
+
 def test_one_of_each(spark):
     rows = corpus(random.Random(4))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
