@@ -1,14 +1,15 @@
 """Byte-level BPE with a hierarchical-bitmap rank queue.
 
 A block of documents is split into pre-tokens, and the distinct ones that are
-no token themselves are laid end to end in one array of symbols with a linked
-list.  Every merge rank has a bucket of positions; a three-level bitmap over
+new to the worker and no token themselves are laid end to end in one array of
+symbols with a linked list.  Every merge rank has a bucket of positions; a three-level bitmap over
 the ranks finds the next rank that has a bucket by find-first-set.  All live
 positions of the rank merge at once (in a run of overlapping positions every
 other one, from the left), their new pairs enter the buckets of their own
 ranks, and entries whose pair has changed since are skipped when met.  The
 cost is linear in the bytes, so one pre-token of many megabytes is as cheap
-per byte as many short ones.
+per byte as many short ones.  A worker remembers the ids of at most PIECES
+pre-tokens of PIECE_CHARS characters in all, then starts anew.
 
 Defined cases: a null or empty text has no ids and decodes to no bytes;
 repeated rows are encoded alike; an empty table gives an empty result; only
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 import base64
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -27,9 +29,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrace.llm.common import text_of
+from terrace.plans.scratch import small_batches
 
-#: Characters of text that share one queue.
-BLOCK_CHARS = 12_000_000
+#: Characters of text that share one queue; a longer text is a block of its own.
+BLOCK_CHARS = 1_000_000
+#: What a worker remembers between blocks, at most (and one block more).
+PIECES = 200_000
+PIECE_CHARS = 4_000_000
 _NONE = np.int32(2**31 - 1)
 
 
@@ -84,7 +90,7 @@ class ByteBPE:
     def __init__(self, path: str, pattern: str) -> None:
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.find = regex.compile(pattern).findall
+        self.pattern = regex.compile(pattern)
         self.bytes_of = {r: t for t, r in self.ranks.items()}
         self.n = max(self.bytes_of) + 1
         self.byte_ids = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
@@ -98,6 +104,17 @@ class ByteBPE:
         order = np.argsort(keys)
         self.keys = np.append(np.array(keys, np.int64)[order], np.iinfo(np.int64).max)
         self.merged = np.append(np.array(merged, np.int32)[order], _NONE)
+        self.forget()
+
+    def forget(self) -> None:
+        """Drop what is known of earlier pre-tokens."""
+        self.seen: dict[str, int] = {}
+        self.chars = 0
+        self.start, self.count, self.ids = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32)
+
+    def find(self, text: str):
+        """The pre-tokens; those of a long text are never held all at once."""
+        return self.pattern.findall(text) if len(text) < BLOCK_CHARS else (m.group() for m in self.pattern.finditer(text))
 
     def pair_ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         key = a.astype(np.int64) << 32 | b
@@ -155,9 +172,12 @@ class ByteBPE:
 
     def encode_block(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text."""
-        seen: dict[str, int] = {}
+        if len(self.seen) > PIECES or self.chars > PIECE_CHARS:
+            self.forget()
+        seen, known = self.seen, len(self.seen)
         split = [np.fromiter((seen.setdefault(t, len(seen)) for t in self.find(text)), np.int32) for text in texts]
-        pieces = [t.encode("utf-8", "surrogatepass") for t in seen]
+        pieces = [t.encode("utf-8", "surrogatepass") for t in islice(seen, known, None)]
+        self.chars += sum(map(len, pieces))
         whole = np.fromiter((self.ranks.get(t, -1) for t in pieces), np.int32, len(pieces))
         merged = np.flatnonzero(whole < 0)
         ids, at = self.merge([pieces[i] for i in merged.tolist()])
@@ -167,12 +187,14 @@ class ByteBPE:
         start[merged], count[merged] = at[:-1], np.diff(at)
         single = np.flatnonzero(whole >= 0)
         start[single] = len(ids) + np.arange(len(single))
-        ids = np.concatenate((ids, whole[single]))
+        self.start = np.concatenate((self.start, start + len(self.ids)))
+        self.count = np.concatenate((self.count, count))
+        self.ids = np.concatenate((self.ids, ids, whole[single])).astype(np.int32)
         out = []
         for own in split:
-            n = count[own]
+            n = self.count[own]
             ends = np.cumsum(n)
-            out.append(ids[np.repeat(start[own] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)])
+            out.append(self.ids[np.repeat(self.start[own] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)])
         return out
 
     def decode(self, ids: list[int]) -> bytes:
@@ -191,35 +213,45 @@ def _arrow(schema) -> pa.Schema:
     return to_arrow_schema(schema)
 
 
-def encode(docs: DataFrame, path: str, pattern: str, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """doc_id and ids array<int>, one row per input row."""
+def _encoded(docs: DataFrame, path: str, pattern: str, block_chars: int, back: bool) -> DataFrame:
+    """doc_id and ids, and if ``back`` the bytes that the ids decode to, one row per input row."""
+    small_batches(docs.sparkSession)
 
     def run(batches):
         bpe = tokenizer(path, pattern)
-        out = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
         keys, texts, size = [], [], 0
 
         def flush():
             found = bpe.encode_block(texts)
-            for a in range(0, len(found), 2000):
-                part = found[a : a + 2000]
-                offsets = np.concatenate(([0], np.cumsum([len(x) for x in part]))).astype(np.int32)
-                values = np.concatenate(part).astype(np.int32)
-                yield pa.record_batch([pa.array(keys[a : a + 2000], pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], schema=out)
+            offsets = np.concatenate(([0], np.cumsum([len(x) for x in found]))).astype(np.int32)
+            columns = {"doc_id": pa.array(keys, pa.int64()), "ids": pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found).astype(np.int32)))}
+            if back:
+                columns["decoded"] = pa.array([bpe.decode(x.tolist()) for x in found], pa.binary())
+            return pa.record_batch(list(columns.values()), names=list(columns))
 
         for batch in batches:
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 text = text.as_py()
+                if texts and size + len(text) > block_chars:
+                    yield flush()
+                    keys, texts, size = [], [], 0
                 keys.append(key)
                 texts.append(text)
                 size += len(text)
-                if size >= block_chars:
-                    yield from flush()
-                    keys, texts, size = [], [], 0
         if texts:
-            yield from flush()
+            yield flush()
+
+    return docs.select(docs["doc_id"].cast("long"), text_of(docs)).mapInArrow(run, "doc_id long, ids array<int>" + ", decoded binary" * back)
+
+
+def encode(docs: DataFrame, path: str, pattern: str, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """doc_id and ids array<int>, one row per input row."""
+    return _encoded(docs, path, pattern, block_chars, False)
+
 
-    return docs.select(docs["doc_id"].cast("long"), text_of(docs)).mapInArrow(run, "doc_id long, ids array<int>")
+def round_trip(docs: DataFrame, path: str, pattern: str, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """``encode`` with the column decoded (binary), made of the ids in the same worker."""
+    return _encoded(docs, path, pattern, block_chars, True)
 
 
 def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -227,6 +259,7 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     other = [c for c in encoded.columns if c != "ids"]
     schema = encoded.select(*other).withColumn("decoded", F.lit(b"")).schema
     fields = _arrow(schema)
+    small_batches(encoded.sparkSession)
 
     def run(batches):
         bpe = tokenizer(path, pattern)
@@ -240,10 +273,8 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
 
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: encoded, then decoded from the ids."""
-    encoded = encode(docs, path, pattern).select(
-        "doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256")
-    )
-    return decode(encoded, path, pattern).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    digest = F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256)
+    return round_trip(docs, path, pattern).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digest.alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op7_byte_bpe(spark, sf_dir: str) -> DataFrame:
