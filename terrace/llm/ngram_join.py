@@ -23,8 +23,11 @@ Groups are never expanded to all pairs:
    link, are skipped.  A tile pair gives spanning forests of the pairs that its
    bitmaps allow, at most FORESTS of them, and these are intersected.
 3. Exact tiles.  A tile pair that had more candidates than its forests (a
-   family of near misses) gets the sets themselves, intersects them in place
-   and gives links only; a pair is met in its least common shingle alone.
+   family of near misses) gets the sets of their members, intersects them in place
+   and gives links only.
+
+A pair that shares several shingles is met under the least of them, and under
+others only where LEAST_KEYS of each member do not show it.
 
 Every pair that shares a prefix shingle is then connected or ruled out.
 
@@ -58,12 +61,14 @@ HOT_COUNT = 16
 #: At most so many shingles are moved (8 bytes each are broadcast); the most frequent ones.
 HOT_ROWS = 1_000_000
 #: Share of the hash space whose shingles come first in the order.
-REGION = np.uint64(int(0.4 * 2**64))
+REGION = np.uint64(int(0.33 * 2**64))
 TILE = 512
 #: Spanning forests of candidates that a tile pair gives before it is solved by exact sets.
 FORESTS = 16
 #: Members of a star that one task intersects with its first.
 STAR = 64
+#: Least keys of a member by which tiles tell that a pair meets elsewhere too.
+LEAST_KEYS = 8
 #: Tiles up to this many rows are compared pair by pair, larger ones row by row.
 SMALL = 24
 #: A place is the band of a set's size, then the task and row that read it.
@@ -366,32 +371,37 @@ def _tile_pairs(rows: DataFrame) -> DataFrame:
     return single.unionByName(large.withColumn("band", F.shiftright("t", 32)).join(other, ["key", "band"]).where(fits).select("key", "t", "t2"))
 
 
-def _sided(rows: DataFrame, pairs: DataFrame, more: DataFrame, columns: list[str]) -> DataFrame:
-    """The rows of each tile pair, the first tile's before the second's, with ``more`` (a, ...) of each member."""
+def _lesser(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """``rows`` (key, a, ...) with lesser, those of the least keys of a that are below the row's own."""
+    return rows.join(keys, "a").withColumn("lesser", F.filter("keys", lambda x: x < F.col("key"))).drop("keys")
+
+
+def _sided(rows: DataFrame, pairs: DataFrame, signatures: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows of each tile pair, the first tile's before the second's, with bits and lesser keys."""
     one = rows.join(pairs, ["key", "t"]).withColumn("side", F.lit(0))
     two = rows.withColumnRenamed("t", "t2").join(pairs.where("t <> t2"), ["key", "t2"]).withColumn("side", F.lit(1))
-    both = one.unionByName(two).join(more, "a")
-    return both.select("key", "t", "t2", "side", "a", "comp", "n", *columns).repartition("key", "t", "t2").sortWithinPartitions("key", "t", "t2", "side", "a")
+    both = _lesser(one.unionByName(two).join(signatures.select(F.col("place").alias("a"), "n", "bits"), "a"), keys)
+    return both.select("key", "t", "t2", "side", "a", "comp", "n", "bits", "lesser").repartition("key", "t", "t2").sortWithinPartitions("key", "t", "t2", "side", "a")
 
 
 def _candidates(both: DataFrame, forests: int) -> DataFrame:
     """Pairs (a, b) of different components that the bitmaps of a tile pair
     allow, likeliest first: spanning forests over its components, each with
-    fewer pairs than the tiles have rows.  A row (key, t, t2) without a pair
-    names a tile pair that has more candidates."""
-    names = ["a", "b", "key", "t", "t2"]
+    fewer pairs than the tiles have rows.  A pair whose members are seen to share
+    a lesser key is left to that; under the least one it is given.  Rows (a, null, key, t, t2, side) name the members of further pairs."""
+    names = ["a", "b", "key", "t", "t2", "side"]
 
     def by_pairs(rows):
-        sets = [(side, a, comp, n, int.from_bytes(b, "little"), 8 * len(b)) for _, _, _, side, a, comp, n, b in rows]
+        sets = [(r[3], r[5], r[6], int.from_bytes(r[7], "little"), 8 * len(r[7])) for r in rows]
         lone = not sets[-1][0]
-        for i, (side, _, comp, n, bits, width) in enumerate(sets):
+        for i, (side, comp, n, bits, width) in enumerate(sets):
             for j in range(i):
-                side2, _, comp2, m, bits2, width2 = sets[j]
+                side2, comp2, m, bits2, width2 = sets[j]
                 if comp != comp2 and (lone or side != side2) and (share := bound(n, bits, width, m, bits2, width2)):
                     yield -share, j, i
 
     def by_rows(rows):
-        _, _, _, side, _, comp, n, bits = zip(*rows)
+        _, _, _, side, _, comp, n, bits, _ = zip(*rows)
         side, comp = np.array(side), np.array(comp)
         sets = Signatures(np.array(n), [np.frombuffer(b, np.uint8) for b in bits])
         lone = not side.any()
@@ -410,31 +420,34 @@ def _candidates(both: DataFrame, forests: int) -> DataFrame:
                 for j in np.flatnonzero(share > 0).tolist():
                     yield -share[j], i, j
 
-    def run(batches):
-        done: set = set()  # pairs that another key of this task has given
-
-        def solve(rows):
-            if len(rows) < 2:
-                return []
-            place, comp = [r[4] for r in rows], [r[5] for r in rows]
-            edges = [(comp[i], comp[j], min(place[i], place[j]), max(place[i], place[j])) for _, i, j in sorted((by_pairs if len(rows) <= SMALL else by_rows)(rows))]
-            out = []
-            for _ in range(forests):
-                if not edges:
-                    break
-                tree, rest = Forest(), []
-                for x in edges:
-                    if tree.joins(x[0], x[1]):
-                        out.append(x[2:])
-                    else:
-                        rest.append(x)
-                edges = rest
-            out = [(*x, None, None, None) for x in out if x not in done]
-            if len(done) > 1_000_000:
-                done.clear()
-            done.update(x[:2] for x in out)
-            return [*out, (None, None, *rows[0][:3])] if edges else out
+    def solve(rows):
+        if len(rows) < 2:
+            return []
+        place, comp = [r[4] for r in rows], [r[5] for r in rows]
+        lesser: dict[int, set] = {}
+
+        def under(i):
+            if i not in lesser:
+                lesser[i] = set(rows[i][8])
+            return lesser[i]
+
+        edges = sorted(x for x in (by_pairs if len(rows) <= SMALL else by_rows)(rows) if under(x[1]).isdisjoint(under(x[2])))
+        out = []
+        for _ in range(forests):
+            if not edges:
+                break
+            tree, rest = Forest(), []
+            for x in edges:
+                i, j = x[1:]
+                if tree.joins(comp[i], comp[j]):
+                    out.append((min(place[i], place[j]), max(place[i], place[j]), None, None, None, None))
+                else:
+                    rest.append(x)
+            edges = rest
+        more = {i for x in edges for i in x[1:]}
+        return out + [(place[i], None, *rows[i][:4]) for i in sorted(more)]
 
+    def run(batches):
         current, held, found = None, [], []
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
@@ -451,20 +464,19 @@ def _candidates(both: DataFrame, forests: int) -> DataFrame:
     return both.mapInArrow(run, ", ".join(f"{x} long" for x in names))
 
 
-def _exact_tiles(both: DataFrame) -> DataFrame:
-    """Links (a, b) that join components, by the sets of a tile pair (items) and
-    the keys of each member; a pair that shares a lesser key is met there.  The
-    first tile's sets are held, those of the second stream by."""
+def _exact_tiles(rows: DataFrame) -> DataFrame:
+    """Links (a, b) that join components, among rows (key, t, t2, side, a, comp,
+    items, lesser), by intersecting the sets of a tile pair; a pair that is seen
+    to share a lesser key is left to that.  The first tile's sets are held, those of the second stream by."""
 
     def run(batches):
         current, tree = None, Forest()
-        held: list[tuple] = []  # a, comp, set, keys under the current one
+        held: list[tuple] = []  # a, comp, set, lesser keys
         links: tuple[list, list] = ([], [])
 
-        def meets(key, a, comp, s, keys, others):
-            n = len(s)
-            own = set(keys[: np.searchsorted(keys, key)].tolist())
-            near = [x for x in others if 4 * min(n, len(x[2])) >= 3 * max(n, len(x[2])) and tree.root(x[1]) != tree.root(comp) and own.isdisjoint(x[3])]
+        def meets(a, comp, s, lesser, others):
+            n, lesser = len(s), set(lesser)
+            near = [x for x in others if 4 * min(n, len(x[2])) >= 3 * max(n, len(x[2])) and tree.root(x[1]) != tree.root(comp) and lesser.isdisjoint(x[3])]
             if not near:
                 return
             ends = np.cumsum([len(x[2]) for x in near])
@@ -477,19 +489,20 @@ def _exact_tiles(both: DataFrame) -> DataFrame:
                     links[1].append(a)
 
         for batch in batches:
-            for key, t, t2, side, a, comp, _, data, keys in zip(*(batch.column(i).to_pylist() for i in range(7)), batch.column(7), batch.column(8)):
+            for key, t, t2, side, a, comp, data, lesser in zip(*(batch.column(i).to_pylist() for i in range(6)), batch.column(6), batch.column(7).to_pylist()):
                 if (key, t, t2) != current:
                     current, tree, held = (key, t, t2), Forest(), []
-                s, keys = np.frombuffer(data.as_py(), np.uint64), keys.values.to_numpy()
+                s = np.frombuffer(data.as_py(), np.uint64)
                 if side or t == t2:
-                    meets(key, a, comp, s, keys, held)
+                    meets(a, comp, s, lesser, held)
                 if not side:
-                    held.append((a, comp, s, keys[: np.searchsorted(keys, key)].tolist()))
+                    held.append((a, comp, s, lesser))
             yield pa.record_batch([pa.array(x, pa.int64()) for x in links], names=["a", "b"])
             links[0].clear()
             links[1].clear()
 
-    return both.mapInArrow(run, "a long, b long")
+    ordered = rows.select("key", "t", "t2", "side", "a", "comp", "items", "lesser").repartition("key", "t", "t2").sortWithinPartitions("key", "t", "t2", "side", "a")
+    return ordered.mapInArrow(run, "a long, b long")
 
 
 def joined(docs: DataFrame, tile: int = TILE, hot_count: int = HOT_COUNT, hot_rows: int = HOT_ROWS, forests: int = FORESTS) -> DataFrame:
@@ -524,27 +537,18 @@ def _labelled(docs: DataFrame, tile: int = TILE, hot_count: int = HOT_COUNT, hot
     links = good.union(merged)
     comp = written(components(links))
     tiles = _tile_rows(groups, comp, signatures, tile)
-    bits = signatures.select(F.col("place").alias("a"), "bits")
-    found = written(_candidates(_sided(tiles, written(_tile_pairs(tiles)), bits, ["bits"]), forests))
-    more = written(found.where("a IS NOT NULL").select("a", "b").distinct().join(passed, ["a", "b"], "left_anti"))
-    rest = written(found.where("a IS NULL").select("key", "t", "t2"))
-    dropped(found, pairs, passed)
-    added = []
+    keys = written(tiles.groupBy("a").agg(F.slice(F.sort_array(F.collect_list("key")), 1, LEAST_KEYS).alias("keys")))  # no more are gathered than a set's prefix
+    found = written(_candidates(_sided(tiles.drop("n"), written(_tile_pairs(tiles)), signatures, keys), forests))
+    more = written(found.where("b IS NOT NULL").select("a", "b").join(passed, ["a", "b"], "left_anti"))
+    rest = found.where("b IS NULL").drop("b")
+    dropped(pairs, passed, groups, tiles)
     if not more.isEmpty():
-        added.append(_exact(docs, more, signatures))
+        comp = _contracted(comp, _exact(docs, more, signatures))
     if not rest.isEmpty():
-        if added:
-            comp = _contracted(comp, added.pop())
-            tiles = written(tiles.select("key", "t", "a", "n").join(comp.withColumnRenamed("node", "a"), "a", "left").withColumn("comp", F.coalesce("component", "a")))
-        inside = rest.select("key", "t").union(rest.select("key", "t2")).distinct()
-        those = written(tiles.join(inside, ["key", "t"], "left_semi").select("key", "t", "a", "comp", "n"))
-        members = those.select(F.col("a").alias("place")).distinct()
-        items = _items(docs, signatures, members).dropDuplicates(["place"]).withColumnRenamed("place", "a")
-        keys = groups.join(those.select("a").distinct(), "a", "left_semi").groupBy("a").agg(F.sort_array(F.collect_list("key")).alias("keys"))  # no more than a set's prefix
-        added.append(written(_exact_tiles(_sided(those, rest, items.join(keys, "a"), ["items", "keys"]))))
-    for x in added:
-        comp = _contracted(comp, x)
-    dropped(groups, signatures)
+        items = _items(docs, signatures, rest.select(F.col("a").alias("place")).distinct()).dropDuplicates(["place"]).withColumnRenamed("place", "a")
+        rest = rest.join(comp.withColumnRenamed("node", "a"), "a", "left").withColumn("comp", F.coalesce("component", "a"))
+        comp = _contracted(comp, written(_exact_tiles(_lesser(rest, keys).join(items, "a"))))
+    dropped(signatures, keys, found)
     # Least id of the component of each class, then of each row.
     of_class = classes.join(comp, "node", "left").select("cls", F.coalesce("component", "node").alias("comp"))
     ids = rows.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("least"))
