@@ -47,7 +47,7 @@ def corpus(rng, scale):
     return rows
 
 
-@pytest.mark.parametrize("seed,length,k,group,block", [(1, 200, 32, 2048, 2_000_000), (2, 40, 8, 2048, 3000), (3, 40, 8, 2, 2_000_000)])
+@pytest.mark.parametrize("seed,length,k,group,block", [(1, 200, 32, 2048, 2_000_000), (2, 40, 8, 2048, 3000), (3, 40, 8, 2, 2_000_000), (4, 40, 8, 1, 500)])
 def test_every_substring(spark, seed, length, k, group, block):
     rows = corpus(random.Random(seed), length // 5)
     docs = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, text string, h int, doc string").repartition(4)
@@ -56,6 +56,48 @@ def test_every_substring(spark, seed, length, k, group, block):
     assert got == brute(rows, length)
 
 
+@pytest.mark.parametrize("length", [5, 12, 40])
+def test_factors(length):
+    """Longest previous and next factors against every pair of suffixes."""
+    rng = random.Random(length)
+    for _ in range(6):
+        base = "".join(rng.choice("ab") for _ in range(60)).encode()
+        segments = [(rng.randrange(2), b"".join(base[rng.randrange(40) :][: rng.randrange(1, 25)] for _ in range(rng.randrange(1, 5)))) for _ in range(8)]
+        starts, previous, following = suffix_dedup.factors(segments, length)
+        assert starts.tolist() == [sum(len(b) for _, b in segments[:i]) for i in range(len(segments) + 1)]
+        places = [(g, b[i:]) for g, b in segments for i in range(len(b))]
+        cut = suffix_dedup.Suffixes([b for _, b in segments], length).ranks[-1][0]
+
+        def common(x, y):
+            n = 0
+            while n < min(len(x), len(y)) and x[n] == y[n]:
+                n += 1
+            return min(n, cut)
+
+        for i, (g, x) in enumerate(places):
+            for got, others in ((previous[i], places[:i]), (following[i], places[i + 1 :])):
+                want = max((common(x, y) for f, y in others if f == g), default=0)
+                assert got == (want if want >= length else 0)
+
+
+def test_nearest_smaller():
+    rng = random.Random(1)
+    import numpy as np
+
+    values = np.array(rng.sample(range(500), 300))
+    first = np.array([i - i % 40 for i in range(300)])
+    want = [max((j for j in range(first[i], i) if values[j] < values[i]), default=-1) for i in range(300)]
+    assert suffix_dedup.nearest_smaller(values, first).tolist() == want
+
+
+def test_very_long_text(spark):
+    rng = random.Random(7)
+    text = "".join(rng.choice("abcdefgh ") for _ in range(300_000))
+    rows = [(1, text), (2, "-" * 150 + text[1000:1500]), (3, text[200_000:200_150])]
+    got = {r.doc_id: r for r in suffix_dedup.removed(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [(got[i].n_removed, got[i].n_spans) for i in (1, 2, 3)] == [(500, 1), (500, 1), (0, 0)]
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert suffix_dedup.removed(docs).count() == 0
