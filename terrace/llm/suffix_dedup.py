@@ -189,12 +189,6 @@ def factors(segments: list[tuple[int, bytes]], length: int = LENGTH) -> tuple[np
     return s.starts, previous, following
 
 
-def _runs(hit: np.ndarray) -> tuple[list[int], list[int]]:
-    """First and last index of each run of True."""
-    edge = np.diff(np.concatenate(([0], hit.astype(np.int8), [0])))
-    return np.flatnonzero(edge == 1).tolist(), (np.flatnonzero(edge == -1) - 1).tolist()
-
-
 def _anchor_rows(docs: DataFrame, length: int, k: int) -> DataFrame:
     """h, c (digest of segment and offset), place (number of the row that was
     read), at (first window, windows beyond it and offset of the anchor, as one
@@ -276,8 +270,9 @@ def _pieces(docs: DataFrame, wanted: DataFrame, length: int, k: int) -> DataFram
 
 
 def _solved(pieces: DataFrame, length: int, keep_first: bool, block: int) -> DataFrame:
-    """(h, c, a, b): runs of windows of a segment (counted from its first) that
-    match another segment of the group, by the factors of the group."""
+    """(h, c, a, b): the first and the last window of a segment (counted from its
+    first) that match another segment of the group, by the factors of the group.
+    The windows of a segment hold the same anchor, so what they cover is one range."""
 
     def run(batches):
         held: list[tuple] = []
@@ -290,8 +285,9 @@ def _solved(pieces: DataFrame, length: int, keep_first: bool, block: int) -> Dat
             hit = previous >= length if keep_first else np.maximum(previous, following) >= length
             out = ([], [], [], [])
             for i, (_, h, c, base, data) in enumerate(held):
-                for a, b in zip(*_runs(hit[starts[i] : starts[i] + len(data)])):
-                    for column, v in zip(out, (h, c, base + a, base + b)):
+                at = np.flatnonzero(hit[starts[i] : starts[i] + len(data)])
+                if len(at):
+                    for column, v in zip(out, (h, c, base + int(at[0]), base + int(at[-1]))):
                         column.append(v)
             return pa.record_batch([pa.array(x, pa.int64()) for x in out], names=["h", "c", "a", "b"])
 
@@ -361,7 +357,7 @@ def _edge_matches(docs: DataFrame, wanted: DataFrame, length: int, k: int, keep_
         dropped(pieces)
         pieces = written(dealt.join(sizes.where(F.col("kinds") > group).select("g"), "g", "left_semi"))
         dropped(dealt, sizes)
-    return out
+    return out.groupBy("h", "c").agg(F.min("a").alias("a"), F.max("b").alias("b"))
 
 
 def marked(docs: DataFrame, length: int = LENGTH, k: int = K, keep_first: bool = False, group: int = GROUP, block: int = BLOCK) -> DataFrame:
