@@ -1,18 +1,21 @@
 """LM scoring with a log-frequency Bloom filter.
 
 Unigram and bigram counts of the training texts are summed over all of them.
-A count c is quantised to level q = 1 + floor(log_BASE(c / cut)), and the
+A count c is quantised to level q = 1 + floor(log_BASE(c)), and the
 filter holds the items (n-gram, 1) ... (n-gram, q); a lookup probes levels upwards
 until one is absent.  Every n-gram is held, from a count of 1, at every size: the
 items are known from the counts of counts of the whole corpus, and the filter
 has BITS, or as many times two as its items need to fill half of it.  A filter
 of BITS is broadcast, in SHARDS parts.  A larger one stays a table of shards of
 the same size, and is probed through a shuffle: blocks of texts send the
-distinct hashes they need to the shards and get their levels back.  The probability interpolates the
-quantised bigram estimate with an add-half unigram estimate; a text's last
-token is its end, which is also the history of its first word.  The
-interpolation weight of each history level is the best of GRID on all
-training texts, with each token's own occurrence left out of the counts.
+distinct hashes they need to the shards and get their levels back.
+
+The probability of a token after its history is (c2 + m * p1) / (c1 + m), with
+the quantised counts c2 of the pair and c1 of the history and an add-half unigram
+estimate p1; a text's last token is its end, which is also the history of
+its first word.  The weight m follows from all training counts: it is the one at which
+the share of probability left to p1, mean over all training tokens, is the share of
+pairs that occur once (the Good-Turing estimate of what is unseen).
 
 The base score uses exact counts.  The HEAD most frequent tokens are summed
 where the document is read, all others are joined by shuffle (both exact).
@@ -27,8 +30,7 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections import Counter
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -36,19 +38,19 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrace.llm.common import text_of
+from terrace.llm.common import most_frequent, text_of
 from terrace.llm.shingles import byte_hashes, mixed
-from terrace.plans.scratch import dropped, written
+from terrace.plans.scratch import dropped, small_batches, written
 
 BASE = 1.5
-BITS = 1 << 28
-SHARDS = 256
+#: Bits of a filter that is broadcast: 64 MB.
+BITS = 1 << 29
+SHARDS = 4096
 PROBES = 6
-GRID = (0.0, 0.01, 0.03, 0.06, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9)
+#: Tokens whose base probability is broadcast: at most this many, of this many characters.
 HEAD = 200_000
 HEAD_CHARS = 32
-HOLD = 400_000
-#: Tokens that are hashed and probed at once.
+#: Tokens that are hashed and probed at once; for counting, four times as many.
 BLOCK = 500_000
 #: The end of a text as a token; no word is empty.
 END = b""
@@ -65,12 +67,62 @@ def bigrams(h: np.ndarray) -> np.ndarray:
     return mixed(np.concatenate((h[-1:], h[:-1])) * _ONE + h * _TWO)
 
 
+class Block:
+    """Some texts: their distinct tokens (words, in the order seen, and hashes),
+    the texts' tokens and histories as places among these, and the distinct pairs."""
+
+    def __init__(self, texts: list[str]) -> None:
+        seen: dict[bytes, int] = {}
+        codes = [np.fromiter((seen.setdefault(t, len(seen)) for t in tokens(text)), np.int64) for text in texts]
+        self.words = list(seen)
+        self._set(byte_hashes(self.words), np.array([len(x) for x in codes], np.int64), np.concatenate(codes))
+
+    def _set(self, hashes: np.ndarray, sizes: np.ndarray, codes: np.ndarray) -> None:
+        self.hashes, self.sizes, self.codes = hashes, sizes, codes
+        ends = np.cumsum(sizes)
+        self.first = ends - sizes
+        self.before = np.concatenate((codes[:1], codes[:-1]))
+        self.before[self.first] = codes[ends - 1]
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hashes of the distinct pairs, the place of each token's pair among them and their numbers."""
+        n = len(self.hashes)
+        pairs, back, many = np.unique(self.before * n + self.codes, return_inverse=True, return_counts=True)
+        return mixed(self.hashes[pairs // n] * _ONE + self.hashes[pairs % n] * _TWO), back, many
+
+    def packed(self) -> bytes:
+        sizes = np.array([len(self.hashes), len(self.sizes)], np.int64)
+        return sizes.tobytes() + self.hashes.tobytes() + self.sizes.tobytes() + zlib.compress(self.codes.astype(np.int32).tobytes(), 1)
+
+    @staticmethod
+    def unpacked(data: bytes) -> Block:
+        """A block without its words."""
+        n, texts = np.frombuffer(data, np.int64, 2).tolist()
+        out = Block.__new__(Block)
+        codes = np.frombuffer(zlib.decompress(data[16 + 8 * (n + texts) :]), np.int32).astype(np.int64)
+        out._set(np.frombuffer(data, np.uint64, n, 16), np.frombuffer(data, np.int64, texts, 16 + 8 * n), codes)
+        return out
+
+
+def _blocks(texts, most: int):
+    """Lists of consecutive texts of about ``most`` tokens, a token being some six characters."""
+    held, size = [], 0
+    for text in texts:
+        if held and size + len(text) > 6 * most:
+            yield held
+            held, size = [], 0
+        held.append(text)
+        size += len(text) + 1
+    if held:
+        yield held
+
+
 def _shard(h: np.ndarray, shards: int) -> np.ndarray:
     """The shard by the high bits; ``shards`` is a power of two."""
     return h >> np.uint64(65 - shards.bit_length()) if shards > 1 else np.zeros(len(h), np.uint64)
 
 
-def _positions(h: np.ndarray, level: int, probe: int, bits: int, shards: int = SHARDS) -> np.ndarray:
+def _positions(h: np.ndarray, level: int, probe: int, bits: int, shards: int) -> np.ndarray:
     """Bit of an item for one probe: the shard, then double hashing inside it."""
     inside = np.uint64(bits // shards)
     step = np.uint64((level * 0x9E3779B97F4A7C15) % 2**64)
@@ -78,7 +130,7 @@ def _positions(h: np.ndarray, level: int, probe: int, bits: int, shards: int = S
     return _shard(h, shards) * inside + (a + np.uint64(probe) * b) % inside
 
 
-def levels(h: np.ndarray, filter_: np.ndarray, shards: int = SHARDS) -> np.ndarray:
+def levels(h: np.ndarray, filter_: np.ndarray, shards: int) -> np.ndarray:
     """Quantised level of each n-gram: probes go up until a level is absent."""
     bits = len(filter_) * 8
     out = np.zeros(len(h), np.int64)
@@ -95,13 +147,16 @@ def levels(h: np.ndarray, filter_: np.ndarray, shards: int = SHARDS) -> np.ndarr
     return out
 
 
+def level_of(c: np.ndarray) -> np.ndarray:
+    return 1 + np.floor(np.log(c) / math.log(BASE)).astype(np.int64)
+
+
 @dataclass(frozen=True)
 class Model:
     filter_: object  # broadcast uint8 array, or none if the filter is a table
     parts: DataFrame | None  # shard, part of a filter that is not broadcast
     shards: int
-    cuts: tuple  # least count of unigrams and of bigrams
-    weights: tuple  # by level of the history
+    weight: float  # of the unigram estimate, in counts
     n: int
     v: int
     vocabulary: DataFrame  # token, c
@@ -109,126 +164,111 @@ class Model:
 
 
 def _counted(batches):
-    """Rows (token, hash, n) of unigrams (token set) and bigrams (hash only), summed within the task."""
-    names = ["token", "hash", "n"]
-    held: Counter = Counter()
-    parts: list[np.ndarray] = []
-    size = 0
-
-    def grams():
-        h, n = np.unique(np.concatenate(parts), return_counts=True)
-        return pa.record_batch([pa.nulls(len(h), pa.string()), pa.array(h.view(np.int64)), pa.array(n, pa.int64())], names=names)
-
-    def unigrams():
-        k = list(held)
-        h = byte_hashes(k).view(np.int64)
-        return pa.record_batch([pa.array(k, pa.binary()).cast(pa.string()), pa.array(h), pa.array(list(held.values()), pa.int64())], names=names)
-
-    for batch in batches:
-        for text in batch.column(0):
-            t = tokens(text.as_py())
-            held.update(t)
-            parts.append(bigrams(byte_hashes(t)))
-            size += len(t)
-            if size >= 4 * BLOCK:
-                yield grams()
-                parts, size = [], 0
-            if len(held) >= HOLD:
-                yield unigrams()
-                held.clear()
-    if parts:
-        yield grams()
-    if held:
-        yield unigrams()
+    """Rows (token, hash, n) of unigrams (token set) and bigrams (hash only), summed within a block."""
+    for texts in _blocks((text.as_py() for batch in batches for text in batch.column(0)), 4 * BLOCK):
+        block = Block(texts)
+        h, _, many = block.pairs()
+        n = np.concatenate((np.bincount(block.codes), many))
+        token = pa.concat_arrays([pa.array(block.words, pa.binary()).cast(pa.string()), pa.nulls(len(h), pa.string())])
+        yield pa.record_batch([token, pa.array(np.concatenate((block.hashes, h)).view(np.int64)), pa.array(n, pa.int64())], names=["token", "hash", "n"])
+
+
+def unigram_weight(c: np.ndarray, many: np.ndarray, once: float) -> float:
+    """The m with sum(many * c * m / (c + m)) = once: ``many`` histories have count c, ``once`` pairs occur once."""
+    low, high = 1e-3, 1e6
+    for _ in range(100):
+        m = math.sqrt(low * high)
+        if float((many * c * (m / (c + m))).sum()) < once:
+            low = m
+        else:
+            high = m
+    return math.sqrt(low * high)
 
 
 def trained(docs: DataFrame, bits: int = BITS, head: int = HEAD) -> Model:
     """A model of all rows of ``docs``."""
     spark = docs.sparkSession
+    small_batches(spark)
     raw = docs.select(text_of(docs)).mapInArrow(_counted, "token string, hash long, n long")
     # One pass: unigrams keep their token, bigrams have none.
     counts = written(raw.groupBy("token", "hash").agg(F.sum("n").alias("c")))
     vocabulary = written(counts.where("token IS NOT NULL").select("token", "c"))
-    n, v = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).head()
-    hist = counts.groupBy("c").count().toArrow()  # a row per distinct count
-    c, many = (hist.column(i).to_numpy() for i in range(2))
-    cuts = (1, 1)
-    items = float((many * (1 + np.floor(np.log(c) / math.log(BASE)))).sum())
-    shards = SHARDS
-    while items * PROBES > bits * math.log(2) * (shards // SHARDS):
+    hist = counts.groupBy(F.col("token").isNull().alias("pair"), "c").agg(F.count("*").alias("many")).toArrow().to_pandas()  # a row per distinct count
+    words = hist[~hist.pair.astype(bool)]
+    n, v = int((words.c * words.many).sum()), int(words.many.sum())
+    once = float(hist.many[hist.pair.astype(bool) & (hist.c == 1)].sum())
+    weight = unigram_weight(words.c.to_numpy(float), words.many.to_numpy(float), once) if n else 1.0
+    items = float((hist.many * level_of(hist.c.to_numpy(float))).sum()) if len(hist) else 0.0
+    base = max(1, min(SHARDS, bits // 1024))
+    shards = base
+    while items * PROBES > bits * math.log(2) * (shards // base):
         shards *= 2
-    held = counts.withColumn("shard", F.shiftrightunsigned("hash", 65 - shards.bit_length()))
-    inside = bits // SHARDS // 8
+    inside = bits // base // 8
 
     def build(batches):
         current, part = None, None
+
+        def row():
+            return pa.record_batch([pa.array([current], pa.int64()), pa.array([part.tobytes()], pa.binary())], names=["shard", "part"])
+
         for batch in batches:
-            shard, h, c = (batch.column(i).to_numpy() for i in range(3))
-            level = 1 + np.floor(np.log(c) / math.log(BASE)).astype(np.int64)
-            for s in np.unique(shard).tolist():
+            h = batch.column(0).to_numpy().view(np.uint64)
+            shard, level = _shard(h, shards).astype(np.int64), level_of(batch.column(1).to_numpy())
+            cut = [0, *(np.flatnonzero(shard[1:] != shard[:-1]) + 1).tolist(), len(h)]
+            at = [np.concatenate([_positions(h[level >= j], j, probe, inside * 8, 1) for probe in range(PROBES)]) for j in range(1, int(level.max()) + 1)] if len(h) else []
+            own = np.concatenate([np.tile(shard[level >= j], PROBES) for j in range(1, len(at) + 1)]) if at else shard
+            at = np.concatenate(at) if at else h
+            order = np.argsort(own, kind="stable")
+            own, at = own[order], at[order]
+            ends = np.searchsorted(own, shard[cut[:-1]], "right") if len(h) else []
+            begin = 0
+            for s, end in zip(shard[cut[:-1]].tolist() if len(h) else [], ends):
                 if s != current:
                     if part is not None:
-                        yield pa.record_batch([pa.array([current], pa.int64()), pa.array([part.tobytes()], pa.binary())], names=["shard", "part"])
+                        yield row()
                     current, part = s, np.zeros(inside, np.uint8)
-                own, top = h[shard == s].view(np.uint64), level[shard == s]
-                for j in range(1, int(top.max()) + 1):
-                    for probe in range(PROBES):
-                        at = _positions(own[top >= j], j, probe, inside * 8, 1)
-                        np.bitwise_or.at(part, (at >> np.uint64(3)).astype(np.int64), np.left_shift(np.uint8(1), (at & np.uint64(7)).astype(np.uint8)))
+                bit = at[begin:end]
+                np.bitwise_or.at(part, (bit >> np.uint64(3)).astype(np.int64), np.left_shift(np.uint8(1), (bit & np.uint64(7)).astype(np.uint8)))
+                begin = end
         if part is not None:
-            yield pa.record_batch([pa.array([current], pa.int64()), pa.array([part.tobytes()], pa.binary())], names=["shard", "part"])
+            yield row()
 
-    parts = held.select(F.col("shard").cast("long"), "hash", "c").repartition("shard").sortWithinPartitions("shard").mapInArrow(build, "shard long, part binary")
+    shard = F.shiftrightunsigned("hash", 65 - shards.bit_length()) if shards > 1 else F.lit(0)
+    parts = counts.select("hash", "c").repartition(shard).sortWithinPartitions(shard).mapInArrow(build, "shard long, part binary")
     shared = None
-    if shards == SHARDS:
+    if shards == base:
         filter_ = np.zeros(bits // 8, np.uint8)  # ``bits`` in all, whatever the input
         found = parts.toArrow()
         for s, part in zip(found.column(0).to_pylist(), found.column(1)):
-            filter_[s * inside : (s + 1) * inside] = np.frombuffer(part.as_py(), np.uint8)
+            filter_[s * inside : (s + 1) * inside] = np.frombuffer(part.as_buffer(), np.uint8)
+        del found
         shared, parts = spark.sparkContext.broadcast(filter_), None
     else:
         parts = written(parts)
-    top = vocabulary.where(F.length("token") <= HEAD_CHARS).orderBy(F.desc("c"), "token").limit(head).toArrow()
+    top = most_frequent(vocabulary.where(F.length("token") <= HEAD_CHARS), "c", head).toArrow()
     known = {t.encode(): math.log10((c + 0.5) / (n + 0.5 * (v + 1))) for t, c in zip(top.column(0).to_pylist(), top.column(1).to_pylist())}
     dropped(counts)
-    weights = _tuned(docs, shared, cuts, n, v) if parts is None else _tuned_by_shards(docs, parts, shards, cuts, n, v)
-    return Model(shared, parts, shards, cuts, weights, n, v, vocabulary, spark.sparkContext.broadcast(known))
-
-
-def _packed(parts: list[np.ndarray]) -> bytes:
-    """A block of texts: its distinct hashes, the texts' lengths and the place of each token among the hashes."""
-    u, codes = np.unique(np.concatenate(parts), return_inverse=True)
-    sizes = np.array([len(u), len(parts)], np.int64)
-    return sizes.tobytes() + u.tobytes() + np.array([len(x) for x in parts], np.int64).tobytes() + zlib.compress(codes.astype(np.int32).tobytes(), 1)
-
-
-def _unpacked(data: bytes, shards: int):
-    """Of a block: number of distinct tokens, the texts' first places, tokens, their
-    histories and pairs as places among the distinct ones, hashes of tokens and pairs and their order by shard."""
-    n, texts = np.frombuffer(data, np.int64, 2).tolist()
-    u = np.frombuffer(data, np.uint64, n, 16)
-    first = np.concatenate(([0], np.cumsum(np.frombuffer(data, np.int64, texts, 16 + 8 * n))))
-    codes = np.frombuffer(zlib.decompress(data[16 + 8 * (n + texts) :]), np.int32).astype(np.int64)
-    before = np.concatenate((codes[:1], codes[:-1]))
-    before[first[:-1]] = codes[first[1:] - 1]
-    pairs, pair = np.unique(before * n + codes, return_inverse=True)
-    h = np.concatenate((u, mixed(u[pairs // n] * _ONE + u[pairs % n] * _TWO)))
-    return n, first[:-1], codes, before, pair, h, np.argsort(_shard(h, shards), kind="stable")
+    return Model(shared, parts, shards, weight, n, v, vocabulary, spark.sparkContext.broadcast(known))
 
 
 def _by_shards(blocks: DataFrame, parts: DataFrame, shards: int, solve, schema: str) -> DataFrame:
-    """``solve(block, (n, first, codes, before, pair), levels)`` of each of the written ``blocks`` (block, data), with
-    the levels of its tokens and pairs.  Each block sends its hashes to the shards; nothing larger than a block or a shard is held."""
+    """``solve(number, block, levels)`` of each of the written ``blocks`` (block, data), with the levels
+    of its tokens and pairs.  Each block sends its hashes to the shards; nothing larger than a block or a shard is held."""
+
+    def hashes(block: Block):
+        pairs, back, _ = block.pairs()
+        h = np.concatenate((block.hashes, pairs))
+        return h, back, np.argsort(_shard(h, shards), kind="stable")
 
     def ask(batches):
         for batch in batches:
-            for block, data in zip(batch.column(0).to_pylist(), batch.column(1)):
-                *_, h, order = _unpacked(data.as_py(), shards)
+            for number, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+                h, _, order = hashes(Block.unpacked(data.as_py()))
                 h = h[order]
                 shard = _shard(h, shards)
                 cut = [0, *(np.flatnonzero(shard[1:] != shard[:-1]) + 1).tolist(), len(h)]
                 own = shard[cut[:-1]].astype(np.int64)
-                yield pa.record_batch([pa.array(own), pa.array([block] * len(own), pa.int64()), pa.array([h[a:b].tobytes() for a, b in zip(cut, cut[1:])], pa.binary())], names=["shard", "block", "data"])
+                yield pa.record_batch([pa.array(own), pa.array([number] * len(own), pa.int64()), pa.array([h[a:b].tobytes() for a, b in zip(cut, cut[1:])], pa.binary())], names=["shard", "block", "data"])
 
     def probe(batches):
         current, part = None, None
@@ -253,23 +293,24 @@ def _by_shards(blocks: DataFrame, parts: DataFrame, shards: int, solve, schema:
                 yield pa.record_batch([pa.array(shard[a:b]), pa.array(block[a:b]), pa.array([x.tobytes() for x in np.split(found, ends[:-1])], pa.binary())], names=["shard", "block", "data"])
 
     def gather(batches):
-        block, data, got = None, None, []
+        number, data, got = None, None, []
 
         def solved():
-            *rest, h, order = _unpacked(data, shards)
+            block = Block.unpacked(data)
+            h, back, order = hashes(block)
             level = np.empty(len(h), np.int64)
             level[order] = np.frombuffer(b"".join(got), np.uint8)
-            return solve(block, rest, level)
+            return solve(number, block, level[: len(block.hashes)], level[len(block.hashes) :][back])
 
         for batch in batches:
             for b, piece in zip(batch.column(1).to_pylist(), batch.column(2)):
-                if b != block:
-                    if block is not None:
+                if b != number:
+                    if number is not None:
                         yield solved()
-                    block, data, got = b, piece.as_py(), []
+                    number, data, got = b, piece.as_py(), []
                 else:
                     got.append(piece.as_py())
-        if block is not None:
+        if number is not None:
             yield solved()
 
     kind = "shard long, block long, data binary"
@@ -280,122 +321,23 @@ def _by_shards(blocks: DataFrame, parts: DataFrame, shards: int, solve, schema:
     return found.unionByName(own).repartition("block").sortWithinPartitions("block", "shard").mapInArrow(gather, schema)
 
 
-def _tuned_by_shards(docs: DataFrame, parts: DataFrame, shards: int, cuts: tuple, n: int, v: int) -> tuple:
-    """``_tuned`` with a filter that is not broadcast."""
-
-    def pack(batches):
-        task, row = TaskContext.get().partitionId(), 0
-        for batch in batches:
-            for own in _blocks(batch):
-                yield pa.record_batch([pa.array([task << 33 | row], pa.int64()), pa.array([_packed(own)], pa.binary())], names=["block", "data"])
-                row += len(own)
-
-    def solve(block, rest, level):
-        size, _, codes, before, pair = rest
-        _, at, many = np.unique(pair, return_index=True, return_counts=True)
-        own, history = level[codes[at]], level[before[at]]
-        return _grid_sums(_estimate(own, cuts[0]), _estimate(history, cuts[0]), _estimate(level[size:], cuts[1]), history, many, n, v)
-
-    blocks = written(docs.select(text_of(docs).alias("text")).mapInArrow(pack, "block long, data binary"))
-    out = _best(_by_shards(blocks, parts, shards, solve, "level long, i long, total double"))
-    dropped(blocks)
-    return out
-
-
-def _estimate(level: np.ndarray, cut: int) -> np.ndarray:
+def _estimate(level: np.ndarray) -> np.ndarray:
     """Middle of the counts that share a level; 0 for none."""
-    low = cut * BASE ** (level - 1.0)
+    low = BASE ** (level - 1.0)
     return np.where(level > 0, np.maximum(low, (np.ceil(low) + np.ceil(low * BASE) - 1) / 2), 0.0)
 
 
-def _looked_up(h: np.ndarray, first: np.ndarray, ends: np.ndarray, filter_: np.ndarray, cuts: tuple):
-    """Estimated counts of each token, its history and their pair, and the history's level."""
-    before = np.concatenate((h[:1], h[:-1]))
-    before[first] = h[ends]
-    unique, back = np.unique(h, return_inverse=True)
-    level = levels(unique, filter_)[back]
-    level_before = np.concatenate((level[:1], level[:-1]))
-    level_before[first] = level[ends]
-    two = levels(mixed(before * _ONE + h * _TWO), filter_)
-    return _estimate(level, cuts[0]), _estimate(level_before, cuts[0]), _estimate(two, cuts[1]), level_before
-
-
-def _share(two: np.ndarray, before: np.ndarray) -> np.ndarray:
-    return np.where(before > 0, np.minimum(two, before) / np.maximum(before, 1.0), 0.0)
-
-
-def _blocks(batch):
-    """The token hashes of each text, in blocks of about BLOCK tokens."""
-    held, size = [], 0
-    for text in batch.column(0):
-        held.append(byte_hashes(tokens(text.as_py())))
-        size += len(held[-1])
-        if size >= BLOCK:
-            yield held
-            held, size = [], 0
-    if held:
-        yield held
-
-
-def _grid_sums(c, before, two, level, many, n: int, v: int):
-    """Rows (level, i, total): the log10 probabilities of pairs that occur ``many`` times, by history level and weight of GRID."""
-    p = (np.maximum(c - 1, 0) + 0.5) / (n + 0.5 * (v + 1))
-    share = _share(np.maximum(two - 1, 0), np.maximum(before - 1, 0))
-    some, size = share > 0, int(level.max()) + 1
-    plain = np.bincount(level[~some], many[~some] * np.log10(p[~some]), size)
-    alone = np.bincount(level[~some], many[~some], size)
-    p, share, many, own = p[some], share[some], many[some], level[some]
-    out = ([], [], [])
-    for i, w in enumerate(GRID):
-        total = plain + alone * math.log10(1 - w) + np.bincount(own, many * np.log10(w * share + (1 - w) * p), size)
-        seen = np.unique(level)
-        for column, x in zip(out, (seen, np.full(len(seen), i), total[seen])):
-            column.append(x)
-    return pa.record_batch([pa.array(np.concatenate(x)) for x in out], names=["level", "i", "total"])
-
-
-def _best(found: DataFrame) -> tuple:
-    best = found.groupBy("level", "i").agg(F.sum("total").alias("total")).groupBy("level").agg(F.max_by("i", F.struct("total", (-F.col("i")).alias("less"))).alias("i")).collect()  # a row per level
-    out = [0.0] * (1 + max(r.level for r in best))
-    for r in best:
-        out[r.level] = GRID[r.i]
-    return tuple(out)
-
-
-def _tuned(docs: DataFrame, shared, cuts: tuple, n: int, v: int) -> tuple:
-    """The best weight of GRID for each history level over all texts, each token left out of its own counts."""
-    if not n:
-        return (0.0,)
-
-    def run(batches):
-        filter_ = shared.value
-        for batch in batches:
-            for parts in _blocks(batch):
-                pairs, at, many = np.unique(np.concatenate([bigrams(x) for x in parts]), return_index=True, return_counts=True)
-                h, before = np.concatenate(parts)[at], np.concatenate([np.concatenate((x[-1:], x[:-1])) for x in parts])[at]
-                u, back = np.unique(np.concatenate((h, before)), return_inverse=True)
-                level = levels(u, filter_)[back]
-                c, level = level[: len(h)], level[len(h) :]
-                yield _grid_sums(_estimate(c, cuts[0]), _estimate(level, cuts[0]), _estimate(levels(pairs, filter_), cuts[1]), level, many, n, v)
-
-    return _best(docs.select(text_of(docs).alias("text")).mapInArrow(run, "level long, i long, total double"))
-
-
-def log_probabilities(h: np.ndarray, first: np.ndarray, ends: np.ndarray, model: Model, filter_: np.ndarray) -> np.ndarray:
-    """log10 p of each token; ``h`` are the texts' tokens end to end, ``first``
-    and ``ends`` the places of each text's first and last token."""
-    return _log_p(*_looked_up(h, first, ends, filter_, model.cuts), model)
-
-
-def _log_p(c: np.ndarray, before: np.ndarray, two: np.ndarray, level: np.ndarray, model: Model) -> np.ndarray:
-    p = (c + 0.5) / (model.n + 0.5 * (model.v + 1))
-    weights = np.array(model.weights)
-    w = np.where(before > 0, weights[np.minimum(level, len(weights) - 1)], 0.0)
-    return np.log10(w * _share(two, before) + (1 - w) * p)
+def log_probabilities(block: Block, own: np.ndarray, two: np.ndarray, weight: float, n: int, v: int) -> np.ndarray:
+    """log10 p of each token of a block, from the levels of its distinct tokens and of each token's pair."""
+    c = _estimate(own)
+    before, m = c[block.before], max(weight, 1e-12)
+    p = (c[block.codes] + 0.5) / (n + 0.5 * (v + 1))
+    return np.log10((np.minimum(_estimate(two), before) + m * p) / (before + m))
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
     """The columns of ``docs`` but text, with n_tokens, n_known, base_score and score."""
+    small_batches(docs.sparkSession)
     other = [c for c in docs.columns if c != "text"]
     spare = docs.select(*[docs[f"`{c}`"] for c in other])
     total = model.n + 0.5 * (model.v + 1)
@@ -403,58 +345,48 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     rows = docs.select(text_of(docs).alias("text"), F.struct(*[spare[f"`{c}`"] for c in other]).alias("rest"))
     rest_type = rows.schema["rest"].dataType.simpleString()
     filters, heads = model.filter_, model.head
-    small = Model(None, None, model.shards, model.cuts, model.weights, model.n, model.v, None, None)
+    small = replace(model, filter_=None, parts=None, vocabulary=None, head=None)
     sharded = model.parts is not None
+    names = ["place", "rest", "n", "known", "base", "score", "token", "block"]
 
     def run(batches):
         filter_, known = None if sharded else filters.value, heads.value
         task, row = TaskContext.get().partitionId(), 0
         for batch in batches:
             at = 0
-            while at < batch.num_rows:
-                place, n_tokens, n_known, base = [], [], [], []
-                tail_place, tail_token, tail_n = [], [], []
-                hashes, size, begin = [], 0, at
-                while at < batch.num_rows and size < BLOCK:
-                    t = tokens(batch.column(0)[at].as_py())
-                    hashes.append(byte_hashes(t))
-                    size += len(t)
-                    here = task << 33 | row
-                    got, score = 0, 0.0
-                    for token, n in Counter(t).items():
-                        log_p = known.get(token)
-                        if log_p is None:
-                            tail_place.append(here)
-                            tail_token.append(token)
-                            tail_n.append(n)
-                        else:
-                            got += n
-                            score += n * log_p
-                    for column, x in zip((place, n_tokens, n_known, base), (here, len(t), got, score)):
-                        column.append(x)
-                    at += 1
-                    row += 1
-                first = np.concatenate(([0], np.cumsum(n_tokens)))
-                none, own = len(tail_place), len(place)
-                if sharded:
-                    score = [None] * own
-                else:
-                    log_p = log_probabilities(np.concatenate(hashes), first[:-1], first[1:] - 1, small, filter_) if total else np.zeros(size)
-                    score = np.add.reduceat(log_p, first[:-1]).tolist()
-                rest = batch.column(1).slice(begin, own)
+            for texts in _blocks((x.as_py() for x in batch.column(0)), BLOCK):
+                block, own = Block(texts), len(texts)
+                place = (task << 33) + row + np.arange(own)
+                log_p = np.fromiter((known.get(w, np.nan) for w in block.words), float, len(block.words))[block.codes]
+                in_head = ~np.isnan(log_p)
+                base = np.add.reduceat(np.where(in_head, log_p, 0.0), block.first)
+                n_known = np.add.reduceat(in_head, block.first, dtype=np.int64)
+                # The other tokens of each text, with their numbers.
+                text = np.repeat(np.arange(own), block.sizes)[~in_head]
+                tail, n = np.unique(text * len(block.words) + block.codes[~in_head], return_counts=True)
+                score = np.full(own, np.nan) if sharded else np.zeros(own)
+                if not sharded and small.n:
+                    pairs, back, _ = block.pairs()
+                    p = log_probabilities(block, levels(block.hashes, filter_, small.shards), levels(pairs, filter_, small.shards)[back], small.weight, small.n, small.v)
+                    score = np.add.reduceat(p, block.first)
+                rest, none = batch.column(1).slice(at, own), len(tail)
+                words = pa.array(block.words, pa.binary()).cast(pa.string()).take(pa.array(tail % len(block.words)))
+                more = lambda x, kind: pa.concat_arrays([pa.array(x, kind), pa.nulls(none, kind)])
                 yield pa.record_batch(
                     [
-                        pa.array([*place, *tail_place], pa.int64()),
+                        pa.array(np.concatenate((place, place[tail // len(block.words)]))),
                         pa.concat_arrays([rest, pa.nulls(none, rest.type)]),
-                        pa.array([*n_tokens, *tail_n], pa.int64()),
-                        pa.array([*n_known, *[None] * none], pa.int64()),
-                        pa.array([*base, *[None] * none], pa.float64()),
-                        pa.array([*score, *[None] * none], pa.float64()),
-                        pa.array([*[None] * own, *tail_token], pa.binary()).cast(pa.string()),
-                        pa.array([_packed(hashes) if sharded and i == 0 else None for i in range(own + none)], pa.binary()),
+                        pa.array(np.concatenate((block.sizes, n))),
+                        more(n_known, pa.int64()),
+                        more(base, pa.float64()),
+                        more(score, pa.float64()),
+                        pa.concat_arrays([pa.nulls(own, pa.string()), words]),
+                        more([block.packed() if sharded and i == 0 else None for i in range(own)], pa.binary()),
                     ],
-                    names=["place", "rest", "n", "known", "base", "score", "token", "block"],
+                    names=names,
                 )
+                at += own
+                row += own
 
     parts = written(rows.mapInArrow(run, f"place long, rest {rest_type}, n long, known long, base double, score double, token string, block binary"))
     tail = parts.where(F.col("token").isNotNull()).select("token", "place", "n").join(model.vocabulary, "token", "left")
@@ -463,12 +395,9 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     out = parts.where(F.col("token").isNull()).drop("block").join(tail, "place", "left")
     if sharded:
 
-        def solve(block, rest, level):
-            size, first, codes, before, pair = rest
-            own, history = level[codes], level[before]
-            cuts = small.cuts
-            log_p = _log_p(_estimate(own, cuts[0]), _estimate(history, cuts[0]), _estimate(level[size:], cuts[1])[pair], history, small)
-            return pa.record_batch([pa.array(block + np.arange(len(first))), pa.array(np.add.reduceat(log_p, first))], names=["place", "score"])
+        def solve(number, block, own, two):
+            p = log_probabilities(block, own, two, small.weight, small.n, small.v)
+            return pa.record_batch([pa.array(number + np.arange(len(block.first))), pa.array(np.add.reduceat(p, block.first))], names=["place", "score"])
 
         blocks = parts.where(F.col("block").isNotNull()).select(F.col("place").alias("block"), F.col("block").alias("data"))
         out = out.drop("score").join(_by_shards(blocks, model.parts, model.shards, solve, "place long, score double"), "place")

@@ -53,6 +53,7 @@ def test_tail_join_and_odd_rows(spark, tmp_path):
     want = brute(rows)
     assert all(r.base_score == pytest.approx(want[r.doc_id][4]) and r.n_known == want[r.doc_id][2] for r in found.collect())
     none = lm_scoring.trained(docs.limit(0), bits=1 << 16)
+    assert none.n == none.v == 0
     assert {(r.base_score, r.score) for r in lm_scoring.scored(docs, none).collect()} == {(0.0, 0.0)}
     assert lm_scoring.scored(docs.limit(0), model).count() == 0
 
@@ -62,72 +63,83 @@ def test_filter_has_no_false_negative(spark):
     model = lm_scoring.trained(docs, bits=1 << 16)
     count = Counter(t for r in docs.collect() for t in lm_scoring.tokens(r.text))
     keys = list(count)
-    got = lm_scoring.levels(lm_scoring.byte_hashes(keys), model.filter_.value)
-    want = [1 + int(math.log(count[k] / model.cuts[0]) / math.log(lm_scoring.BASE)) for k in keys]
+    got = lm_scoring.levels(lm_scoring.byte_hashes(keys), model.filter_.value, model.shards)
+    want = [1 + int(math.log(count[k]) / math.log(lm_scoring.BASE)) for k in keys]
     assert all(a >= b for a, b in zip(got.tolist(), want))
     assert np.mean(got == want) > 0.7
 
 
-def test_weights_are_fitted_on_all_training_texts(spark):
-    """2,100 copies of one text, first in hash order, among 300 other texts: weights as by brute force over all."""
-    from pyspark.sql import functions as F
-
-    rng = random.Random(4)
-    pool = [f"copy {i} of the same text" for i in range(300)]
-    first = spark.createDataFrame([(x,) for x in pool], "text string").orderBy(F.xxhash64("text")).head().text
-    rows = [first] * 2100 + [" ".join(f"v{min(int(rng.expovariate(0.1)), 60)}" for _ in range(60)) for _ in range(300)]
-    model = lm_scoring.trained(spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "doc_id long, text string"), bits=1 << 20)
-    one, two, seen = Counter(), Counter(), []
-    for t in rows:
-        t = lm_scoring.tokens(t)
-        pairs = list(zip([t[-1], *t[:-1]], t))
+def brute_scores(train, rows):
+    """Scores by plain counts: the quantised count is the mean of all counts of its level."""
+    level = lambda c: int(math.floor(math.log(c) / math.log(lm_scoring.BASE)))
+    means = {}
+    for c in range(1, 20_000):
+        means.setdefault(level(c), []).append(c)
+    about = lambda c: sum(means[level(c)]) / len(means[level(c)]) if c else 0.0
+    pairs_of = lambda t: list(zip([t[-1], *t[:-1]], t))
+    one, two = Counter(), Counter()
+    for text in train:
+        t = lm_scoring.tokens(text or "")
         one.update(t)
-        two.update(pairs)
-        seen += pairs
-    level = lambda c, cut: 0 if c < cut else 1 + int(math.floor(math.log(c / cut) / math.log(lm_scoring.BASE)))
-    about = lambda c, cut: float(lm_scoring._estimate(np.array([level(c, cut)]), cut)[0])
-    n, v = sum(one.values()), len(one)
-    sums = {}
-    for (a, b), m in Counter(seen).items():
-        before = max(about(one[a], model.cuts[0]) - 1, 0)
-        share = min(max(about(two[a, b], model.cuts[1]) - 1, 0), before) / before if before else 0.0
-        p = (max(about(one[b], model.cuts[0]) - 1, 0) + 0.5) / (n + 0.5 * (v + 1))
-        row = sums.setdefault(level(one[a], model.cuts[0]), [0.0] * len(lm_scoring.GRID))
-        for i, w in enumerate(lm_scoring.GRID):
-            row[i] += m * math.log10(w * share + (1 - w) * p)
-    want = [lm_scoring.GRID[int(np.argmax(sums[k]))] if k in sums else 0.0 for k in range(max(sums) + 1)]
-    assert list(model.weights) == want
+        two.update(pairs_of(t))
+    n, v, once = sum(one.values()), len(one), sum(c == 1 for c in two.values())
+    left = lambda m: sum(c * m / (c + m) for c in one.values())
+    low, high = 1e-3, 1e6
+    while high / low > 1 + 1e-12:
+        mid = math.sqrt(low * high)
+        low, high = (mid, high) if left(mid) < once else (low, mid)
+    out = {}
+    for d, text in rows:
+        total = 0.0
+        for a, b in pairs_of(lm_scoring.tokens(text or "")):
+            p = (about(one[b]) + 0.5) / (n + 0.5 * (v + 1))
+            total += math.log10((min(about(two[a, b]), about(one[a])) + low * p) / (about(one[a]) + low))
+        out[d] = total
+    return out
+
+
+def texts():
+    rng = random.Random(8)
+    return [(i, None if i == 7 else " ".join(f"v{int(rng.expovariate(0.003))}" for _ in range(rng.randrange(80)))) for i in range(400)]
+
+
+def test_scores_by_plain_counts(spark):
+    """With a filter so large that false positives are rare, every score is that of the counts."""
+    rows = texts() + [(1000, "never seen before"), (1001, " ".join(f"v{i % 40}" for i in range(30_000)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    model = lm_scoring.trained(docs.where("doc_id < 300"), bits=1 << 27)
+    want = brute_scores([t for d, t in rows if d < 300], rows)
+    got = {r.doc_id: r.score for r in lm_scoring.scored(docs, model).collect()}
+    assert got.keys() == want.keys()
+    assert all(got[d] == pytest.approx(want[d], rel=1e-6) for d in want)
 
 
 def test_the_filter_grows_with_the_input(spark):
     """A bound of 2^16 bits, far below the items: nothing is cut, and the levels found through
     shards are those of the filter in one piece."""
-    rng = random.Random(8)
-    rows = [(i, None if i == 7 else " ".join(f"v{int(rng.expovariate(0.003))}" for _ in range(rng.randrange(80)))) for i in range(400)]
+    rows = texts()
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     large, small = lm_scoring.trained(docs, bits=1 << 24), lm_scoring.trained(docs, bits=1 << 16)
-    assert small.cuts == large.cuts == (1, 1)
-    assert small.parts is not None and small.filter_ is None and small.shards > lm_scoring.SHARDS
+    assert small.parts is not None and small.filter_ is None and small.shards > 64
     once = Counter(p for _, t in rows for p in lm_scoring.bigrams(lm_scoring.byte_hashes(lm_scoring.tokens(t or ""))).tolist())
     once = np.array([h for h, c in once.items() if c == 1], np.uint64)
-    assert len(once) > 1000 and (lm_scoring.levels(once, large.filter_.value) >= 1).all()
+    assert len(once) > 1000 and (lm_scoring.levels(once, large.filter_.value, large.shards) >= 1).all()
     # The same filter in one piece.
-    filter_ = np.zeros(small.shards * 32, np.uint8)
+    filter_ = np.zeros(small.shards * 128, np.uint8)
     for r in small.parts.collect():
-        filter_[r.shard * 32 : (r.shard + 1) * 32] = np.frombuffer(r.part, np.uint8)
+        filter_[r.shard * 128 : (r.shard + 1) * 128] = np.frombuffer(r.part, np.uint8)
     assert (lm_scoring.levels(once, filter_, small.shards) >= 1).all()
-    sums, want = {}, {}
-    for pick in (True, False):
-        for d, t in rows:
-            h = lm_scoring.byte_hashes(lm_scoring.tokens(t or ""))
-            before = np.concatenate((h[-1:], h[:-1]))
-            own, history, two = (lm_scoring.levels(k, filter_, small.shards) for k in (h, before, lm_scoring.bigrams(h)))
-            found = lm_scoring._estimate(own, 1), lm_scoring._estimate(history, 1), lm_scoring._estimate(two, 1), history
-            if pick:
-                for level, i, total in zip(*(c.to_pylist() for c in lm_scoring._grid_sums(*found, np.ones(len(h)), small.n, small.v).columns)):
-                    sums.setdefault(level, [0.0] * len(lm_scoring.GRID))[i] += total
-            else:
-                want[d] = lm_scoring._log_p(*found, small).sum()
-    assert list(small.weights) == [lm_scoring.GRID[int(np.argmax(np.round(sums[k], 9)))] if k in sums else 0.0 for k in range(max(sums) + 1)]
     got = lm_scoring.scored(docs, small).collect()
-    assert len(got) == len(rows) and all(r.score == pytest.approx(want[r.doc_id], rel=1e-9) for r in got)
+    assert len(got) == len(rows)
+    for r in got:
+        block = lm_scoring.Block([dict(rows)[r.doc_id] or ""])
+        pairs, back, _ = block.pairs()
+        p = lm_scoring.log_probabilities(block, lm_scoring.levels(block.hashes, filter_, small.shards), lm_scoring.levels(pairs, filter_, small.shards)[back], small.weight, small.n, small.v)
+        assert r.score == pytest.approx(p.sum(), rel=1e-9)
+
+
+def test_weight():
+    """Half of the tokens are left to the unigrams: one history of each count from 1 to 50."""
+    c = np.arange(1.0, 51)
+    m = lm_scoring.unigram_weight(c, np.ones(50), c.sum() / 2)
+    assert (c * m / (c + m)).sum() == pytest.approx(c.sum() / 2)
