@@ -30,9 +30,11 @@ from __future__ import annotations
 
 import math
 import zlib
+from collections import Counter
 from dataclasses import dataclass, replace
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -50,8 +52,11 @@ PROBES = 6
 #: Tokens whose base probability is broadcast: at most this many, of this many characters.
 HEAD = 200_000
 HEAD_CHARS = 32
-#: Tokens that are hashed and probed at once; for counting, four times as many.
+#: Tokens that are hashed and probed at once; for counting, twice as many.
 BLOCK = 500_000
+#: Distinct tokens that a task holds before it sends what it has; rows of pairs that it sends at once.
+HOLD = 200_000
+SLICE = 100_000
 #: The end of a text as a token; no word is empty.
 END = b""
 _ONE, _TWO = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
@@ -84,11 +89,17 @@ class Block:
         self.before = np.concatenate((codes[:1], codes[:-1]))
         self.before[self.first] = codes[ends - 1]
 
-    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Hashes of the distinct pairs, the place of each token's pair among them and their numbers."""
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the distinct pairs and the place of each token's pair among them."""
         n = len(self.hashes)
-        pairs, back, many = np.unique(self.before * n + self.codes, return_inverse=True, return_counts=True)
-        return mixed(self.hashes[pairs // n] * _ONE + self.hashes[pairs % n] * _TWO), back, many
+        pairs, back = np.unique(self.before * n + self.codes, return_inverse=True)
+        return mixed(self.hashes[pairs // n] * _ONE + self.hashes[pairs % n] * _TWO), back
+
+    def counts(self) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the distinct pairs and their numbers."""
+        n = len(self.hashes)
+        pairs, many = np.unique(self.before * n + self.codes, return_counts=True)
+        return mixed(self.hashes[pairs // n] * _ONE + self.hashes[pairs % n] * _TWO), many
 
     def packed(self) -> bytes:
         sizes = np.array([len(self.hashes), len(self.sizes)], np.int64)
@@ -163,14 +174,56 @@ class Model:
     head: object  # broadcast {token: log10 of its base probability}
 
 
-def _counted(batches):
-    """Rows (token, hash, n) of unigrams (token set) and bigrams (hash only), summed within a block."""
-    for texts in _blocks((text.as_py() for batch in batches for text in batch.column(0)), 4 * BLOCK):
-        block = Block(texts)
-        h, _, many = block.pairs()
-        n = np.concatenate((np.bincount(block.codes), many))
-        token = pa.concat_arrays([pa.array(block.words, pa.binary()).cast(pa.string()), pa.nulls(len(h), pa.string())])
-        yield pa.record_batch([token, pa.array(np.concatenate((block.hashes, h)).view(np.int64)), pa.array(n, pa.int64())], names=["token", "hash", "n"])
+def _words(batches):
+    """Rows (token, n), summed within a block."""
+    held: Counter = Counter()
+
+    def row():
+        return pa.record_batch([pa.array(list(held), pa.binary()).cast(pa.string()), pa.array(list(held.values()), pa.int64())], names=["token", "n"])
+
+    for batch in batches:
+        for text in batch.column(0):
+            held.update(tokens(text.as_py()))
+            if len(held) >= HOLD:
+                yield row()
+                held.clear()
+    if held:
+        yield row()
+
+
+def _pairs(batches):
+    """Rows (hash, n) of the pairs, summed within a block."""
+    for texts in _blocks((text.as_py() for batch in batches for text in batch.column(0)), 2 * BLOCK):
+        h, many = Block(texts).counts()
+        for a in range(0, len(h), SLICE):
+            yield pa.record_batch([pa.array(h[a : a + SLICE].view(np.int64)), pa.array(many[a : a + SLICE], pa.int64())], names=["hash", "n"])
+
+
+def _summed(batches):
+    """Rows (hash, c) of rows (hash, n) that come in order of the hash."""
+    last, total = None, 0
+    for batch in batches:
+        h, n = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        if not len(h):
+            continue
+        first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+        keys, sums = h[first], np.add.reduceat(n, first)
+        if last is not None:
+            if keys[0] == last:
+                sums[0] += total
+            else:
+                keys, sums = np.append(last, keys), np.append(total, sums)
+        last, total = keys[-1], sums[-1]
+        yield pa.record_batch([pa.array(keys[:-1]), pa.array(sums[:-1])], names=["hash", "c"])
+    if last is not None:
+        yield pa.record_batch([pa.array([last], pa.int64()), pa.array([total], pa.int64())], names=["hash", "c"])
+
+
+def _hashed(batches):
+    """Rows (hash, c) of rows (token, c)."""
+    for batch in batches:
+        h = byte_hashes([t.encode("utf-8", "surrogatepass") for t in batch.column(0).to_pylist()])
+        yield pa.record_batch([pa.array(h.view(np.int64)), batch.column(1)], names=["hash", "c"])
 
 
 def unigram_weight(c: np.ndarray, many: np.ndarray, once: float) -> float:
@@ -186,18 +239,22 @@ def unigram_weight(c: np.ndarray, many: np.ndarray, once: float) -> float:
 
 
 def trained(docs: DataFrame, bits: int = BITS, head: int = HEAD) -> Model:
-    """A model of all rows of ``docs``."""
+    """A model of all rows of ``docs``.  Pairs are dealt by hash and summed in
+    its order; each file of their counts then holds few shards, whose parts are built
+    where it is read and joined bit by bit."""
     spark = docs.sparkSession
     small_batches(spark)
-    raw = docs.select(text_of(docs)).mapInArrow(_counted, "token string, hash long, n long")
-    # One pass: unigrams keep their token, bigrams have none.
-    counts = written(raw.groupBy("token", "hash").agg(F.sum("n").alias("c")))
-    vocabulary = written(counts.where("token IS NOT NULL").select("token", "c"))
-    hist = counts.groupBy(F.col("token").isNull().alias("pair"), "c").agg(F.count("*").alias("many")).toArrow().to_pandas()  # a row per distinct count
-    words = hist[~hist.pair.astype(bool)]
+    texts = docs.select(text_of(docs))
+    vocabulary = written(texts.mapInArrow(_words, "token string, n long").groupBy("token").agg(F.sum("n").alias("c")))
+    words = _histogram(vocabulary)
     n, v = int((words.c * words.many).sum()), int(words.many.sum())
-    once = float(hist.many[hist.pair.astype(bool) & (hist.c == 1)].sum())
-    weight = unigram_weight(words.c.to_numpy(float), words.many.to_numpy(float), once) if n else 1.0
+    # The shards of a filter of any size are ranges of these.
+    deal = F.shiftrightunsigned("hash", 65 - SHARDS.bit_length())
+    ordered = texts.mapInArrow(_pairs, "hash long, n long").repartition(deal).sortWithinPartitions("hash")
+    counts = written(ordered.mapInArrow(_summed, "hash long, c long"))
+    hist = _histogram(counts)
+    weight = unigram_weight(words.c.to_numpy(float), words.many.to_numpy(float), float(hist.many[hist.c == 1].sum())) if n else 1.0
+    hist = pd.concat((hist, words))
     items = float((hist.many * level_of(hist.c.to_numpy(float))).sum()) if len(hist) else 0.0
     base = max(1, min(SHARDS, bits // 1024))
     shards = base
@@ -214,15 +271,14 @@ def trained(docs: DataFrame, bits: int = BITS, head: int = HEAD) -> Model:
         for batch in batches:
             h = batch.column(0).to_numpy().view(np.uint64)
             shard, level = _shard(h, shards).astype(np.int64), level_of(batch.column(1).to_numpy())
-            cut = [0, *(np.flatnonzero(shard[1:] != shard[:-1]) + 1).tolist(), len(h)]
             at = [np.concatenate([_positions(h[level >= j], j, probe, inside * 8, 1) for probe in range(PROBES)]) for j in range(1, int(level.max()) + 1)] if len(h) else []
             own = np.concatenate([np.tile(shard[level >= j], PROBES) for j in range(1, len(at) + 1)]) if at else shard
             at = np.concatenate(at) if at else h
             order = np.argsort(own, kind="stable")
             own, at = own[order], at[order]
-            ends = np.searchsorted(own, shard[cut[:-1]], "right") if len(h) else []
+            kinds, ends = np.unique(own, return_counts=True)
             begin = 0
-            for s, end in zip(shard[cut[:-1]].tolist() if len(h) else [], ends):
+            for s, end in zip(kinds.tolist(), np.cumsum(ends).tolist()):
                 if s != current:
                     if part is not None:
                         yield row()
@@ -234,29 +290,51 @@ def trained(docs: DataFrame, bits: int = BITS, head: int = HEAD) -> Model:
             yield row()
 
     shard = F.shiftrightunsigned("hash", 65 - shards.bit_length()) if shards > 1 else F.lit(0)
-    parts = counts.select("hash", "c").repartition(shard).sortWithinPartitions(shard).mapInArrow(build, "shard long, part binary")
+    hashed = vocabulary.mapInArrow(_hashed, "hash long, c long").repartition(shard).sortWithinPartitions("hash")
+    parts = counts.mapInArrow(build, "shard long, part binary").unionByName(hashed.mapInArrow(build, "shard long, part binary"))
     shared = None
     if shards == base:
         filter_ = np.zeros(bits // 8, np.uint8)  # ``bits`` in all, whatever the input
-        found = parts.toArrow()
-        for s, part in zip(found.column(0).to_pylist(), found.column(1)):
-            filter_[s * inside : (s + 1) * inside] = np.frombuffer(part.as_buffer(), np.uint8)
-        del found
+        parts = written(parts)
+        for r in parts.toLocalIterator():  # a file at a time
+            filter_[r.shard * inside : (r.shard + 1) * inside] |= np.frombuffer(r.part, np.uint8)
+        dropped(parts)
         shared, parts = spark.sparkContext.broadcast(filter_), None
     else:
-        parts = written(parts)
+        parts = written(parts.repartition("shard").sortWithinPartitions("shard").mapInArrow(_joined_parts, "shard long, part binary"))
     top = most_frequent(vocabulary.where(F.length("token") <= HEAD_CHARS), "c", head).toArrow()
     known = {t.encode(): math.log10((c + 0.5) / (n + 0.5 * (v + 1))) for t, c in zip(top.column(0).to_pylist(), top.column(1).to_pylist())}
     dropped(counts)
     return Model(shared, parts, shards, weight, n, v, vocabulary, spark.sparkContext.broadcast(known))
 
 
+def _histogram(counts: DataFrame) -> pd.DataFrame:
+    """c and many: a row per distinct count."""
+    return counts.groupBy("c").agg(F.count("*").alias("many")).toPandas()
+
+
+def _joined_parts(batches):
+    """One row per shard: its parts, which come together, joined bit by bit."""
+    current, part = None, None
+    for batch in batches:
+        for shard, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+            data = np.frombuffer(data.as_py(), np.uint8)
+            if shard == current:
+                part = part | data
+                continue
+            if part is not None:
+                yield pa.record_batch([pa.array([current], pa.int64()), pa.array([part.tobytes()], pa.binary())], names=["shard", "part"])
+            current, part = shard, data
+    if part is not None:
+        yield pa.record_batch([pa.array([current], pa.int64()), pa.array([part.tobytes()], pa.binary())], names=["shard", "part"])
+
+
 def _by_shards(blocks: DataFrame, parts: DataFrame, shards: int, solve, schema: str) -> DataFrame:
     """``solve(number, block, levels)`` of each of the written ``blocks`` (block, data), with the levels
     of its tokens and pairs.  Each block sends its hashes to the shards; nothing larger than a block or a shard is held."""
 
     def hashes(block: Block):
-        pairs, back, _ = block.pairs()
+        pairs, back = block.pairs()
         h = np.concatenate((block.hashes, pairs))
         return h, back, np.argsort(_shard(h, shards), kind="stable")
 
@@ -366,7 +444,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
                 tail, n = np.unique(text * len(block.words) + block.codes[~in_head], return_counts=True)
                 score = np.full(own, np.nan) if sharded else np.zeros(own)
                 if not sharded and small.n:
-                    pairs, back, _ = block.pairs()
+                    pairs, back = block.pairs()
                     p = log_probabilities(block, levels(block.hashes, filter_, small.shards), levels(pairs, filter_, small.shards)[back], small.weight, small.n, small.v)
                     score = np.add.reduceat(p, block.first)
                 rest, none = batch.column(1).slice(at, own), len(tail)

@@ -133,7 +133,7 @@ def test_the_filter_grows_with_the_input(spark):
     assert len(got) == len(rows)
     for r in got:
         block = lm_scoring.Block([dict(rows)[r.doc_id] or ""])
-        pairs, back, _ = block.pairs()
+        pairs, back = block.pairs()
         p = lm_scoring.log_probabilities(block, lm_scoring.levels(block.hashes, filter_, small.shards), lm_scoring.levels(pairs, filter_, small.shards)[back], small.weight, small.n, small.v)
         assert r.score == pytest.approx(p.sum(), rel=1e-9)
 
