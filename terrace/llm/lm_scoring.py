@@ -6,7 +6,8 @@ filter holds the items (n-gram, 1) ... (n-gram, q); a lookup probes levels upwar
 until one is absent.  Every n-gram is held, from a count of 1, at every size: the
 items are known from the counts of counts of the whole corpus, and the filter
 has BITS, or as many times two as its items need to fill half of it.  A filter
-of BITS is broadcast, in SHARDS parts.  A larger one stays a table of shards of
+of BITS is broadcast, in SHARDS parts (at half full an absent item is found with
+probability 2 ** -PROBES).  A larger one stays a table of shards of
 the same size, and is probed through a shuffle: blocks of texts send the
 distinct hashes they need to the shards and get their levels back.
 
@@ -30,12 +31,12 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections import Counter
 from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -48,14 +49,13 @@ BASE = 1.5
 #: Bits of a filter that is broadcast: 64 MB.
 BITS = 1 << 29
 SHARDS = 4096
-PROBES = 6
+PROBES = 4
 #: Tokens whose base probability is broadcast: at most this many, of this many characters.
 HEAD = 200_000
 HEAD_CHARS = 32
 #: Tokens that are hashed and probed at once; for counting, twice as many.
 BLOCK = 500_000
-#: Distinct tokens that a task holds before it sends what it has; rows of pairs that it sends at once.
-HOLD = 200_000
+#: Rows of pairs that a task sends at once.
 SLICE = 100_000
 #: The end of a text as a token; no word is empty.
 END = b""
@@ -72,15 +72,30 @@ def bigrams(h: np.ndarray) -> np.ndarray:
     return mixed(np.concatenate((h[-1:], h[:-1])) * _ONE + h * _TWO)
 
 
+def split(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The distinct tokens of some texts, the end being the last of them, all
+    tokens as places among these, and their number in each text; as ``tokens``."""
+    found = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    offsets = found.offsets.to_numpy()
+    flat = found.values.slice(offsets[0], offsets[-1] - offsets[0])
+    some = pc.greater(pc.binary_length(flat), 0)
+    before = np.concatenate(([0], np.cumsum(some.to_numpy(zero_copy_only=False))))
+    sizes = np.diff(before[offsets - offsets[0]]) + 1
+    coded = flat.filter(some).dictionary_encode()
+    codes = np.full(int(sizes.sum()), len(coded.dictionary), np.int64)
+    inside = np.ones(len(codes), bool)
+    inside[np.cumsum(sizes) - 1] = False
+    codes[inside] = coded.indices.to_numpy()
+    return pa.concat_arrays([coded.dictionary, pa.array([END.decode()], pa.string())]), codes, sizes
+
+
 class Block:
-    """Some texts: their distinct tokens (words, in the order seen, and hashes),
-    the texts' tokens and histories as places among these, and the distinct pairs."""
+    """Some texts: their distinct tokens (words and hashes), the texts' tokens
+    and histories as places among these, and the distinct pairs."""
 
-    def __init__(self, texts: list[str]) -> None:
-        seen: dict[bytes, int] = {}
-        codes = [np.fromiter((seen.setdefault(t, len(seen)) for t in tokens(text)), np.int64) for text in texts]
-        self.words = list(seen)
-        self._set(byte_hashes(self.words), np.array([len(x) for x in codes], np.int64), np.concatenate(codes))
+    def __init__(self, texts: pa.Array) -> None:
+        self.words, codes, sizes = split(texts)
+        self._set(byte_hashes(self.words.cast(pa.binary()).to_pylist()), sizes, codes)
 
     def _set(self, hashes: np.ndarray, sizes: np.ndarray, codes: np.ndarray) -> None:
         self.hashes, self.sizes, self.codes = hashes, sizes, codes
@@ -115,17 +130,20 @@ class Block:
         return out
 
 
-def _blocks(texts, most: int):
-    """Lists of consecutive texts of about ``most`` tokens, a token being some six characters."""
+def _blocks(columns, most: int):
+    """Arrays of consecutive texts of about ``most`` tokens, a token being some six bytes."""
     held, size = [], 0
-    for text in texts:
-        if held and size + len(text) > 6 * most:
-            yield held
-            held, size = [], 0
-        held.append(text)
-        size += len(text) + 1
-    if held:
-        yield held
+    for column in columns:
+        begin = 0
+        for i, n in enumerate(pc.binary_length(column).to_pylist()):
+            if size and size + n > 6 * most:
+                held.append(column.slice(begin, i - begin))
+                yield pa.concat_arrays(held)
+                held, size, begin = [], 0, i
+            size += n + 1
+        held.append(column.slice(begin))
+    if size:
+        yield pa.concat_arrays(held)
 
 
 def _shard(h: np.ndarray, shards: int) -> np.ndarray:
@@ -176,24 +194,14 @@ class Model:
 
 def _words(batches):
     """Rows (token, n), summed within a block."""
-    held: Counter = Counter()
-
-    def row():
-        return pa.record_batch([pa.array(list(held), pa.binary()).cast(pa.string()), pa.array(list(held.values()), pa.int64())], names=["token", "n"])
-
-    for batch in batches:
-        for text in batch.column(0):
-            held.update(tokens(text.as_py()))
-            if len(held) >= HOLD:
-                yield row()
-                held.clear()
-    if held:
-        yield row()
+    for texts in _blocks((batch.column(0) for batch in batches), 2 * BLOCK):
+        words, codes, _ = split(texts)
+        yield pa.record_batch([words, pa.array(np.bincount(codes, minlength=len(words)))], names=["token", "n"])
 
 
 def _pairs(batches):
     """Rows (hash, n) of the pairs, summed within a block."""
-    for texts in _blocks((text.as_py() for batch in batches for text in batch.column(0)), 2 * BLOCK):
+    for texts in _blocks((batch.column(0) for batch in batches), 2 * BLOCK):
         h, many = Block(texts).counts()
         for a in range(0, len(h), SLICE):
             yield pa.record_batch([pa.array(h[a : a + SLICE].view(np.int64)), pa.array(many[a : a + SLICE], pa.int64())], names=["hash", "n"])
@@ -303,7 +311,7 @@ def trained(docs: DataFrame, bits: int = BITS, head: int = HEAD) -> Model:
     else:
         parts = written(parts.repartition("shard").sortWithinPartitions("shard").mapInArrow(_joined_parts, "shard long, part binary"))
     top = most_frequent(vocabulary.where(F.length("token") <= HEAD_CHARS), "c", head).toArrow()
-    known = {t.encode(): math.log10((c + 0.5) / (n + 0.5 * (v + 1))) for t, c in zip(top.column(0).to_pylist(), top.column(1).to_pylist())}
+    known = {t: math.log10((c + 0.5) / (n + 0.5 * (v + 1))) for t, c in zip(top.column(0).to_pylist(), top.column(1).to_pylist())}
     dropped(counts)
     return Model(shared, parts, shards, weight, n, v, vocabulary, spark.sparkContext.broadcast(known))
 
@@ -432,10 +440,10 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
         task, row = TaskContext.get().partitionId(), 0
         for batch in batches:
             at = 0
-            for texts in _blocks((x.as_py() for x in batch.column(0)), BLOCK):
+            for texts in _blocks([batch.column(0)], BLOCK):
                 block, own = Block(texts), len(texts)
                 place = (task << 33) + row + np.arange(own)
-                log_p = np.fromiter((known.get(w, np.nan) for w in block.words), float, len(block.words))[block.codes]
+                log_p = np.fromiter((known.get(w, np.nan) for w in block.words.to_pylist()), float, len(block.words))[block.codes]
                 in_head = ~np.isnan(log_p)
                 base = np.add.reduceat(np.where(in_head, log_p, 0.0), block.first)
                 n_known = np.add.reduceat(in_head, block.first, dtype=np.int64)
@@ -448,7 +456,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
                     p = log_probabilities(block, levels(block.hashes, filter_, small.shards), levels(pairs, filter_, small.shards)[back], small.weight, small.n, small.v)
                     score = np.add.reduceat(p, block.first)
                 rest, none = batch.column(1).slice(at, own), len(tail)
-                words = pa.array(block.words, pa.binary()).cast(pa.string()).take(pa.array(tail % len(block.words)))
+                words = block.words.take(pa.array(tail % len(block.words)))
                 more = lambda x, kind: pa.concat_arrays([pa.array(x, kind), pa.nulls(none, kind)])
                 yield pa.record_batch(
                     [

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from terrace.llm import lm_scoring
@@ -132,12 +133,24 @@ def test_the_filter_grows_with_the_input(spark):
     got = lm_scoring.scored(docs, small).collect()
     assert len(got) == len(rows)
     for r in got:
-        block = lm_scoring.Block([dict(rows)[r.doc_id] or ""])
+        block = lm_scoring.Block(pa.array([dict(rows)[r.doc_id] or ""]))
         pairs, back = block.pairs()
         p = lm_scoring.log_probabilities(block, lm_scoring.levels(block.hashes, filter_, small.shards), lm_scoring.levels(pairs, filter_, small.shards)[back], small.weight, small.n, small.v)
         assert r.score == pytest.approx(p.sum(), rel=1e-9)
 
 
+def test_split():
+    rng = random.Random(3)
+    alphabet = "aB\x1c\x85\xa0é İ \t\n\x0b\x0c\r"
+    every = ["", " ", "a", " a", "a ", "A  a"] + ["".join(rng.choice(alphabet) for _ in range(rng.randrange(40))) for _ in range(300)]
+    for some in (every, every[:2], every[2:3]):
+        words, codes, sizes = lm_scoring.split(pa.array(["x", *some]).slice(1))
+        got = np.split(words.take(pa.array(codes)).cast(pa.binary()).to_numpy(zero_copy_only=False), np.cumsum(sizes)[:-1])
+        assert [x.tolist() for x in got] == [lm_scoring.tokens(t) for t in some]
+    parts = list(lm_scoring._blocks([pa.array(every[:100]), pa.array(every[100:])], 20))
+    assert len(parts) > 10 and [t for p in parts for t in p.to_pylist()] == every
+
+
 def test_weight():
     """Half of the tokens are left to the unigrams: one history of each count from 1 to 50."""
     c = np.arange(1.0, 51)
