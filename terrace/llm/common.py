@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 import re
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,3 +54,20 @@ def most_frequent(counts: DataFrame, column: str, most: int) -> DataFrame:
             break
         least = value
     return counts.where(F.col(column) >= least) if least is not None else counts.limit(0)
+
+
+def tidy(run):
+    """``run`` (batches to batches) that gives the memory of its task back when it
+    ends, as Spark keeps idle workers and their heaps beside those of the next stage."""
+
+    @functools.wraps(run)
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+                trim(0)
+
+    return wrapped

@@ -51,7 +51,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from terrace.llm.common import most_frequent, text_of
+from terrace.llm.common import most_frequent, text_of, tidy
 from terrace.llm.shingles import shingle_set
 from terrace.operators.components import components
 from terrace.plans.scratch import bounded_join, dropped, small_batches, written
@@ -186,7 +186,7 @@ def _sets(docs: DataFrame) -> DataFrame:
             types = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.binary())
             yield pa.record_batch([pa.array(a, t) for a, t in zip(out, types)], names=["place", "doc_id", "n", "cls", "md5", "low", "bits"])
 
-    return docs.select(docs["doc_id"].cast("long"), text_of(docs)).mapInArrow(run, "place long, doc_id long, n long, cls binary, md5 binary, low array<long>, bits binary")
+    return docs.select(docs["doc_id"].cast("long"), text_of(docs)).mapInArrow(tidy(run), "place long, doc_id long, n long, cls binary, md5 binary, low array<long>, bits binary")
 
 
 def _prefixes(heads: DataFrame, hot: np.ndarray) -> DataFrame:
@@ -210,7 +210,7 @@ def _prefixes(heads: DataFrame, hot: np.ndarray) -> DataFrame:
             if keys:
                 yield pa.record_batch([pa.array(np.concatenate(keys)), pa.array(np.concatenate(places))], names=["key", "place"])
 
-    return heads.select("place", "n", "low").mapInArrow(run, "key long, place long")
+    return heads.select("place", "n", "low").mapInArrow(tidy(run), "key long, place long")
 
 
 def _stars(prefixes: DataFrame) -> DataFrame:
@@ -269,7 +269,7 @@ def _stars(prefixes: DataFrame) -> DataFrame:
     # The random order is made behind the shuffle, which moves two numbers a row.
     order = F.xxhash64("place", F.pmod("key", F.lit(8)))
     ordered = prefixes.repartition("key").sortWithinPartitions("key", F.shiftright("place", BAND_SHIFT), order, "place")
-    return ordered.select("key", "place").mapInArrow(run, "a long, b long, key long")
+    return ordered.select("key", "place").mapInArrow(tidy(run), "a long, b long, key long")
 
 
 def _by_bits(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
@@ -284,7 +284,7 @@ def _by_bits(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
                 ok.append(bound(n, int.from_bytes(p, "little"), 8 * len(p), m, int.from_bytes(q, "little"), 8 * len(q)) > 0)
             yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return full.select("a", "b", "na", "nb", "bitsa", "bitsb").mapInArrow(run, "a long, b long")
+    return full.select("a", "b", "na", "nb", "bitsa", "bitsb").mapInArrow(tidy(run), "a long, b long")
 
 
 def _items(docs: DataFrame, signatures: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -306,7 +306,7 @@ def _items(docs: DataFrame, signatures: DataFrame, wanted: DataFrame) -> DataFra
                     arrays.append(shingle_set(text.as_py()).tobytes())
             yield pa.record_batch([pa.array(places, pa.int64()), pa.array(arrays, pa.binary())], names=["place", "items"])
 
-    out = written(texts.select("place", "text").mapInArrow(run, "place long, items binary"))
+    out = written(texts.select("place", "text").mapInArrow(tidy(run), "place long, items binary"))
     dropped(keys)
     return out
 
@@ -339,7 +339,7 @@ def _exact(docs: DataFrame, pairs: DataFrame, signatures: DataFrame) -> DataFram
                         out[1].append(b)
             yield pa.record_batch([pa.array(x, pa.int64()) for x in out], names=["a", "b"])
 
-    found = written(ordered.mapInArrow(check, "a long, b long"))
+    found = written(ordered.mapInArrow(tidy(check), "a long, b long"))
     dropped(items, dealt, firsts)
     return found
 
@@ -461,7 +461,7 @@ def _candidates(both: DataFrame, forests: int) -> DataFrame:
         if found := solve(held):
             yield pa.record_batch([pa.array(x, pa.int64()) for x in zip(*found)], names=names)
 
-    return both.mapInArrow(run, ", ".join(f"{x} long" for x in names))
+    return both.mapInArrow(tidy(run), ", ".join(f"{x} long" for x in names))
 
 
 def _exact_tiles(rows: DataFrame) -> DataFrame:
@@ -502,7 +502,7 @@ def _exact_tiles(rows: DataFrame) -> DataFrame:
             links[1].clear()
 
     ordered = rows.select("key", "t", "t2", "side", "a", "comp", "items", "lesser").repartition("key", "t", "t2").sortWithinPartitions("key", "t", "t2", "side", "a")
-    return ordered.mapInArrow(run, "a long, b long")
+    return ordered.mapInArrow(tidy(run), "a long, b long")
 
 
 def joined(docs: DataFrame, tile: int = TILE, hot_count: int = HOT_COUNT, hot_rows: int = HOT_ROWS, forests: int = FORESTS) -> DataFrame:

@@ -34,14 +34,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrace.llm.common import text_of, words
-from terrace.plans.scratch import bounded_join, written
+from terrace.llm.common import text_of, tidy, words
+from terrace.plans.scratch import bounded_join, small_batches, written
 
 #: Labelled texts that are fitted on, at most.
 TRAIN_DOCS = 60_000
 #: Lengths of the word beginnings that can become entries.
 STEMS = range(3, 9)
 MIN_TOXIC = 4
+#: Features that a task holds before it sends what it has.
+HOLD = 100_000
 #: An entry's texts are this much likelier toxic than all texts (log odds ratio, smoothed).
 MIN_WEIGHT = 2.5
 MOST_ENTRIES = 2000
@@ -145,6 +147,7 @@ def _features(words: list[str]) -> set[str]:
 
 def trained(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> Lexicon:
     """A lexicon from the texts whose id has a label in ``labels`` (doc_id, toxic)."""
+    small_batches(docs.sparkSession)
     prior = tuple((f" {w} ", PRIOR_WEIGHT) for w in PRIOR.split())
     phrases = [(line(p.split()), -1.0) for p in EXCEPTION_PHRASES]
     labels = written(labels.select("doc_id", F.col("toxic").cast("int").alias("__toxic")).where("doc_id IS NOT NULL AND __toxic IN (0, 1)").dropDuplicates(["doc_id"]))
@@ -169,14 +172,14 @@ def trained(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> Lexic
         for batch in batches:
             for text, label in zip(batch.column(0), batch.column(1).to_pylist()):
                 held[label].update(_features(folded_words(text.as_py())))
-                if len(held[0]) + len(held[1]) > 300_000:
+                if len(held[0]) + len(held[1]) > HOLD:
                     yield send()
                     held[0].clear()
                     held[1].clear()
         yield send()
 
     weight = F.log((F.col("t") + 0.1) / (toxic + 0.2)) - F.log((F.col("c") + 0.1) / (clean + 0.2))
-    sums = sample.mapInArrow(count, "f string, c long, t long").groupBy("f").agg(F.sum("c").alias("c"), F.sum("t").alias("t"))
+    sums = sample.mapInArrow(tidy(count), "f string, c long, t long").groupBy("f").agg(F.sum("c").alias("c"), F.sum("t").alias("t"))
     sums = written(sums.where((F.col("t") >= MIN_TOXIC) | (F.col("c") >= 20)).withColumn("w", weight))
     # Stems of real words explain many texts each: by toxic texts beyond what chance gives.
     gain = F.col("t") * F.col("w")
@@ -220,7 +223,7 @@ def _calibrated(sample: DataFrame, lexicon: Lexicon) -> Lexicon:
             x = [round(min(normalised(hits(w, a), len(w)), 40.0), 1) for w in (folded_words(t.as_py()) for t in batch.column(0))]
             yield pa.record_batch([pa.array(x, pa.float64()), batch.column(1)], names=["x", "toxic"])
 
-    rows = sample.mapInArrow(run, "x double, toxic int").groupBy("x", "toxic").count().toPandas()  # 401 values at most
+    rows = sample.mapInArrow(tidy(run), "x double, toxic int").groupBy("x", "toxic").count().toPandas()  # 401 values at most
     x, y, n = np.log1p(rows.x.to_numpy(float)), rows.toxic.to_numpy(float), rows["count"].to_numpy(float)
     design = np.stack([np.ones_like(x), x], 1)
     beta = np.array([-3.0, 2.0])
@@ -249,7 +252,7 @@ def scored(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
         for batch in batches:
             yield pa.record_batch([batch.column(0), pa.array([score_of(t.as_py(), lexicon, a) for t in batch.column(1)], pa.float64())], names=["doc_id", "score"])
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs)).mapInArrow(run, "doc_id long, score double")
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs)).mapInArrow(tidy(run), "doc_id long, score double")
 
 
 def accepted(docs: DataFrame, lexicon: Lexicon, threshold: float = THRESHOLD) -> DataFrame:
@@ -261,7 +264,7 @@ def accepted(docs: DataFrame, lexicon: Lexicon, threshold: float = THRESHOLD) ->
         for batch in batches:
             yield batch.filter(pa.array([score_of(t.as_py(), lexicon, a) < threshold for t in batch.column(at)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def held_out(doc_id: Column) -> Column:
