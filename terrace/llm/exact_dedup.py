@@ -39,7 +39,7 @@ def decisions(docs: DataFrame, hash_of=content_hash) -> DataFrame:
         keyed = slim.withColumn("split", F.lit(None).cast("string"))
     else:
         keyed = bounded_join(full.withColumn("text_sha256", F.sha2("norm", 256)), collided.withColumn("split", F.lit(True)), "h", "left", 64)
-        keyed = keyed.select("doc_id", "h", "points", "text_sha256", F.when("split", F.col("norm")).alias("split"))
+        keyed = keyed.select("doc_id", "h", "points", "text_sha256", F.when(F.col("split"), F.col("norm")).alias("split"))
     rank = F.struct((-F.col("points")).alias("points"), F.col("doc_id").isNull().alias("none"), "doc_id")
     groups = (
         bounded_join(keyed, shared, "h", "left_semi", 64)
