@@ -10,7 +10,8 @@ gives a document its training position.  ``schedule`` range-sorts by it.
 
 Defined cases: a null text has size 0; a null source is a source of its own
 and comes last; documents of size 0 take 0 and have no position; equal hashes fall back to
-id and size; rows repeated in full share one place in the order and take alike; an empty table
+id and size, and rows that repeat id, source and size stand side by side, each
+with a place of its own; an empty table
 gives an empty result; other columns are neither read nor changed.
 """
 
@@ -95,14 +96,19 @@ def mixed(docs: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST, slopes=SLOPE
 def schedule(docs: DataFrame, **how) -> DataFrame:
     """The rows of ``docs`` in training order, each as often as it is taken: a
     part pass counts from half the document on.  Rows that share an id, or lack
-    one, are told apart by source and size."""
+    one, are told apart by source, size and number."""
     plan = mixed(docs, **how)
     times = F.round(F.col("taken") / F.greatest(F.col("size"), F.lit(1))).cast("int")
     plan = plan.where(times > 0).select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), F.slice("passes", F.lit(1), times).alias("__passes"))
-    plan = plan.groupBy("__id", "__source", "__size").agg(F.first("__passes").alias("__passes"))
-    on = docs["doc_id"].eqNullSafe(plan["__id"]) & docs["source"].cast("string").eqNullSafe(plan["__source"]) & (word_count(text_of(docs)) == plan["__size"])
-    rows = docs.join(plan, on).withColumn("__at", F.explode("__passes"))
-    return rows.sort("__at", "__id").select([rows[f"`{c}`"] for c in docs.columns])
+    # Rows that repeat id, source and size are numbered on both sides: the k-th takes the k-th plan.
+    same = Window.partitionBy("__id", "__source", "__size")
+    plan = plan.withColumn("__nth", F.row_number().over(same.orderBy("__passes")))
+    own = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("__row"), docs["doc_id"].alias("__id"), docs["source"].cast("string").alias("__source"), word_count(text_of(docs)).alias("__size"), F.xxhash64(text_of(docs)).alias("__text"))
+    own = own.withColumn("__nth", F.row_number().over(same.orderBy("__text")))
+    to = plan.withColumnsRenamed({"__id": "i", "__source": "s", "__size": "n", "__nth": "k"})
+    on = own["__id"].eqNullSafe(to["i"]) & own["__source"].eqNullSafe(to["s"]) & (own["__size"] == to["n"]) & (own["__nth"] == to["k"])
+    rows = own.join(to, on).select("__row", "__id", "__text", F.explode("__passes").alias("__at"))
+    return rows.sort("__at", "__id", "__text").select([F.col(f"__row.`{c}`").alias(c) for c in docs.columns])
 
 
 def op8_mixing(spark, sf_dir: str) -> DataFrame:
