@@ -27,8 +27,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrace.llm.common import text_of
-from terrace.plans.scratch import written
+from terrace.llm.common import most_frequent, text_of
+from terrace.plans.scratch import small_batches, written
 
 #: Pre-tokens whose counts are broadcast: at most this many rows, whatever the input.
 HEAD = 200_000
@@ -95,6 +95,7 @@ def _frequencies(batches):
 def counted(docs: DataFrame, path: str, limit: int = LIMIT, head: int = HEAD) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit, one row per input row."""
     spark = docs.sparkSession
+    small_batches(spark)
     text = text_of(docs)
     vocabulary = docs.select(text.alias("text")).mapInArrow(_frequencies, "token string, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
@@ -104,7 +105,7 @@ def counted(docs: DataFrame, path: str, limit: int = LIMIT, head: int = HEAD) ->
             yield pa.record_batch([b.column(0), b.column(1), pa.array(own.counts(b.column(0).to_pylist()), pa.int64())], names=["token", "n", "k"])
 
     vocabulary = written(vocabulary.mapInArrow(encode, "token string, n long, k long"))
-    top = vocabulary.where(F.length("token") <= HEAD_CHARS).orderBy(F.desc("n"), "token").limit(head).select("token", "k")
+    top = most_frequent(vocabulary.where(F.length("token") <= HEAD_CHARS), "n", head).select("token", "k")
     top = top.toArrow()  # at most HEAD rows of HEAD_CHARS characters
     shared = spark.sparkContext.broadcast(dict(zip(top.column(0).to_pylist(), top.column(1).to_pylist())))
 
