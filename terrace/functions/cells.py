@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from datetime import datetime
 
@@ -15,6 +16,8 @@ from terrace.functions.text import strip
 _INT = r"^[+-]?\d+(_\d+)*$"
 _FLOAT = r"(?i)^[+-]?(\d+(_\d+)*\.?(\d+(_\d+)*)?|\.\d+(_\d+)*)(e[+-]?\d+(_\d+)*)?$"
 _WORDS = r"(?i)^[+-]?(inf|infinity|nan)$"
+#: Digits that an integer has at most; a number of more is a float.
+MOST_DIGITS = 4300
 _STAMP = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}(:\d{2}(:\d{2}([.,]\d{1,6})?)?)?)?$"
 
 
@@ -72,7 +75,7 @@ def parse_cell(raw: Column) -> Column:
     return (
         F.when(v.isNull(), F.lit(None))
         .when(low.isin("true", "false"), _cell("boolean", F.initcap(low)))
-        .when(v.rlike(_INT), _cell("integer", integer, bare.try_cast("double")))
+        .when(v.rlike(_INT) & (F.length(F.regexp_replace(bare, "^[+-]", "")) <= MOST_DIGITS), _cell("integer", integer, bare.try_cast("double")))
         .when(is_float, number_cell(x))
         .when(v.rlike(_WORDS), _cell("float", F.regexp_replace(word, "infinity", "inf"), F.when(word.endswith("nan"), float("nan")).when(word.startswith("-"), float("-inf")).otherwise(float("inf"))))
         .when(F.length(v).between(8, 32) & iso.rlike(_STAMP) & t.isNotNull(), _cell("datetime", _stamp(t)))
@@ -84,7 +87,12 @@ def _parsed(v: str) -> tuple:
     if v.lower() in ("true", "false"):
         return "boolean", v.capitalize(), None
     if re.match(_INT, v):
-        return "integer", str(int(v)), float(int(v)) if len(v) < 300 else float("inf")
+        try:
+            n = int(v)
+        except ValueError:  # more digits than an int is read from: a float, beyond its range
+            x = float(v)
+            return "float", "%.6g" % x, x
+        return "integer", str(n), float(n) if len(v) < 300 else math.inf if n > 0 else -math.inf
     loose = v.replace(",", "") if "," in v and "." in v else v
     if re.match(_FLOAT, loose) or re.match(_WORDS, v):
         x = float(loose)

@@ -57,9 +57,16 @@ def described(columns: DataFrame, given: DataFrame) -> DataFrame:
 
 
 def dataset_text(name, description, columns):
-    """What is embedded for a dataset."""
+    """What is embedded for a dataset; ``columns`` are lines of ``column_line``."""
     return F.substring(F.concat_ws("\n", name, description, F.array_join(columns, "\n")), 1, 6000)
 
 
-def column_text(dataset, name, dtype, description, examples):
-    return F.substring(F.concat(dataset, F.lit(" / "), name, F.lit(" ("), dtype, F.lit("): "), F.coalesce(description, F.lit("")), F.lit(" e.g. "), F.array_join(examples, ", ")), 1, 2000)
+def column_line(name, description):
+    """A column with its note, if it has one."""
+    return F.concat_ws(" - ", name, F.nullif(description, F.lit("")))
+
+
+def column_text(dataset, name, dtype, description, categories, examples):
+    """What is embedded for a column: its note and up to 30 categories, or else 5 examples."""
+    some = F.when(F.size(categories) > 0, F.slice(categories, 1, 30)).otherwise(F.slice(examples, 1, 5))
+    return F.substring(F.concat(dataset, F.lit(" / "), name, F.lit(" ("), dtype, F.lit("): "), F.coalesce(description, F.lit("")), F.lit(" e.g. "), F.array_join(some, ", ")), 1, 2000)

@@ -137,6 +137,9 @@ def apply_merges(moves: DataFrame, entities: DataFrame, edges: DataFrame, mentio
     )
     kept = own.where("survivor IS NULL").drop("survivor").join(texts.withColumnRenamed("survivor", "id"), "id", "left")
     kept = kept.withColumn("descriptions", append_distinct(F.col("descriptions"), F.col("more"), cap)).withColumn("mention_count", F.col("mention_count") + F.coalesce("again", F.lit(0))).drop("more", "again")
-    moved = _moved(_moved(edges, "src", moves), "dst", moves)
+    # Texts of edges that stay come first, then those of moved ones in the order of their old ends.
+    was = edges.withColumn("seq", F.struct("src", "dst", "type"))
+    moved = _moved(_moved(was, "src", moves), "dst", moves)
+    moved = moved.withColumn("seq", F.struct(((F.col("src") != F.col("seq.src")) | (F.col("dst") != F.col("seq.dst"))).alias("moved"), F.col("seq").alias("was")))
     new_aliases = own.where("survivor IS NOT NULL").select("key", F.col("survivor").alias("entity_id"))
-    return kept, merge_edges(moved.withColumn("seq", F.lit(0)), cap), _moved(mentions, "entity_id", moves).distinct(), _moved(aliases, "entity_id", moves).unionByName(new_aliases)
+    return kept, merge_edges(moved, cap), _moved(mentions, "entity_id", moves).distinct(), _moved(aliases, "entity_id", moves).unionByName(new_aliases)

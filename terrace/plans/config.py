@@ -7,6 +7,7 @@ from dataclasses import dataclass, replace
 
 @dataclass(frozen=True)
 class Config:
+    extract_block: int = 2000
     chunk_chars: int = 4000
     chunk_overlap: int = 400
     min_document_chars: int = 20

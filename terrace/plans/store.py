@@ -52,6 +52,15 @@ class Store:
         at = self.current().get(name)
         return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.root}/{at}") if at else self.spark.createDataFrame([], SCHEMAS[name])
 
+    def answers(self) -> DataFrame:
+        """(text, extraction): what a model has said about chunks, kept from the moment it was said."""
+        at = f"{self.root}/answers"
+        kind = "text string, extraction string"
+        return self.spark.read.schema(kind).parquet(at) if self._fs.exists(self._path(at)) else self.spark.createDataFrame([], kind)
+
+    def add_answers(self, rows: DataFrame) -> None:
+        rows.write.mode("append").parquet(f"{self.root}/answers")
+
     def commit(self, **tables: DataFrame) -> None:
         """New versions of ``tables``, visible together."""
         now = self.current()

@@ -372,14 +372,14 @@ def unit_vectors(spark, d):
 
 def _paths(spark, d):
     nations = _t(spark, d, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_regionkey")
-    c = _t(spark, d, "customer").where("c_custkey % 4 = 0 OR c_nationkey % 3 = 0").join(F.broadcast(nations), "c_nationkey")
+    c = _t(spark, d, "customer").join(nations, "c_nationkey")
     nation = F.when(F.col("n_regionkey") == 2, F.lit("all")).otherwise(F.col("c_nationkey").cast("string"))
     # Nations of region 2 form one community, so that its level collapses.
     return c.select(F.col("c_custkey").alias("entity_id"), F.array(F.concat(F.lit("n"), nation, F.lit("r"), "n_regionkey"), F.concat(F.lit("r"), "n_regionkey")).alias("path"))
 
 
 _PATHS = """p AS (SELECT c_custkey AS e, 'n' || CASE WHEN n_regionkey = 2 THEN 'all' ELSE CAST(c_nationkey AS VARCHAR) END || 'r' || n_regionkey AS n, 'r' || n_regionkey AS r
-  FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE c_custkey % 4 = 0 OR c_nationkey % 3 = 0),
+  FROM customer JOIN nation ON n_nationkey = c_nationkey),
 s AS (SELECT n, r, count(*) AS size FROM p GROUP BY ALL), t AS (SELECT r, count(*) AS size FROM p GROUP BY r),
 ids AS (SELECT r AS name, 'comm-' || substr(sha1(string_agg(CAST(e AS VARCHAR), chr(31) ORDER BY CAST(e AS VARCHAR))), 1, 16) AS id FROM p GROUP BY r
         UNION ALL SELECT n, 'comm-' || substr(sha1(string_agg(CAST(e AS VARCHAR), chr(31) ORDER BY CAST(e AS VARCHAR))), 1, 16) FROM p GROUP BY n),
@@ -403,14 +403,14 @@ def community_stats(spark, d):
     return communities.hierarchy(_paths(spark, d))[0].agg(F.count("*").alias("communities"), F.count_if("is_top").alias("top_level"), (F.max("level") + 1).alias("levels"))
 
 
-@query(f"""WITH {_REL}, {_EDGES}, g AS (SELECT * FROM e WHERE src % 10 = dst % 10 AND src < 100 AND dst < 100),
+@query(f"""WITH {_REL}, {_EDGES}, g AS (SELECT * FROM e WHERE src % 10 = dst % 10),
 deg AS (SELECT id, count(*) AS k FROM (SELECT unnest([src, dst]) AS id FROM e) GROUP BY id),
-x AS (SELECT i AS id, '- n' || i || ' (T): d' || i AS line FROM range(100) t(i)),
+x AS (SELECT i AS id, '- n' || i || ' (T): d' || i AS line FROM range(200) t(i)),
 y AS (SELECT src % 10 AS c, string_agg('- n' || src || ' -[' || type || ']-> n' || dst || ': ', chr(31) ORDER BY '- n' || src || ' -[' || type || ']-> n' || dst || ': ') AS rels FROM g GROUP BY 1),
 z AS (SELECT x.id % 10 AS c, string_agg(line, chr(31) ORDER BY line) AS ents, string_agg(line, chr(10) ORDER BY coalesce(k, 0) DESC, x.id) AS entity_text FROM x LEFT JOIN deg USING (id) GROUP BY 1)
 SELECT CAST(c AS VARCHAR) AS community_id, sha1('leaf' || chr(31) || ents || coalesce(chr(31) || rels, '')) AS content_hash, entity_text FROM z LEFT JOIN y USING (c)""")
 def leaf_context(spark, d):
-    ids = spark.range(100)
+    ids = spark.range(200)  # all ends of the edges
     entities = ids.select("id", F.concat(F.lit("n"), "id").alias("name"), F.lit("T").alias("type"), F.concat(F.lit("d"), "id").alias("description"))
     leaves = ids.select(F.col("id").alias("entity_id"), (F.col("id") % 10).cast("string").alias("community_id"))
     edges = written(_edges(spark, d).withColumn("descriptions", F.array().cast("array<string>")))
@@ -533,10 +533,60 @@ def dedupe_documents(spark, d):
     return _t(spark, d, "documents").groupBy(F.sha2("text", 256).alias("hash")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
 
 
-@query("SELECT p_partkey FROM part WHERE p_name NOT IN (SELECT p_name FROM part WHERE p_partkey % 5 = 0) AND p_partkey % 5 <> 0")
+_FILES = "f AS (SELECT p_partkey, sha256(p_brand || p_type || p_size || p_name) AS h, p_brand || p_type || p_size || p_name AS n FROM part)"
+
+
+def _files(spark, d):
+    name = F.concat("p_brand", "p_type", "p_size", "p_name")
+    return _t(spark, d, "part").select("p_partkey", F.concat(name, F.lit(".csv")).alias("file_name"), F.sha2(name, 256).alias("file_hash"), F.lit("/in").alias("path"))
+
+
+@query(f"WITH {_FILES} SELECT DISTINCT 'ds_' || substr(h, 1, 12) AS id, n AS name, 'queued' AS status FROM f WHERE h NOT IN (SELECT h FROM f WHERE p_partkey % 5 = 0)")
 def register_new(spark, d):
+    """All parts as files, every fifth of which the catalog knows."""
+    files = _files(spark, d)
+    return catalog.register(files.where("p_partkey % 5 = 0"), files, 0.0).select("id", "name", "status")
+
+
+_COLS = "c AS (SELECT CAST(l_orderkey AS VARCHAR) AS dataset_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS INT) AS position, l_returnflag AS name, CAST(l_quantity AS BIGINT) AS q FROM lineitem)"
+
+
+def _columns(spark, d):
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+    return _t(spark, d, "lineitem").select(F.col("l_orderkey").cast("string").alias("dataset_id"), F.row_number().over(order).alias("position"), F.col("l_returnflag").alias("name"), F.col("l_quantity").cast("bigint").alias("q"))
+
+
+@query(f"WITH {_COLS} SELECT dataset_id, position, name FROM c WHERE CAST(dataset_id AS BIGINT) IN (SELECT o_orderkey FROM orders WHERE o_orderpriority NOT LIKE '1%')")
+def dataset_delete(spark, d):
+    """Orders as datasets, lines as their columns; those of the first priority go with all columns."""
+    sets = _t(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("id"), "o_orderpriority")
+    kept, columns = catalog.without(sets, _columns(spark, d), sets.where("o_orderpriority LIKE '1%'").select("id"))
+    return columns.join(kept.select(F.col("id").alias("dataset_id")), "dataset_id", "left_semi").select("dataset_id", "position", "name")
+
+
+@query(f"WITH {_COLS} SELECT dataset_id, count(*) AS n, sum(q) AS q FROM (SELECT dataset_id, q FROM c WHERE dataset_id <> '1' UNION ALL SELECT '1', p_size FROM part) GROUP BY 1")
+def columns_replaced(spark, d):
+    new = _t(spark, d, "part").select(F.col("p_partkey").cast("int").alias("position"), F.col("p_name").alias("name"), F.col("p_size").cast("bigint").alias("q"))
+    return catalog.replaced(_columns(spark, d), "1", new).groupBy("dataset_id").agg(F.count("*").alias("n"), F.sum("q").alias("q"))
+
+
+@query("""SELECT p_partkey AS position, CASE WHEN p_partkey % 3 = 0 THEN 'given ' || p_size WHEN p_partkey % 3 = 1 THEN p_name ELSE NULL END AS description FROM part""")
+def columns_described(spark, d):
+    """A third of the parts gets a note, a third a blank one that leaves what is there, a third has none."""
     p = _t(spark, d, "part")
-    return p.where("p_partkey % 5 <> 0").join(p.where("p_partkey % 5 = 0").select("p_name"), "p_name", "left_anti").select("p_partkey")
+    own = p.select(F.col("p_partkey").alias("position"), F.when(F.col("p_partkey") % 3 != 2, F.col("p_name")).alias("description"))
+    given = p.select(F.col("p_partkey").alias("position"), F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit(" given "), "p_size")).otherwise(F.lit("  ")).alias("description"))
+    return catalog.described(own, given).select("position", "description")
+
+
+@query("""SELECT doc_id, substr(doc_id || chr(10) || coalesce(nullif(lang, ''), '') || chr(10) || 'a - ' || lang || chr(10) || 'b', 1, 6000) AS dataset,
+  substr('ds / ' || doc_id || ' (text): ' || lang || ' e.g. ' || CASE WHEN doc_id % 2 = 0 THEN 'x, y' ELSE '1, 2, 3, 4, 5' END, 1, 2000) AS col FROM documents""")
+def embedded_texts(spark, d):
+    docs = _t(spark, d, "documents").withColumn("key", F.col("doc_id").cast("string"))
+    lines = F.array(catalog.column_line(F.lit("a"), F.col("lang")), catalog.column_line(F.lit("b"), F.lit("")))
+    some = F.when(F.col("doc_id") % 2 == 0, F.array(F.lit("x"), F.lit("y"))).otherwise(F.array().cast("array<string>"))
+    col = catalog.column_text(F.lit("ds"), F.col("key"), F.lit("text"), F.col("lang"), some, F.array(*[F.lit(str(i)) for i in range(1, 8)]))
+    return docs.select("doc_id", catalog.dataset_text(F.col("key"), F.col("lang"), lines).alias("dataset"), col.alias("col"))
 
 
 @query()
@@ -558,10 +608,10 @@ def html_text(spark, d):
     return _t(spark, d, "pages").select("page_id", F.md5(F.regexp_replace(F.regexp_replace("html", "<[^>]*>", " "), r"\s+", " ").cast("binary")).alias("h"))
 
 
-@query("SELECT sha256(text) AS hash, min(doc_id || '.txt') AS name FROM documents WHERE doc_id % 7 = 0 GROUP BY text")
+@query("SELECT sha256(text) AS hash, min(doc_id || '.txt') AS name FROM documents GROUP BY text")
 def document_files(spark, d):
     """Texts as files with bytes of UTF-8, read by the document reader."""
-    docs = _t(spark, d, "documents").where("doc_id % 7 = 0")
+    docs = _t(spark, d, "documents")
     files = docs.select(F.concat(F.lit("/in/"), "doc_id", F.lit(".txt")).alias("path"), F.length("text").cast("long").alias("length"), F.col("text").cast("binary").alias("content"))
     return extracted(files, min_chars=0).select("hash", "name")
 
@@ -577,8 +627,9 @@ def stream_ingest_counts(spark, d):
     root = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     stream = spark.readStream.schema(source.schema).option("pathGlobFilter", "events.parquet").parquet(d)
 
-    def batch(df: DataFrame, _: int) -> None:
-        df.groupBy("event_type").agg(F.count("*").alias("n"), F.sum("value").alias("v")).write.mode("append").parquet(f"{root}/out")
+    def batch(df: DataFrame, number: int) -> None:
+        # A batch that is repeated after a failure writes its own folder again.
+        df.groupBy("event_type").agg(F.count("*").alias("n"), F.sum("value").alias("v")).write.mode("overwrite").parquet(f"{root}/out/batch={number}")
 
     run = stream.writeStream.foreachBatch(batch).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
     run.awaitTermination()

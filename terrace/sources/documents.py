@@ -43,21 +43,24 @@ def raw_text(suffix: str, content: bytes) -> str:
 
 
 def extracted(files: DataFrame, min_chars: int = 20, max_bytes: int = 50 * 2**20) -> DataFrame:
-    """(hash, name, path, text, error) of binary files (path, length, content); one row per distinct content."""
+    """(hash, name, path, text, error) of binary files (path, length, content); one
+    row per distinct content.  Files over ``max_bytes`` are not read and have an error."""
 
     def run(frames):
         for f in frames:
             out = []
             for path, content in zip(f.path, f.content):
+                if content is None:
+                    out.append((path, None, f"more than {max_bytes} bytes"))
+                    continue
                 try:
                     out.append((path, raw_text(path.rsplit(".", 1)[-1].lower(), bytes(content)), None))
                 except Exception as e:  # a bad file is a failed document, not a failed job
                     out.append((path, None, str(e)[:500]))
             yield pd.DataFrame(out, columns=["path", "text", "error"])
 
-    small = files.where(F.col("length") <= max_bytes)
-    hashes = small.select("path", F.sha2("content", 256).alias("hash")).groupBy("hash").agg(F.min("path").alias("path"))
-    texts = small.select("path", "content").mapInPandas(run, "path string, text string, error string")
+    hashes = files.select("path", F.sha2("content", 256).alias("hash")).groupBy("hash").agg(F.min("path").alias("path"))
+    texts = files.select("path", F.when(F.col("length") <= max_bytes, F.col("content")).alias("content")).mapInPandas(run, "path string, text string, error string")
     out = hashes.join(texts, "path").withColumn("text", clean_text(F.col("text")))
     short = F.col("error").isNull() & (F.length("text") < min_chars)
     return out.select("hash", F.element_at(F.split("path", "/"), -1).alias("name"), "path", F.when(~short, F.col("text")).alias("text"), F.when(short, "No extractable text found").otherwise(F.col("error")).alias("error"))

@@ -66,3 +66,82 @@ def test_components(spark):
     got = {r.node: r.component for r in components(edges).collect()}
     assert got == {i: i // 10 * 10 for i in range(30)} | {40: 40, 41: 40}
     assert components(edges.limit(0)).count() == 0
+
+
+class Scripted(OfflineProvider):
+    """Extractions by text, one merge of what it is shown."""
+
+    def __init__(self, answers, fail=()):
+        super().__init__()
+        self.answers, self.fail = answers, fail
+
+    def generate(self, text, task, *more):
+        if task == "extraction":
+            if any(x in text for x in self.fail):
+                raise RuntimeError("down")
+            return next((v for k, v in self.answers.items() if k in text), {"entities": [], "relationships": []})
+        return super().generate(text, task, *more)
+
+
+def _said(names, rels=()):
+    return {"entities": [{"name": n, "type": "T", "description": n} for n in names], "relationships": [{"source": a, "target": b, "type": "R", "description": "", "strength": 5} for a, b in rels]}
+
+
+def test_relationships_hold_within_a_document(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.txt").write_text("first document, long enough to be read")
+    (tmp_path / "in/b.txt").write_text("second document, long enough to be read")
+    files = spark.read.format("binaryFile").load(f"file://{tmp_path}/in").select("path", "length", "content")
+    answers = {"first": _said(["Ann", "Bob"], [("Ann", "Bob"), ("Ann", "Cid")]), "second": _said(["Cid"], [("Ann", "Cid")])}
+    e = Engine(spark, f"file://{tmp_path}/store", Scripted(answers))
+    out = e.ingest(files)
+    assert out["dropped_relationships"] == 2
+    names = {r.id: r.name for r in e.store.read("entities").collect()}
+    assert [(names[r.src], names[r.dst]) for r in e.store.read("related").collect()] == [("Ann", "Bob")]
+
+
+def test_answers_survive_a_failure(spark, tmp_path):
+    import dataclasses
+
+    from terrace.plans.config import LOCAL
+
+    (tmp_path / "in").mkdir()
+    for i in range(6):
+        (tmp_path / f"in/{i}.txt").write_text(f"document number {i}, long enough to be read")
+    files = spark.read.format("binaryFile").load(f"file://{tmp_path}/in").select("path", "length", "content")
+    e = Engine(spark, f"file://{tmp_path}/store", Scripted({}, fail=("number 3",)), dataclasses.replace(LOCAL, extract_block=1))
+    with pytest.raises(Exception):
+        e.ingest(files)
+    assert 0 <= e.store.answers().count() < 6
+    e.provider = Scripted({})
+    e.extract()
+    assert e.store.answers().count() == 6 and e.store.read("chunks").where("extraction IS NULL").isEmpty()
+
+
+def test_files_over_the_limit_fail(spark):
+    from terrace.sources.documents import extracted
+
+    files = spark.createDataFrame([("/a.txt", 5, bytearray(b"small")), ("/b.txt", 900, bytearray(b"x" * 900))], "path string, length long, content binary")
+    got = {r.name: (r.text, r.error) for r in extracted(files, 1, 100).collect()}
+    assert got == {"a.txt": ("small", None), "b.txt": (None, "more than 100 bytes")}
+
+
+def test_integers_of_any_length(spark):
+    from pyspark.sql import functions as F
+
+    from terrace.functions.cells import parse_cell, parse_values
+
+    df = spark.createDataFrame([("9" * n,) for n in (5, 4300, 4301, 9000)] + [("-" + "9" * 5000,)], "v string")
+    kinds = [(r.a, r.b) for r in df.select(parse_values("v")["kind"].alias("a"), parse_cell(F.col("v"))["kind"].alias("b")).collect()]
+    assert kinds == [("integer", "integer")] * 2 + [("float", "float")] * 3
+
+
+def test_texts_of_moved_edges_come_last(spark):
+    from terrace.operators import resolution
+
+    entities = spark.createDataFrame([("a", "ka", "A", "T", ["x"], 3), ("b", "kb", "B", "T", ["y"], 1), ("c", "kc", "C", "T", ["z"], 1)], "id string, key string, name string, type string, descriptions array<string>, mention_count bigint")
+    edges = spark.createDataFrame([("a", "c", "R", 1.0, ["z first"], ["1"]), ("b", "c", "R", 1.0, ["a second"], ["2"])], "src string, dst string, type string, weight double, descriptions array<string>, chunk_ids array<string>")
+    moves = spark.createDataFrame([("b", "a")], "id string, survivor string")
+    none = spark.createDataFrame([], "chunk_id string, entity_id string")
+    out = resolution.apply_merges(moves, entities, edges, none, spark.createDataFrame([], "key string, entity_id string"))
+    assert [tuple(r) for r in out[1].select("src", "dst", "weight", "descriptions").collect()] == [("a", "c", 2.0, ["z first", "a second"])]
