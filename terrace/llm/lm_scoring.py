@@ -151,29 +151,37 @@ def _shard(h: np.ndarray, shards: int) -> np.ndarray:
     return h >> np.uint64(65 - shards.bit_length()) if shards > 1 else np.zeros(len(h), np.uint64)
 
 
-def _positions(h: np.ndarray, level: int, probe: int, bits: int, shards: int) -> np.ndarray:
-    """Bit of an item for one probe: the shard, then double hashing inside it."""
-    inside = np.uint64(bits // shards)
+def _spread(h: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """First place and step of the double hashing of the items of one level."""
     step = np.uint64((level * 0x9E3779B97F4A7C15) % 2**64)
-    a, b = mixed(h ^ step), mixed(h + step) | np.uint64(1)
-    return _shard(h, shards) * inside + (a + np.uint64(probe) * b) % inside
-
-
-def levels(h: np.ndarray, filter_: np.ndarray, shards: int) -> np.ndarray:
-    """Quantised level of each n-gram: probes go up until a level is absent."""
-    bits = len(filter_) * 8
+    return mixed(h ^ step), mixed(h + step) | np.uint64(1)
+
+
+def levels(h: np.ndarray, filter_, shards: int) -> np.ndarray:
+    """Quantised level of each n-gram: probes go up until a level is absent.
+    ``filter_`` are the bytes of ``shards`` parts of a power of two of bits; hashes are
+    probed in order, so that those of one part follow each other."""
+    filter_ = np.frombuffer(filter_, np.uint8)
+    inside = len(filter_) * 8 // shards
+    order = np.argsort(h)
+    h = h[order]
+    begin, mask = _shard(h, shards) * np.uint64(inside), np.uint64(inside - 1)
     out = np.zeros(len(h), np.int64)
     alive = np.arange(len(h))
     level = 0
     while len(alive):
         level += 1
+        a, b = _spread(h[alive], level)
         for probe in range(PROBES):
-            at = _positions(h[alive], level, probe, bits, shards)
-            alive = alive[filter_[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1 == 1]
+            at = begin[alive] + (a + np.uint64(probe) * b & mask)
+            there = filter_[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1 == 1
+            alive, a, b = alive[there], a[there], b[there]
             if not len(alive):
                 break
         out[alive] = level
-    return out
+    back = np.empty_like(out)
+    back[order] = out
+    return back
 
 
 def level_of(c: np.ndarray) -> np.ndarray:
@@ -182,7 +190,7 @@ def level_of(c: np.ndarray) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Model:
-    filter_: object  # broadcast uint8 array, or none if the filter is a table
+    filter_: object  # broadcast bytes, or none if the filter is a table
     parts: DataFrame | None  # shard, part of a filter that is not broadcast
     shards: int
     weight: float  # of the unigram estimate, in counts
@@ -279,7 +287,10 @@ def trained(docs: DataFrame, bits: int = BITS, head: int = HEAD) -> Model:
         for batch in batches:
             h = batch.column(0).to_numpy().view(np.uint64)
             shard, level = _shard(h, shards).astype(np.int64), level_of(batch.column(1).to_numpy())
-            at = [np.concatenate([_positions(h[level >= j], j, probe, inside * 8, 1) for probe in range(PROBES)]) for j in range(1, int(level.max()) + 1)] if len(h) else []
+            at = []
+            for j in range(1, int(level.max()) + 1) if len(h) else ():
+                first, step = _spread(h[level >= j], j)
+                at.append(np.concatenate([first + np.uint64(probe) * step & np.uint64(inside * 8 - 1) for probe in range(PROBES)]))
             own = np.concatenate([np.tile(shard[level >= j], PROBES) for j in range(1, len(at) + 1)]) if at else shard
             at = np.concatenate(at) if at else h
             order = np.argsort(own, kind="stable")
@@ -302,12 +313,14 @@ def trained(docs: DataFrame, bits: int = BITS, head: int = HEAD) -> Model:
     parts = counts.mapInArrow(build, "shard long, part binary").unionByName(hashed.mapInArrow(build, "shard long, part binary"))
     shared = None
     if shards == base:
-        filter_ = np.zeros(bits // 8, np.uint8)  # ``bits`` in all, whatever the input
+        filter_ = bytearray(bits // 8)  # ``bits`` in all, whatever the input
+        whole = np.frombuffer(filter_, np.uint8)
         parts = written(parts)
         for r in parts.toLocalIterator():  # a file at a time
-            filter_[r.shard * inside : (r.shard + 1) * inside] |= np.frombuffer(r.part, np.uint8)
+            whole[r.shard * inside : (r.shard + 1) * inside] |= np.frombuffer(r.part, np.uint8)
         dropped(parts)
         shared, parts = spark.sparkContext.broadcast(filter_), None
+        del filter_, whole
     else:
         parts = written(parts.repartition("shard").sortWithinPartitions("shard").mapInArrow(_joined_parts, "shard long, part binary"))
     top = most_frequent(vocabulary.where(F.length("token") <= HEAD_CHARS), "c", head).toArrow()
