@@ -19,7 +19,7 @@ An anchor with more than GROUP different segments is split before its suffix
 array is built: of the bytes of a window beside the anchor, equal windows share
 the nearer half on the left or on the right, so segments are dealt by the digest
 of either half (``_split``), again and again until a group is small or
-all of its windows are equal.  No group is gathered whole in one task.
+all of its windows are equal; pieces that are equal as a whole become one.  No group is gathered whole in one task.
 
 Both directions of the factors are used: all occurrences go, or with
 ``keep_first`` only those that have an earlier one, in the order of reading.
@@ -345,6 +345,16 @@ def _edge_matches(docs: DataFrame, wanted: DataFrame, length: int, k: int, keep_
         half = -(-rest // 2)
         dealt = written(_split(pieces, length, k, rest, half))
         rest -= half
+        # Pieces that are equal as a whole match as a whole, and one stands for them from here on.
+        key = F.sha2("bytes", 256).alias("same")
+        alike = written(dealt.groupBy("g", key).agg(F.count("*").alias("n"), F.min(F.struct("place", "first", "h", "c", "base")).alias("x")).where("n > 1"))
+        marked_ = dealt.withColumn("same", key).join(alike, ["g", "same"], "left")
+        is_first = F.struct("place", "first", "h", "c", "base") == F.col("x")
+        marked_ = written(marked_.withColumn("copy", F.coalesce(~is_first, F.lit(False))).withColumn("again", F.col("n").isNotNull()).drop("x", "n", "same"))
+        equal = marked_.where("copy" if keep_first else "again").select("h", "c", F.col("base").alias("a"), (F.col("base") + F.length("bytes") - length).alias("b"))
+        out = out.unionByName(written(equal))
+        dropped(dealt, alike)
+        dealt = marked_.where("NOT copy").drop("copy", "again")
         sizes = written(dealt.groupBy("g").agg(F.count("*").alias("kinds"), F.min(F.struct("place", "first", "h", "c")).alias("x")).where("kinds > 1"))
         if rest:
             found = _solved(dealt.join(sizes.where(F.col("kinds") <= group).select("g"), "g", "left_semi"), length, keep_first, block)
@@ -356,7 +366,7 @@ def _edge_matches(docs: DataFrame, wanted: DataFrame, length: int, k: int, keep_
         out = out.unionByName(written(found))
         dropped(pieces)
         pieces = written(dealt.join(sizes.where(F.col("kinds") > group).select("g"), "g", "left_semi"))
-        dropped(dealt, sizes)
+        dropped(marked_, sizes)
     return out.groupBy("h", "c").agg(F.min("a").alias("a"), F.max("b").alias("b"))
 
 
