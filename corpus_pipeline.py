@@ -13,27 +13,32 @@ from terrace.plans.scratch import written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents whose toxicity score reaches the threshold."""
+    """Without the documents whose toxicity score reaches the threshold.  A null or
+    empty text scores as one without a hit and stays; rows that repeat are judged alike."""
     return toxicity.accepted(docs, toxicity.production_lexicon(spark, docs, sf_dir))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts."""
+    """One document of each group of equal texts: the longest, then the least id, null
+    ids last.  Null, empty and blank texts are one group; a row repeated in full stays once."""
     return exact_dedup.deduplicated(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that n-gram links connect."""
+    """One document of each group that n-gram links connect, the least id.  Wordless
+    and unlinked rows stay, those with null ids too."""
     return ngram_join.one_of_each(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The training order: documents as often as the mix takes them."""
+    """The training order: documents as often as the mix takes them, so a wordless one
+    goes.  A null source is a source of its own; rows that repeat have places of their own."""
     return mixing.schedule(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of ids and decoded bytes, a row per scheduled document."""
+    """Token counts and digests of ids and decoded bytes, a row per scheduled
+    document; a null or empty text has no ids."""
     import public_tokenizers
 
     return byte_bpe.digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
