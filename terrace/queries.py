@@ -505,6 +505,43 @@ def leaf_topn(spark, d):
     return out.select("community_id", "entity_id", F.col("rank").cast("long").alias("rank"), F.round("score", 4).alias("score"))
 
 
+@query("""WITH v AS (SELECT o_orderkey AS id, o_orderkey AS ord, o_custkey % 3 <> 0 AS accepted, CASE WHEN o_orderkey % 5 <> 0 THEN o_custkey END AS chars FROM orders),
+s AS (SELECT id, coalesce(sum(CASE WHEN accepted THEN coalesce(chars, 0) END) OVER (ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spent FROM v)
+SELECT id, CAST(spent AS BIGINT) AS spent FROM s WHERE spent < 5000""")
+def context_budget(spark, d):
+    orders = _t(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("c"))
+    visits = orders.select("id", F.col("id").alias("ord"), (F.col("c") % 3 != 0).alias("accepted"))
+    charges = orders.where("id % 5 <> 0").select("id", F.col("c").alias("chars"))
+    return retrieval.within_budget(visits, charges, Config(context_chars=5000)).select("id", F.col("spent").cast("long").alias("spent"))
+
+
+@query("""WITH m AS (SELECT DISTINCT l_orderkey AS leaf, l_partkey AS e FROM lineitem),
+y AS (SELECT DISTINCT l_partkey AS src, l_suppkey AS dst FROM lineitem),
+ends AS (SELECT leaf, src, dst FROM y JOIN m ON e = src UNION ALL SELECT leaf, src, dst FROM y JOIN m ON e = dst),
+t AS (SELECT leaf, src, dst, count(*) > 1 AS internal FROM ends GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY leaf ORDER BY internal DESC, (src * 7 + dst) % 11 DESC, src, dst) AS k FROM t)
+SELECT leaf AS community_id, src, dst, internal, CAST(k AS BIGINT) AS rank FROM r WHERE k <= 3""")
+def leaf_relationships(spark, d):
+    lines = _t(spark, d, "lineitem")
+    picked = lines.select(F.col("l_orderkey").alias("community_id"), F.col("l_partkey").alias("entity_id")).distinct()
+    edges = lines.select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst")).distinct().select("src", "dst", F.lit("SUPPLIED").alias("type"), ((F.col("src") * 7 + F.col("dst")) % 11).alias("weight"))
+    return retrieval.leaf_relationships(picked, edges, Config(leaf_relationships=3)).select("community_id", "src", "dst", "internal", F.col("rank").cast("long").alias("rank"))
+
+
+@query("""WITH m AS (SELECT DISTINCT l_orderkey AS chunk_id, l_partkey % 50 AS entity_id FROM lineitem),
+s AS (SELECT chunk_id, sum(greatest(0, entity_id - 25)) AS score FROM m GROUP BY chunk_id),
+b AS (SELECT * FROM s ORDER BY score DESC, chunk_id LIMIT 6)
+SELECT chunk_id, CAST(score AS DOUBLE) AS score, 'order ' || chunk_id || ' has E' || (SELECT max(entity_id) FROM m WHERE m.chunk_id = b.chunk_id) AS excerpt FROM b""")
+def source_chunks(spark, d):
+    mentions = _t(spark, d, "lineitem").select(F.col("l_orderkey").alias("chunk_id"), (F.col("l_partkey") % 50).alias("entity_id"))
+    picked = spark.range(50).select(F.col("id").alias("entity_id"), (F.col("id") - 25.0).alias("score"))
+    best = mentions.groupBy("chunk_id").agg(F.max("entity_id").alias("e"))
+    chunks = best.select(F.col("chunk_id").alias("id"), F.lit("d").alias("doc_id"), F.lit(0).alias("index"), F.concat(F.lit("order "), "chunk_id", F.lit(" has E"), "e").alias("text"))
+    entities = spark.range(50).select("id", F.concat(F.lit("e"), "id").alias("name"))
+    out = retrieval.top_chunks(retrieval.chunk_relevance(mentions, picked), chunks, picked, entities, Config(source_chunks=6))
+    return out.select("chunk_id", "score", "excerpt")
+
+
 @query("""WITH m AS (SELECT DISTINCT l_orderkey AS chunk_id, l_partkey % 50 AS entity_id FROM lineitem)
 SELECT chunk_id, round(sum(greatest(0, (entity_id - 25) / 25.0::DOUBLE)), 4) AS score, string_agg(CAST(entity_id AS VARCHAR), '|' ORDER BY entity_id) AS entity_ids FROM m GROUP BY chunk_id""")
 def chunk_relevance(spark, d):
