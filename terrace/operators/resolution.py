@@ -101,6 +101,11 @@ def candidate_groups(near: DataFrame, most: int = 8) -> DataFrame:
     return groups.join(inside, "members", "left_anti")
 
 
+def by_size(groups: DataFrame) -> DataFrame:
+    """Groups, the largest first; ties by members."""
+    return groups.orderBy(F.desc(F.size("members")), "members")
+
+
 def merge_map(pairs: DataFrame, entities: DataFrame) -> DataFrame:
     """(id, survivor): in each connected group of pairs (a, b) the row with
     most mentions survives, ties by id; only rows that go are listed."""

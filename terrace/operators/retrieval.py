@@ -100,6 +100,17 @@ def top_chunks(relevance: DataFrame, chunks: DataFrame, picked: DataFrame, entit
     return out.withColumn("excerpt", excerpt(F.col("text"), F.col("name"), config.excerpt_chars)).drop("name", "text")
 
 
+def cited_nodes(cited: DataFrame, items: DataFrame) -> DataFrame:
+    """(answer_id, node_ids): the sorted distinct nodes behind the labels that an answer
+    cites.  cited: (answer_id, label); items: (answer_id, label, node_ids).  Labels without an item count for nothing."""
+    nodes = items.join(cited.select("answer_id", "label").distinct(), ["answer_id", "label"]).select("answer_id", F.explode("node_ids").alias("node"))
+    return nodes.groupBy("answer_id").agg(F.sort_array(F.collect_set("node")).alias("node_ids"))
+
+
+def verdict_counts(verdicts: DataFrame) -> DataFrame:
+    return verdicts.groupBy("verdict").agg(F.count("*").alias("n"))
+
+
 @dataclass
 class Packed:
     """Greedy packing with skips over a few hundred collected rows."""
@@ -118,4 +129,4 @@ class Packed:
         return out
 
 
-__all__ = ["Packed", "chunk_relevance", "leaf_entities", "leaf_relationships", "ranked_children", "top_chunks", "top_level", "walk", "within_budget"]
+__all__ = ["Packed", "chunk_relevance", "cited_nodes", "leaf_entities", "leaf_relationships", "ranked_children", "top_chunks", "top_level", "verdict_counts", "walk", "within_budget"]

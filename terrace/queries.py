@@ -562,6 +562,25 @@ def citations(spark, d):
     return _t(spark, d, "conversations").select("conv_id", "turn", _joined(T.citations(answer)).alias("labels"))
 
 
+@query("""WITH l AS (SELECT conv_id, unnest(CASE WHEN turn % 2 = 0 THEN ['C' || turn, 'E' || conv_id] ELSE ['R' || turn, 'S1'] END) AS label FROM conversations),
+i AS (SELECT DISTINCT conv_id, 'C' || turn AS label, CAST(turn AS BIGINT) AS a, CAST(conv_id AS BIGINT) AS b FROM conversations UNION SELECT conv_id, 'S1', -1, conv_id FROM conversations),
+n AS (SELECT DISTINCT conv_id, unnest([a, b]) AS node FROM l JOIN i USING (conv_id, label))
+SELECT conv_id AS answer_id, string_agg(CAST(node AS VARCHAR), '|' ORDER BY node) AS nodes FROM n GROUP BY conv_id""")
+def cited_nodes(spark, d):
+    talk = _t(spark, d, "conversations").withColumn("answer_id", F.col("conv_id"))
+    answer = F.when(F.col("turn") % 2 == 0, F.format_string("x [C%d] y [E%d] [C%d] [Q1]", "turn", "conv_id", "turn")).otherwise(F.format_string("[R%d][S1] [ S2]", "turn"))
+    cited = talk.select("answer_id", F.explode(T.citations(answer)).alias("label"))
+    node = lambda x: F.array(F.lit(x) if isinstance(x, int) else F.col(x).cast("long"), F.col("conv_id").cast("long")).cast("array<bigint>")
+    items = talk.select("answer_id", F.format_string("C%d", "turn").alias("label"), node("turn").alias("node_ids"))
+    items = items.unionByName(talk.select("answer_id", F.lit("S1").alias("label"), node(-1).alias("node_ids"))).distinct()
+    return retrieval.cited_nodes(cited, items).select("answer_id", F.array_join(F.col("node_ids").cast("array<string>"), "|").alias("nodes"))
+
+
+@query("SELECT o_orderpriority AS verdict, count(*) AS n FROM orders GROUP BY o_orderpriority")
+def verdict_counts(spark, d):
+    return retrieval.verdict_counts(_t(spark, d, "orders").select(F.col("o_orderpriority").alias("verdict")))
+
+
 # ------------------------------------------------------------------ documents
 
 

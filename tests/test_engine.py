@@ -145,3 +145,30 @@ def test_texts_of_moved_edges_come_last(spark):
     none = spark.createDataFrame([], "chunk_id string, entity_id string")
     out = resolution.apply_merges(moves, entities, edges, none, spark.createDataFrame([], "key string, entity_id string"))
     assert [tuple(r) for r in out[1].select("src", "dst", "weight", "descriptions").collect()] == [("a", "c", 2.0, ["z first", "a second"])]
+
+
+def test_groups_by_size(spark):
+    from terrace.operators.resolution import by_size
+
+    groups = spark.createDataFrame([(["a", "b"],), (["c", "d", "e"],), (["a", "a2"],)], "members array<string>")
+    assert [r.members for r in by_size(groups).collect()] == [["c", "d", "e"], ["a", "a2"], ["a", "b"]]
+
+
+def test_packing_skips_what_does_not_fit():
+    from terrace.operators.retrieval import Packed
+
+    blocks = [("S", ["a"], "t", "x" * 10), ("C", ["b"], "t", "y" * 100), ("C", ["c"], "t", "z" * 5), ("E", [], "t", "w" * 10)]
+    made = Packed(30).items(blocks)
+    assert [(x["label"], len(x["text"])) for x in made] == [("S1", 15), ("C2", 10)]
+    assert made[1]["node_ids"] == ["c"]
+    assert Packed(0).items(blocks) == []
+    assert Packed(30).items([]) == []
+
+
+def test_nothing_cited(spark):
+    from terrace.operators.retrieval import cited_nodes
+
+    items = spark.createDataFrame([(1, "C1", ["b", "a"]), (1, "S1", ["a", "c"]), (2, "C1", ["z"])], "answer_id int, label string, node_ids array<string>")
+    cited = spark.createDataFrame([(1, "S1"), (1, "C1"), (1, "C1"), (1, "E9"), (3, "C1")], "answer_id int, label string")
+    assert [tuple(r) for r in cited_nodes(cited, items).collect()] == [(1, ["a", "b", "c"])]
+    assert cited_nodes(cited.limit(0), items).count() == 0
