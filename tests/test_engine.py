@@ -172,3 +172,40 @@ def test_nothing_cited(spark):
     cited = spark.createDataFrame([(1, "S1"), (1, "C1"), (1, "C1"), (1, "E9"), (3, "C1")], "answer_id int, label string")
     assert [tuple(r) for r in cited_nodes(cited, items).collect()] == [(1, ["a", "b", "c"])]
     assert cited_nodes(cited.limit(0), items).count() == 0
+
+
+def _line(spark, n, copies):
+    """``n`` vectors in a plane and ``copies`` of one of them."""
+    import math
+
+    rows = [(f"v{i:03}", [math.cos(0.01 * i * i), math.sin(0.01 * i * i), 0.5]) for i in range(n)]
+    return spark.createDataFrame(rows + [(f"w{i:03}", rows[0][1]) for i in range(copies)], "id string, embedding array<float>")
+
+
+def test_neighbours_of_copies(spark):
+    """A row among more copies than k, with lower ids, gets k of them and not k + 1."""
+    from terrace.operators.resolution import neighbours
+
+    v = _line(spark, 5, 12)
+    got = neighbours(v, v, 5, 0.9).where("src = 'w009'").orderBy("dst").collect()
+    assert [r.dst for r in got] == ["v000", "w000", "w001", "w002", "w003"]
+
+
+def test_neighbours_hold_one_tile():
+    """Many queries against many rows take the memory of a tile, not of all products."""
+    import tracemalloc
+
+    import numpy as np
+
+    from terrace.operators.resolution import _Nearest
+
+    q = np.random.default_rng(0).standard_normal((20_000, 8)).astype(np.float32)
+    tracemalloc.start()
+    best = _Nearest(np.arange(len(q)), q, 3, -1.0)
+    for lo in range(0, 4096, 2048):
+        best.add(np.arange(lo, lo + 2048), q[lo : lo + 2048])
+    assert tracemalloc.get_traced_memory()[1] < 150e6  # all products of 20 000 x 2048 are 328 MB in double precision
+    tracemalloc.stop()
+    some = q[:50] / np.linalg.norm(q[:50], axis=1, keepdims=True)
+    want = np.argsort(-(some @ (q[:4096] / np.linalg.norm(q[:4096], axis=1, keepdims=True)).T), axis=1)[:, :3]
+    assert (best.near[:50] == want).all()
