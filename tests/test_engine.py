@@ -209,3 +209,26 @@ def test_neighbours_hold_one_tile():
     some = q[:50] / np.linalg.norm(q[:50], axis=1, keepdims=True)
     want = np.argsort(-(some @ (q[:4096] / np.linalg.norm(q[:4096], axis=1, keepdims=True)).T), axis=1)[:, :3]
     assert (best.near[:50] == want).all()
+
+
+@pytest.fixture(scope="module")
+def copies(tmp_path_factory):
+    """The small tables, with a vector that occurs twelve times and ones near it."""
+    import os
+
+    import duckdb
+
+    d = tmp_path_factory.mktemp("copies")
+    for f in os.listdir("/root/testdata/sf0.001"):
+        if f != "embeddings.parquet":
+            os.symlink(f"/root/testdata/sf0.001/{f}", d / f)
+    one = "list_transform(range(8), lambda j: CAST(CASE WHEN i % 3 = 0 THEN j + 1 ELSE sin(i * 1.7 + j * (i % 7)) END AS FLOAT))"
+    duckdb.sql(f"COPY (SELECT i AS vec_id, {one} AS embedding, CAST(i % 4 AS INT) AS label FROM range(36) t(i)) TO '{d}/embeddings.parquet'")
+    return str(d)
+
+
+@pytest.mark.parametrize("name", ["candidate_groups"])
+def test_copies_as_in_sql(name, copies, same_as_sql):
+    from terrace.queries import ORACLE_SQL, QUERIES
+
+    same_as_sql(QUERIES[name], ORACLE_SQL[name], copies)
