@@ -232,3 +232,38 @@ def test_copies_as_in_sql(name, copies, same_as_sql):
     from terrace.queries import ORACLE_SQL, QUERIES
 
     same_as_sql(QUERIES[name], ORACLE_SQL[name], copies)
+
+
+@pytest.mark.parametrize("name", ["connected_merge_map"])
+def test_workers_stay_small(name, spark, tmp_path):
+    """The Python workers hold tiles of the products of 8000 vectors: 512 MB in double precision."""
+    import threading
+    import time
+
+    import duckdb
+    import psutil
+
+    from terrace.queries import QUERIES
+
+    one = "list_transform(range(8), lambda j: CAST(sin(i * 1.7 + j * (i % 97)) AS FLOAT))"
+    duckdb.sql(f"COPY (SELECT i AS vec_id, {one} AS embedding, CAST(i % 4 AS INT) AS label FROM range(8000) t(i)) TO '{tmp_path}/embeddings.parquet'")
+    most, over = [0.0], threading.Event()
+
+    def watch():
+        while not over.is_set():
+            for p in psutil.Process().children(recursive=True):
+                try:
+                    if "pyspark" in " ".join(p.cmdline()) and "java" not in p.name():
+                        most[0] = max(most[0], p.memory_info().rss / 1e6)
+                except psutil.Error:
+                    pass
+            time.sleep(0.05)
+
+    watcher = threading.Thread(target=watch)
+    watcher.start()
+    try:
+        assert QUERIES[name](spark, str(tmp_path)).count() > 0
+    finally:
+        over.set()
+        watcher.join()
+    assert 0 < most[0] < 700
