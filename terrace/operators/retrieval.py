@@ -15,7 +15,10 @@ from pyspark.sql.window import Window
 
 from terrace.functions.text import excerpt
 from terrace.plans.config import Config
-from terrace.plans.scratch import written
+from terrace.plans.scratch import dropped, written
+
+#: Rows of leaves and relationships that are ranked at once.
+LEAF_ROWS = 2**24
 
 
 def top_level(scored: DataFrame, config: Config) -> DataFrame:
@@ -76,12 +79,53 @@ def leaf_entities(leaves: DataFrame, membership: DataFrame, scores: DataFrame, c
 
 def leaf_relationships(picked: DataFrame, edges: DataFrame, config: Config) -> DataFrame:
     """The best relationships at the picked entities of each leaf: inner ones
-    first, then by weight.  Two equi-joins stand for the OR over both ends."""
-    ids = picked.select("community_id", "entity_id")
-    ends = edges.join(ids.withColumnRenamed("entity_id", "src"), "src").select("community_id", "src", "dst", "type").unionByName(edges.join(ids.withColumnRenamed("entity_id", "dst"), "dst").select("community_id", "src", "dst", "type"))
-    twice = ends.groupBy("community_id", "src", "dst", "type").agg((F.count("*") > 1).alias("internal"))
-    order = Window.partitionBy("community_id").orderBy(F.desc("internal"), F.desc("weight"), "src", "dst", "type")
-    return twice.join(edges, ["src", "dst", "type"]).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= config.leaf_relationships)
+    first, then by weight.
+
+    What is not inner and among the best k of a leaf is also among the best k of its end, so
+    each entity brings k relationships and not all.  The leaves are ranked in blocks of
+    ``LEAF_ROWS`` such rows, so that the shuffle of a block is the most that lies on disk."""
+    k, edge = config.leaf_relationships, ["src", "dst", "type", "weight"]
+    ids = written(picked.select("community_id", "entity_id").distinct())
+    known = written(edges.select(*edge))
+    best = [F.desc("weight"), "src", "dst", "type"]
+
+    def top(rows: DataFrame) -> DataFrame:
+        order = Window.partitionBy("entity_id").orderBy(*best)
+        return written(rows.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).drop("r"))
+
+    out_, in_ = top(known.select(F.col("src").alias("entity_id"), *edge)), top(known.where("src <> dst").select(F.col("dst").alias("entity_id"), *edge))
+    both = top(out_.unionByName(in_))
+    own = written(both.groupBy("entity_id").agg(F.collect_list(F.struct(*edge)).alias("edges")))
+    dropped(out_, in_, both)
+    inner = _inner(ids, known)
+    blocks = max(1, -(-ids.count() * k // LEAF_ROWS))
+    order = Window.partitionBy("community_id").orderBy(F.desc("internal"), *best)
+    out = None
+    for b in range(blocks):
+        here = F.pmod(F.xxhash64("community_id"), F.lit(blocks)) == b
+        rows = ids.where(here).join(own, "entity_id").select("community_id", "edges", F.lit(False).alias("internal"))
+        rows = rows.unionByName(inner.where(here).select("community_id", F.array(F.struct(*edge)).alias("edges"), F.lit(True).alias("internal")))
+        rows = rows.repartition("community_id").select("community_id", F.explode("edges").alias("e"), "internal").select("community_id", "e.*", "internal")
+        rows = rows.groupBy("community_id", *edge).agg(F.max("internal").alias("internal"))
+        part = written(rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k))
+        out = part if out is None else out.unionByName(part)
+    dropped(ids, own, inner, known)
+    more = [c for c in edges.columns if c not in edge]
+    return out.join(edges.drop("weight"), ["src", "dst", "type"]) if more else out
+
+
+def _inner(ids: DataFrame, edges: DataFrame) -> DataFrame:
+    """Relationships with both ends in a leaf.  Each entity looks through its relationships
+    or through the leaf's members at which one ends, whichever are fewer."""
+    ends = written(ids.withColumnRenamed("entity_id", "dst").join(edges.select("dst").distinct(), "dst", "left_semi"))
+    size = ends.groupBy("community_id").agg(F.count("*").alias("size"))
+    degree = edges.groupBy("src").agg(F.count("*").alias("degree"))
+    starts = written(ids.withColumnRenamed("entity_id", "src").join(size, "community_id").join(degree, "src"))
+    by_edge = starts.where("degree <= size").select("community_id", "src").join(edges, "src").join(ends, ["community_id", "dst"], "left_semi")
+    by_leaf = starts.where("degree > size").select("community_id", "src").join(ends, "community_id").join(edges, ["src", "dst"])
+    out = written(by_edge.unionByName(by_leaf))
+    dropped(ends, starts)
+    return out
 
 
 def chunk_relevance(mentions: DataFrame, picked: DataFrame) -> DataFrame:
