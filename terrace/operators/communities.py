@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import deque
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -29,10 +31,10 @@ def _leiden(src: np.ndarray, dst: np.ndarray, w: np.ndarray, n: int, two_m: floa
     def moved(links, mass, comm, allowed=None):
         total = np.bincount(comm, mass, minlength=len(mass))
         size = np.bincount(comm, minlength=len(mass))
-        queue = list(rng.permutation(len(mass)))
+        queue = deque(rng.permutation(len(mass)))
         waiting = set(queue)
         while queue:
-            i = queue.pop(0)
+            i = queue.popleft()
             waiting.discard(i)
             if allowed is not None and size[comm[i]] > 1:
                 continue

@@ -234,7 +234,7 @@ def test_copies_as_in_sql(name, copies, same_as_sql):
     same_as_sql(QUERIES[name], ORACLE_SQL[name], copies)
 
 
-@pytest.mark.parametrize("name", ["connected_merge_map", "node_merge"])
+@pytest.mark.parametrize("name", ["connected_merge_map", "leiden_communities", "node_merge"])
 def test_workers_stay_small(name, spark, tmp_path):
     """The Python workers hold tiles of the products of 8000 vectors: 512 MB in double precision."""
     import threading
