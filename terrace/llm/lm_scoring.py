@@ -37,12 +37,13 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrace.llm.common import most_frequent, text_of
-from terrace.llm.shingles import byte_hashes, mixed
+from terrace.llm.shingles import mixed
 from terrace.plans.scratch import dropped, small_batches, written
 
 BASE = 1.5
@@ -60,6 +61,9 @@ SLICE = 100_000
 #: The end of a text as a token; no word is empty.
 END = b""
 _ONE, _TWO = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
+#: The low bytes of a number, by how many; words of more bytes than LONG are hashed one by one.
+_LOW = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
+LONG = 64
 
 
 def tokens(text: str) -> list[bytes]:
@@ -67,6 +71,31 @@ def tokens(text: str) -> list[bytes]:
     return [*text.encode("utf-8", "surrogatepass").lower().split(), END]
 
 
+def hashes(words: pa.Array) -> np.ndarray:
+    """64-bit hash of each word in UTF-8, eight bytes of all words at a time."""
+    words = words.cast(pa.binary())
+    ends = np.frombuffer(words.buffers()[1], np.int32, len(words) + 1, 4 * words.offset).astype(np.int64) if len(words) else np.zeros(1, np.int64)
+    data = np.zeros(ends[-1] - ends[0] + 8, np.uint8)
+    if len(data) > 8:
+        data[:-8] = np.frombuffer(words.buffers()[2], np.uint8, len(data) - 8, ends[0])
+    eights = np.ndarray(len(data) - 7, "<u8", data, strides=(1,))
+    at, left = ends[:-1] - ends[0], np.diff(ends)
+    out = mixed(left.astype(np.uint64) + _ONE)
+    long = np.flatnonzero(left > LONG)
+    out[long] = np.fromiter((xxhash.xxh64_intdigest(data[a : a + n]) for a, n in zip(at[long].tolist(), left[long].tolist())), np.uint64, len(long))
+    rest = np.flatnonzero((left > 0) & (left <= LONG))
+    at, left = at[rest], left[rest]
+    while len(rest):
+        out[rest] = mixed(out[rest] ^ (eights[at] & _LOW[np.minimum(left, 8)]))
+        more = left > 8
+        rest, at, left = rest[more], at[more] + 8, left[more] - 8
+    return out
+
+
+def byte_hashes(tokens: list[bytes]) -> np.ndarray:
+    return hashes(pa.array(tokens, pa.binary()))
+
+
 def bigrams(h: np.ndarray) -> np.ndarray:
     """Hashes of (history, token), the history of the first being the end."""
     return mixed(np.concatenate((h[-1:], h[:-1])) * _ONE + h * _TWO)
@@ -95,7 +124,7 @@ class Block:
 
     def __init__(self, texts: pa.Array) -> None:
         self.words, codes, sizes = split(texts)
-        self._set(byte_hashes(self.words.cast(pa.binary()).to_pylist()), sizes, codes)
+        self._set(hashes(self.words), sizes, codes)
 
     def _set(self, hashes: np.ndarray, sizes: np.ndarray, codes: np.ndarray) -> None:
         self.hashes, self.sizes, self.codes = hashes, sizes, codes
@@ -153,8 +182,15 @@ def _shard(h: np.ndarray, shards: int) -> np.ndarray:
 
 def _spread(h: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
     """First place and step of the double hashing of the items of one level."""
-    step = np.uint64((level * 0x9E3779B97F4A7C15) % 2**64)
-    return mixed(h ^ step), mixed(h + step) | np.uint64(1)
+    return _first(h, level), _step(h, level)
+
+
+def _first(h: np.ndarray, level: int) -> np.ndarray:
+    return mixed(h ^ np.uint64((level * 0x9E3779B97F4A7C15) % 2**64))
+
+
+def _step(h: np.ndarray, level: int) -> np.ndarray:
+    return mixed(h + np.uint64((level * 0x9E3779B97F4A7C15) % 2**64)) | np.uint64(1)
 
 
 def levels(h: np.ndarray, filter_, shards: int) -> np.ndarray:
@@ -168,16 +204,25 @@ def levels(h: np.ndarray, filter_, shards: int) -> np.ndarray:
     begin, mask = _shard(h, shards) * np.uint64(inside), np.uint64(inside - 1)
     out = np.zeros(len(h), np.int64)
     alive = np.arange(len(h))
+
+    def bits(a):
+        at = begin + (a & mask)
+        return filter_[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)
+
     level = 0
     while len(alive):
         level += 1
-        a, b = _spread(h[alive], level)
-        for probe in range(PROBES):
-            at = begin[alive] + (a + np.uint64(probe) * b & mask)
-            there = filter_[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1 == 1
-            alive, a, b = alive[there], a[there], b[there]
-            if not len(alive):
-                break
+        a = _first(h, level)
+        # The first probe tells most of the absent ones; those left are probed to the end.
+        there = np.flatnonzero(bits(a) & np.uint8(1))
+        alive, h, begin, a = alive[there], h[there], begin[there], a[there]
+        step = _step(h, level)
+        found = np.ones(len(h), np.uint8)
+        for _ in range(PROBES - 1):
+            a += step
+            found &= bits(a)
+        there = np.flatnonzero(found)
+        alive, h, begin = alive[there], h[there], begin[there]
         out[alive] = level
     back = np.empty_like(out)
     back[order] = out
@@ -197,7 +242,7 @@ class Model:
     n: int
     v: int
     vocabulary: DataFrame  # token, c
-    head: object  # broadcast {token: log10 of its base probability}
+    head: object  # broadcast (tokens, log10 of their base probabilities)
 
 
 def _words(batches):
@@ -238,8 +283,7 @@ def _summed(batches):
 def _hashed(batches):
     """Rows (hash, c) of rows (token, c)."""
     for batch in batches:
-        h = byte_hashes([t.encode("utf-8", "surrogatepass") for t in batch.column(0).to_pylist()])
-        yield pa.record_batch([pa.array(h.view(np.int64)), batch.column(1)], names=["hash", "c"])
+        yield pa.record_batch([pa.array(hashes(batch.column(0)).view(np.int64)), batch.column(1)], names=["hash", "c"])
 
 
 def unigram_weight(c: np.ndarray, many: np.ndarray, once: float) -> float:
@@ -323,8 +367,8 @@ def trained(docs: DataFrame, bits: int = BITS, head: int = HEAD) -> Model:
         del filter_, whole
     else:
         parts = written(parts.repartition("shard").sortWithinPartitions("shard").mapInArrow(_joined_parts, "shard long, part binary"))
-    top = most_frequent(vocabulary.where(F.length("token") <= HEAD_CHARS), "c", head).toArrow()
-    known = {t: math.log10((c + 0.5) / (n + 0.5 * (v + 1))) for t, c in zip(top.column(0).to_pylist(), top.column(1).to_pylist())}
+    top = most_frequent(vocabulary.where(F.length("token") <= HEAD_CHARS), "c", head).toArrow().combine_chunks()
+    known = pa.concat_arrays(top.column(0).chunks or [pa.array([], pa.string())]), np.log10((top.column(1).to_numpy() + 0.5) / (n + 0.5 * (v + 1)))
     dropped(counts)
     return Model(shared, parts, shards, weight, n, v, vocabulary, spark.sparkContext.broadcast(known))
 
@@ -434,6 +478,12 @@ def log_probabilities(block: Block, own: np.ndarray, two: np.ndarray, weight: fl
     return np.log10((np.minimum(_estimate(two), before) + m * p) / (before + m))
 
 
+def in_known(words: pa.Array, known: tuple[pa.Array, np.ndarray]) -> np.ndarray:
+    """The value of each word among ``known`` (words, values), NaN for others."""
+    found = pc.index_in(words, value_set=known[0])
+    return np.append(known[1], np.nan)[pc.fill_null(found, len(known[0])).to_numpy()]
+
+
 def scored(docs: DataFrame, model: Model) -> DataFrame:
     """The columns of ``docs`` but text, with n_tokens, n_known, base_score and score."""
     small_batches(docs.sparkSession)
@@ -456,7 +506,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
             for texts in _blocks([batch.column(0)], BLOCK):
                 block, own = Block(texts), len(texts)
                 place = (task << 33) + row + np.arange(own)
-                log_p = np.fromiter((known.get(w, np.nan) for w in block.words.to_pylist()), float, len(block.words))[block.codes]
+                log_p = in_known(block.words, known)[block.codes]
                 in_head = ~np.isnan(log_p)
                 base = np.add.reduceat(np.where(in_head, log_p, 0.0), block.first)
                 n_known = np.add.reduceat(in_head, block.first, dtype=np.int64)

@@ -156,3 +156,22 @@ def test_weight():
     c = np.arange(1.0, 51)
     m = lm_scoring.unigram_weight(c, np.ones(50), c.sum() / 2)
     assert (c * m / (c + m)).sum() == pytest.approx(c.sum() / 2)
+
+
+def test_hashes_of_arrow_words():
+    """Each word's hash is its own, wherever it stands; words that differ in one byte, a NUL or their length differ."""
+    words = ["", *("x" * n for n in range(1, 200)), *("x" * n + "\0" for n in range(200)), *(f"{'é' * (i % 40)}{i}" for i in range(20_000)), *(str(i) for i in range(20_000))]
+    words = list(dict.fromkeys(words))
+    got = lm_scoring.hashes(pa.array(["before", *words, "after"]).slice(1, len(words)))
+    assert len(np.unique(got)) == len(words)
+    assert [lm_scoring.hashes(pa.array([w]))[0] for w in words[:500]] == got[:500].tolist()
+    assert (lm_scoring.byte_hashes([w.encode() for w in words]) == got).all()
+    bits = np.unpackbits(got[-20_000:].view(np.uint8).reshape(-1, 8), axis=1).mean(axis=0)
+    assert (abs(bits - 0.5) < 0.02).all()
+    assert len(lm_scoring.hashes(pa.array([], pa.string()))) == 0
+
+
+def test_known_words():
+    words = pa.array(["b", "a", "", "c", "b"])
+    assert np.array_equal(lm_scoring.in_known(words, (pa.array(["a", "b", ""]), np.array([1.0, 2.0, 3.0]))), [2.0, 1.0, 3.0, np.nan, 2.0], equal_nan=True)
+    assert np.isnan(lm_scoring.in_known(words, (pa.array([], pa.string()), np.array([])))).all()
