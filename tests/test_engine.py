@@ -234,6 +234,22 @@ def test_copies_as_in_sql(name, copies, same_as_sql):
     same_as_sql(QUERIES[name], ORACLE_SQL[name], copies)
 
 
+def test_groups_of_copies_meet_few_others(spark, monkeypatch):
+    """600 rows whose nearest five are the same: the join of groups makes a row a member, not one a pair of groups."""
+    from pyspark.sql import functions as F
+
+    from terrace.operators import resolution
+
+    near = spark.range(600).withColumnRenamed("id", "src").crossJoin(spark.range(6).select(F.col("id").alias("dst"))).where("src <> dst")
+    near = near.where("dst < 5 OR src < 5").withColumn("score", F.lit(1.0)).union(spark.createDataFrame([(1000, 1001, 0.5), (1001, 1000, 0.5), (1001, 1002, 0.4)], "src long, dst long, score double"))
+    got = {tuple(r.members) for r in resolution.candidate_groups(near).collect()}
+    assert got == {(0, 1, 2, 3, 4, i) for i in range(5, 600)} | {(1000, 1001, 1002)}
+    met = []
+    monkeypatch.setattr(resolution, "_meetings", lambda groups, f=resolution._meetings: met.append(f(groups)) or met[-1])
+    resolution.candidate_groups(near)
+    assert met[0].count() <= 600 * 6  # by first members: 595 * 595
+
+
 @pytest.mark.parametrize("name", ["connected_merge_map", "leiden_communities", "node_merge"])
 def test_workers_stay_small(name, spark, tmp_path):
     """The Python workers hold tiles of the products of 8000 vectors: 512 MB in double precision."""
