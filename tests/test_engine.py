@@ -283,3 +283,71 @@ def test_workers_stay_small(name, spark, tmp_path):
         over.set()
         watcher.join()
     assert 0 < most[0] < 700
+
+
+def alike(n, dim):
+    """Vectors that all have cosines of some 0.5 with each other."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    return (rng.normal(0, 1, dim) + rng.normal(0, 1, (n, dim))).astype(np.float32)
+
+
+def test_pairs_of_long_vectors_are_scored_in_pieces():
+    """13 000 pairs or more of 2048 x 2048 rows: 100 MB in double precision for each of their operands and sums."""
+    import tracemalloc
+
+    import numpy as np
+
+    from terrace.operators import resolution
+
+    x = alike(2048, 1024)
+    tracemalloc.start()
+    try:
+        best = resolution._Nearest(np.arange(len(x)), x, 6, 0.33)
+        best.add(np.arange(len(x)), x)
+        most = tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+    assert most < 150
+    unit = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1)[:, None]
+    want = np.argsort(-(unit[:50] @ unit.T), axis=1)[:, :6]
+    assert (best.near[:50] == want).all()
+
+
+@pytest.mark.parametrize("name", ["connected_merge_map"])
+def test_workers_stay_small_with_long_vectors(name, spark, tmp_path):
+    """3000 vectors of 1024 numbers (12 MB), all alike: a worker holds a block of them and pieces of their products."""
+    import threading
+    import time
+
+    import numpy as np
+    import psutil
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from terrace.queries import QUERIES
+
+    x = alike(3000, 1024)
+    lists = pa.ListArray.from_arrays(np.arange(0, x.size + 1, 1024, dtype=np.int32), x.ravel())
+    pq.write_table(pa.table({"vec_id": np.arange(3000), "embedding": lists, "label": np.arange(3000, dtype=np.int32) % 4}), f"{tmp_path}/embeddings.parquet")
+    most, over = [0.0], threading.Event()
+
+    def watch():
+        while not over.is_set():
+            for p in psutil.Process().children(recursive=True):
+                try:
+                    if "pyspark" in " ".join(p.cmdline()) and "java" not in p.name():
+                        most[0] = max(most[0], p.memory_info().rss / 1e6)
+                except psutil.Error:
+                    pass
+            time.sleep(0.05)
+
+    watcher = threading.Thread(target=watch)
+    watcher.start()
+    try:
+        QUERIES[name](spark, str(tmp_path)).count()
+    finally:
+        over.set()
+        watcher.join()
+    assert 0 < most[0] < 350
