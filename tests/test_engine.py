@@ -315,7 +315,7 @@ def test_pairs_of_long_vectors_are_scored_in_pieces():
     assert (best.near[:50] == want).all()
 
 
-@pytest.mark.parametrize("name", ["connected_merge_map"])
+@pytest.mark.parametrize("name", ["connected_merge_map", "node_merge"])
 def test_workers_stay_small_with_long_vectors(name, spark, tmp_path):
     """3000 vectors of 1024 numbers (12 MB), all alike: a worker holds a block of them and pieces of their products."""
     import threading
@@ -351,3 +351,16 @@ def test_workers_stay_small_with_long_vectors(name, spark, tmp_path):
         over.set()
         watcher.join()
     assert 0 < most[0] < 350
+
+
+@pytest.mark.parametrize("name", ["node_merge"])
+def test_merges_write_the_vectors_once(name, spark, monkeypatch):
+    """Beside the two tables of different vectors of ``neighbours``, no copy of the input is written."""
+    from terrace import queries
+    from terrace.operators import resolution
+
+    made = []
+    for module in (queries, resolution):
+        monkeypatch.setattr(module, "written", lambda df, f=module.written: made.append("embedding" in df.columns) or f(df))
+    queries.QUERIES[name](spark, "/root/testdata/sf0.001").count()
+    assert sum(made) == 2
